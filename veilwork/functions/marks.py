@@ -8,6 +8,9 @@ not occur in interchanged text; ``guard_input`` replaces any that do.
 Replaced hits leave ``[LABEL-<PH_L>k<PH_R>]`` behind: the shape of a label, but with the
 row-local hit number k, so later rules see a label and the final index can be filled in
 once it is known.
+
+The array work is written as SQL text: one parse per expression keeps plan building fast
+for runs of many rules.  Every function takes SQL text and returns SQL text or a Column.
 """
 
 from __future__ import annotations
@@ -15,168 +18,157 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-PH_L, PH_R = "\ufdd0", "\ufdd1"
-OPEN, MID, CLOSE = "\ufdd2", "\ufdd3", "\ufdd5"
-LABEL_SHAPE = r"(?U)\[\w+(?:-(?:\d+|\ufdd0\d+\ufdd1))?\]"
-
-PLACEHOLDER = r"\[([^\[\]]+?)-\ufdd0(\d+)\ufdd1\]"
+PH_L, PH_R = "﷐", "﷑"
+OPEN, MID, CLOSE = "﷒", "﷓", "﷕"
+LABEL_SHAPE = r"(?U)\[\w+(?:-(?:\d+|﷐\d+﷑))?\]"
+PLACEHOLDER = r"\[([^\[\]]+?)-﷐(\d+)﷑\]"
 
 OCC_TYPE = "array<struct<rule_ix:int,label:string,value:string>>"
 SPAN_TYPE = "array<struct<start:int,end:int>>"
 
 
-def guard_input(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), F.lit("[\ufdd0-\ufdd5]"), F.lit("\ufffd"))
+def quote(value: str) -> str:
+    """A SQL string literal."""
+    return "'" + value.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
-def has_marks(marked: Column) -> Column:
-    return F.contains(marked, F.lit(OPEN))
+def guard_input(text: Column) -> Column:
+    return F.regexp_replace(F.coalesce(text, F.lit("")), F.lit("[﷐-﷕]"), F.lit("�"))
 
 
 def mark_whole(text: Column, pattern: str) -> Column:
     return F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{CLOSE}"))
 
 
-def mark_group(text: Column, pattern: str, group: int, before: list[int]) -> Column:
-    """Mark one group of each match.
+def mark_group_raw(text: Column, pattern: str, group: int, lead_groups: int) -> Column:
+    """Each match as ``OPEN whole MID lead MID group CLOSE``.
 
-    ``before`` lists the groups that cover the match up to the marked group, so their total
-    length is its offset.  Where the group took no part, the whole match is marked.
+    The lead groups cover the match up to the marked group, so their total length is the
+    offset of the group in the match.
     """
-    lead = "".join(f"${{vw{i}}}" for i in before)
-    raw = F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{MID}{lead}{MID}${group}{CLOSE}"))
-
-    def settle(piece: Column) -> Column:
-        body = F.substring_index(piece, CLOSE, 1)
-        tail = F.substring_index(piece, CLOSE, -1)
-        whole = F.substring_index(body, MID, 1)
-        value = F.substring_index(body, MID, -1)
-        lead_text = F.substring_index(F.substring_index(body, MID, 2), MID, -1)
-        rest = F.substr(whole, F.length(lead_text) + F.length(value) + 1)
-        return F.when(value == "", F.concat(F.lit(OPEN), whole, F.lit(CLOSE), tail)).otherwise(
-            F.concat(lead_text, F.lit(OPEN), value, F.lit(CLOSE), rest, tail))
-
-    parts = F.split(raw, OPEN)
-    return F.when(has_marks(raw), F.concat(
-        F.get(parts, F.lit(0)),
-        F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), settle), "")),
-    ).otherwise(raw)
-
-
-def mark_spans(text: Column, spans: Column) -> Column:
-    """Mark given, sorted, disjoint ``(start, end, label)`` spans as ``OPEN label MID value CLOSE``."""
-    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("out"))
-    return F.aggregate(
-        spans, start,
-        lambda acc, s: F.struct(
-            s["end"].alias("pos"),
-            F.concat(acc["out"], F.substr(text, acc["pos"] + 1, s["start"] - acc["pos"]),
-                     F.lit(OPEN), s["label"], F.lit(MID),
-                     F.substr(text, s["start"] + 1, s["end"] - s["start"]), F.lit(CLOSE)).alias("out")),
-        lambda acc: F.concat(acc["out"], F.substr(text, acc["pos"] + 1)))
-
-
-def split_words(marked: Column, label: str) -> Column:
-    """Turn a multi-word hit of ``label`` into one hit per word."""
-    head = label + MID
-
-    def per_word(piece: Column) -> Column:
-        body = F.substr(F.substring_index(piece, CLOSE, 1), F.lit(len(head) + 1))
-        words = F.regexp_replace(body, F.lit(r"(?U)(\S+)"), F.lit(f"{OPEN}{head}$1{CLOSE}"))
-        return F.when(F.startswith(piece, F.lit(head)),
-                      F.concat(words, F.substring_index(piece, CLOSE, -1))
-                      ).otherwise(F.concat(F.lit(OPEN), piece))
-
-    parts = F.split(marked, OPEN)
-    return F.when(F.contains(marked, F.lit(OPEN + head)), F.concat(
-        F.get(parts, F.lit(0)),
-        F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), per_word), "")),
-    ).otherwise(marked)
-
-
-def _value(piece: Column, inline_label: bool) -> Column:
-    body = F.substring_index(piece, CLOSE, 1)
-    return F.substring_index(body, MID, -1) if inline_label else body
-
-
-def spans_of(parts: Column, inline_label: bool = False) -> Column:
-    """Start and end (0-based, end exclusive) of every hit in the text without marks."""
-    first = F.struct(F.length(F.get(parts, F.lit(0))).alias("pos"),
-                     F.array().cast(SPAN_TYPE).alias("spans"))
+    lead = "".join(f"${{vw{i}}}" for i in range(lead_groups))
+    return F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0{MID}{lead}{MID}${group}{CLOSE}"))
 
-    def step(acc: Column, piece: Column) -> Column:
-        end = acc["pos"] + F.length(_value(piece, inline_label))
-        return F.struct(
-            (end + F.length(F.substring_index(piece, CLOSE, -1))).alias("pos"),
-            F.concat(acc["spans"], F.array(F.struct(acc["pos"].alias("start"), end.alias("end"))))
-            .alias("spans"))
 
-    return F.aggregate(F.slice(parts, F.lit(2), F.size(parts) - 1), first, step,
-                       lambda acc: acc["spans"])
+def head(x: str) -> str:
+    return f"substring_index({x}, '{CLOSE}', 1)"
 
 
-def label_zones(text: Column) -> Column:
-    """The spans of labels already in the text."""
-    return spans_of(F.split(mark_whole(text, LABEL_SHAPE), OPEN))
+def tail(x: str) -> str:
+    return f"substring_index({x}, '{CLOSE}', -1)"
 
 
-def overlaps(span: Column, zones: Column) -> Column:
-    """The start or the last character lies in a zone (enclosing a zone is allowed)."""
-    last = span["end"] - 1
-    return F.exists(zones, lambda z: span["start"].between(z["start"], z["end"] - 1)
-                    | last.between(z["start"], z["end"] - 1))
+def hit_value(x: str, inline_label: bool = False) -> str:
+    return f"substring_index({head(x)}, '{MID}', -1)" if inline_label else head(x)
 
 
-def unmark_overlaps(marked: Column, text: Column, inline_label: bool = False) -> Column:
-    """Take the marks off every hit which overlaps a label of the text."""
-    parts = F.split(marked, OPEN)
-    hits = F.zip_with(
-        F.slice(parts, F.lit(2), F.size(parts) - 1), spans_of(parts, inline_label),
-        lambda p, s: F.struct(p.alias("piece"), s.alias("span")))
-    zones = label_zones(text)
+def hit_label(x: str, label: str | None) -> str:
+    return f"substring_index({x}, '{MID}', 1)" if label is None else quote(label)
 
-    def settle(h: Column) -> Column:
-        plain = F.concat(_value(h["piece"], inline_label), F.substring_index(h["piece"], CLOSE, -1))
-        return F.when(overlaps(h["span"], zones), plain).otherwise(F.concat(F.lit(OPEN), h["piece"]))
 
-    return F.concat(F.get(parts, F.lit(0)), F.array_join(F.transform(hits, settle), ""))
+def pieces(parts: str) -> str:
+    """The parts behind the first mark; each is one hit and the text up to the next."""
+    return f"slice({parts}, 2, size({parts}) - 1)"
 
 
-def splice(parts: Column, base: Column, label: Column | None) -> Column:
-    """Put a numbered placeholder where each hit was; numbers run right to left."""
-    n = F.size(parts) - 1
+def rejoin(parts: str, lambda_sql: str) -> str:
+    return f"concat({parts}[0], array_join(transform({pieces(parts)}, {lambda_sql}), ''))"
 
-    def place(piece: Column, i: Column) -> Column:
-        name = F.substring_index(piece, MID, 1) if label is None else label
-        return F.concat(F.lit("["), name, F.lit("-" + PH_L), (base + n - 1 - i).cast("string"),
-                        F.lit(PH_R + "]"), F.substring_index(piece, CLOSE, -1))
 
-    return F.concat(F.get(parts, F.lit(0)),
-                    F.array_join(F.transform(F.slice(parts, F.lit(2), n), place), ""))
+def mark_group(raw: str) -> Column:
+    """From the raw form to plain marks around the group.
+
+    Where the group took no part in the match, the whole match is marked.
+    """
+    whole = f"substring_index(p, '{MID}', 1)"
+    lead = f"substring_index(substring_index({head('p')}, '{MID}', 2), '{MID}', -1)"
+    value = hit_value("p", True)
+    rest = f"substr({whole}, length({lead}) + length({value}) + 1)"
+    settle = (f"p -> CASE WHEN {value} = '' THEN concat('{OPEN}', {whole}, '{CLOSE}', {tail('p')}) "
+              f"ELSE concat({lead}, '{OPEN}', {value}, '{CLOSE}', {rest}, {tail('p')}) END")
+    return F.expr(f"CASE WHEN contains({raw}, '{OPEN}') THEN "
+                  f"{rejoin(f'split({raw}, {quote(OPEN)})', settle)} ELSE {raw} END")
+
+
+def mark_spans(text: str, spans: str) -> Column:
+    """Given, sorted, disjoint ``(start, end, label)`` spans as ``OPEN label MID value CLOSE``."""
+    return F.expr(
+        f"CASE WHEN size({spans}) > 0 THEN aggregate({spans}, struct(0 AS pos, '' AS out), "
+        f"(a, s) -> struct(s.end AS pos, concat(a.out, substr({text}, a.pos + 1, s.start - a.pos), "
+        f"'{OPEN}', s.label, '{MID}', substr({text}, s.start + 1, s.end - s.start), '{CLOSE}') AS out), "
+        f"a -> concat(a.out, substr({text}, a.pos + 1))) ELSE {text} END")
+
+
+def split_words(marked: str, label: str) -> Column:
+    """One hit per word where ``label`` has a hit of several words."""
+    start = label + MID
+    words = (f"regexp_replace({hit_value('p', True)}, '(?U)(\\\\S+)', "
+             f"{quote(OPEN + start + '$1' + CLOSE)})")
+    each = (f"p -> CASE WHEN startswith(p, {quote(start)}) THEN concat({words}, {tail('p')}) "
+            f"ELSE concat('{OPEN}', p) END")
+    return F.expr(f"CASE WHEN contains({marked}, {quote(OPEN + start)}) THEN "
+                  f"{rejoin(f'split({marked}, {quote(OPEN)})', each)} ELSE {marked} END")
+
+
+def spans_of(parts: str, inline_label: bool = False) -> str:
+    """Start and end (0-based, end exclusive) of every hit in the text without marks."""
+    end = f"a.pos + length({hit_value('p', inline_label)})"
+    return (f"aggregate({pieces(parts)}, struct(length({parts}[0]) AS pos, "
+            f"cast(array() AS {SPAN_TYPE}) AS spans), "
+            f"(a, p) -> struct({end} + length({tail('p')}) AS pos, "
+            f"array_append(a.spans, named_struct('start', a.pos, 'end', {end})) AS spans), "
+            f"a -> a.spans)")
 
 
-def hits(parts: Column, rule_ix: int, label: Column | None) -> Column:
-    """The hits of one rule, right to left, as occurrence structs."""
-    def entry(piece: Column) -> Column:
-        name = F.substring_index(piece, MID, 1) if label is None else label
-        return F.struct(F.lit(rule_ix).alias("rule_ix"), name.alias("label"),
-                        _value(piece, label is None).alias("value"))
+def label_zones(text: str) -> str:
+    """The spans of labels already in the text."""
+    marked = f"regexp_replace({text}, {quote(LABEL_SHAPE)}, {quote(OPEN + '$0' + CLOSE)})"
+    return spans_of(f"split({marked}, '{OPEN}')")
 
-    return F.reverse(F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), entry))
 
+def overlaps(span: str, zones: str) -> str:
+    """The start or the last character lies in a zone (enclosing a zone is allowed)."""
+    return (f"exists({zones}, z -> {span}.start BETWEEN z.start AND z.end - 1 "
+            f"OR {span}.end - 1 BETWEEN z.start AND z.end - 1)")
 
-def fill(text: Column, replacement_of) -> Column:
-    """Replace every placeholder by ``replacement_of(label, k)``."""
-    marked = F.regexp_replace(text, F.lit(PLACEHOLDER), F.lit(f"{OPEN}$1{MID}$2{CLOSE}"))
-    parts = F.split(marked, OPEN)
 
-    def place(piece: Column) -> Column:
-        head = F.substring_index(piece, CLOSE, 1)
-        k = F.substring_index(head, MID, -1).cast("int")
-        return F.concat(replacement_of(F.substring_index(head, MID, 1), k),
-                        F.substring_index(piece, CLOSE, -1))
+def settled_parts(text: str, marked: str, inline_label: bool = False) -> Column:
+    """The parts around the accepted hits; null where there is no hit.
 
-    return F.when(F.contains(text, F.lit(PH_L)), F.concat(
-        F.get(parts, F.lit(0)),
-        F.array_join(F.transform(F.slice(parts, F.lit(2), F.size(parts) - 1), place), "")),
-    ).otherwise(text)
+    Zones matter only where the text has a bracket.  They enter the fold as part of its
+    start value, so they are found once per row and not once per hit.
+    """
+    split = f"split({marked}, '{OPEN}')"
+    hits = (f"zip_with({pieces(split)}, {spans_of(split, inline_label)}, "
+            f"(p, s) -> struct(p AS piece, s AS span))")
+    plain = f"concat({hit_value('h.piece', inline_label)}, {tail('h.piece')})"
+    fold = (f"aggregate({hits}, struct({label_zones(text)} AS zones, {split}[0] AS out), "
+            f"(a, h) -> struct(a.zones AS zones, concat(a.out, CASE WHEN {overlaps('h.span', 'a.zones')} "
+            f"THEN {plain} ELSE concat('{OPEN}', h.piece) END) AS out), a -> a.out)")
+    return F.expr(f"CASE WHEN contains({marked}, '{OPEN}') THEN split("
+                  f"CASE WHEN contains({text}, '[') THEN {fold} ELSE {marked} END, '{OPEN}') END")
+
+
+def splice(text: str, parts: str, base: str, label: str | None) -> str:
+    """A numbered placeholder where each hit was; numbers run right to left."""
+    place = (f"(p, i) -> concat('[', {hit_label('p', label)}, '-{PH_L}', "
+             f"cast({base} + size({parts}) - 2 - i AS string), '{PH_R}]', {tail('p')})")
+    return f"CASE WHEN size({parts}) > 1 THEN {rejoin(parts, place)} ELSE {text} END"
+
+
+def append_hits(occ: str, parts: str, rule_ix: int, label: str | None) -> Column:
+    """The row's hit list, longer by the hits of one rule from right to left."""
+    entry = (f"p -> named_struct('rule_ix', {rule_ix}, 'label', {hit_label('p', label)}, "
+             f"'value', {hit_value('p', label is None)})")
+    return F.expr(f"CASE WHEN size({parts}) > 1 THEN "
+                  f"concat({occ}, reverse(transform({pieces(parts)}, {entry}))) ELSE {occ} END")
+
+
+def fill(text: str, replacement: str) -> Column:
+    """Replace every placeholder; ``replacement`` is SQL over ``label`` and ``k``."""
+    marked = f"regexp_replace({text}, {quote(PLACEHOLDER)}, {quote(f'{OPEN}$1{MID}$2{CLOSE}')})"
+    new = replacement.format(label=f"substring_index(p, '{MID}', 1)",
+                             k=f"cast({hit_value('p', True)} AS int)")
+    return F.expr(f"CASE WHEN contains({text}, '{PH_L}') THEN "
+                  f"{rejoin(f'split({marked}, {quote(OPEN)})', f'p -> concat({new}, {tail(chr(112))})')} "
+                  f"ELSE {text} END")

@@ -1,8 +1,9 @@
 """Detection: ordered rules over one text column, all inside the row (no shuffle).
 
-Each rule adds three narrow projections: mark the hits with one regex pass, take the marks
-off hits that overlap a label (only where the text has a bracket), and put placeholders
-where the hits were.  Rows without a hit leave the rule after the regex pass.
+Each rule adds three narrow projections: mark the hits with one regex pass, settle which
+hits stay (labels of earlier rules are protected; looked at only where the text has a
+bracket), and put placeholders where the hits were.  Rows without a hit leave the rule
+after the regex pass.
 """
 
 from __future__ import annotations
@@ -21,65 +22,63 @@ def detect(df: DataFrame, detectors: list[Detector], text: str = "text", row_id:
     """Run the detectors in order; adds ``occ``, the row's hits in creation order.
 
     ``span_source`` serves the model rule: either a function ``Column -> Column`` giving
-    ``array<struct<start:int,end:int,label:string>>`` for the text after the earlier rules,
-    or a frame ``(row_id, start, end, label)``.
+    sorted ``array<struct<start:int,end:int,label:string>>`` for the text after the earlier
+    rules (a pandas UDF around a model, for instance), or a frame
+    ``(row_id, start, end, label)``.
     """
     df = df.withColumns({text: M.guard_input(F.col(text)), OCC: F.array().cast(M.OCC_TYPE)})
     for d in detectors:
-        if d.kind == "spans" and span_source is None:
-            continue
-        df = run_detector(df, d, text, row_id, span_source)
+        if d.kind != "spans" or span_source is not None:
+            df = run_detector(df, d, text, row_id, span_source)
     return df.drop("__marked", "__parts")
 
 
-def run_detector(df, d: Detector, text: str, row_id: str, span_source=None) -> DataFrame:
-    t = F.col(text)
-    inline = d.kind in ("spans", "custom")
+def run_detector(df: DataFrame, d: Detector, text: str, row_id: str, span_source=None) -> DataFrame:
+    label = d.label if d.kind == "pattern" else None       # None: each hit names its own
     if d.kind == "pattern":
-        marked = (M.mark_group(t, d.pattern, d.group, list(range(d.lead_groups))) if d.group
-                  else M.mark_whole(t, d.pattern))
-    elif d.kind == "custom":
-        marked = _marked_spans(t, d.params["fn"](F.translate(t, M.PH_L + M.PH_R, "00"), d.params))
-    elif d.kind == "phrase_table":
-        from veilwork.operators.phrases import phrase_spans
-        df = _attach_spans(df, phrase_spans(df.select(row_id, text), d.params["table"], row_id, text)
-                           .withColumn("label", F.lit(d.label)), row_id)
-        marked, inline = _marked_spans(t, F.col("__spans")), True
+        df = _mark_pattern(df, d, text)
     else:
-        wanted = F.array(*[F.lit(x) for x in d.params["labels"]])
-        if isinstance(span_source, DataFrame):
-            df = _attach_spans(df, span_source, row_id)
-            spans = F.col("__spans")
-        else:
-            # A placeholder is shown to the model with digits in place of the two
-            # noncharacters: a label of the same length, so offsets stay valid.
-            df = df.withColumn("__spans", span_source(F.translate(t, M.PH_L + M.PH_R, "00")))
-            spans = F.col("__spans")
-        marked = _marked_spans(t, F.filter(spans, lambda s: F.array_contains(wanted, s["label"])))
-        for label in d.params["split"]:
-            df = df.withColumn("__marked", marked)
-            marked = M.split_words(F.col("__marked"), label)
-    df = df.withColumn("__marked", marked)
-    m = F.col("__marked")
-    settled = F.when(F.contains(t, F.lit("[")), M.unmark_overlaps(m, t, inline)).otherwise(m)
-    df = df.withColumn("__parts", F.when(M.has_marks(m), F.split(settled, M.OPEN)))
-    parts, label = F.col("__parts"), None if inline else F.lit(d.label)
-    hit = F.size(parts) > 1
-    new_text = F.when(hit, M.splice(parts, F.size(OCC), label)).otherwise(t)
+        df = _mark_spans(df, d, text, row_id, span_source)
+    df = df.withColumn("__parts", M.settled_parts(text, "__marked", label is None))
+    new_text = F.expr(M.splice(text, "__parts", f"size({OCC})", label))
     if d.kind == "spans":
         new_text = F.replace(new_text, F.lit("$"), F.lit(""))          # D14
-    df = df.withColumns({
-        text: new_text,
-        OCC: F.when(hit, F.concat(F.col(OCC), M.hits(parts, d.rule_ix, label))).otherwise(F.col(OCC)),
-    })
-    return df.drop("__spans") if "__spans" in df.columns else df
+    return df.withColumns({text: new_text, OCC: M.append_hits(OCC, "__parts", d.rule_ix, label)})
 
 
-def _marked_spans(text, spans):
-    return F.when(F.size(spans) > 0, M.mark_spans(text, spans)).otherwise(text)
+def _mark_pattern(df: DataFrame, d: Detector, text: str) -> DataFrame:
+    t = F.col(text)
+    marked = (M.mark_group_raw(t, d.pattern, d.group, d.lead_groups) if d.group
+              else M.mark_whole(t, d.pattern))
+    if d.needs:
+        marked = F.when(F.contains(t, F.lit(d.needs)), marked).otherwise(t)
+    df = df.withColumn("__marked", marked)
+    return df.withColumn("__marked", M.mark_group("__marked")) if d.group else df
+
+
+def _mark_spans(df: DataFrame, d: Detector, text: str, row_id: str, span_source) -> DataFrame:
+    # A placeholder is shown with digits in place of its two noncharacters: a label of the
+    # same length, so offsets stay valid.
+    shown = F.translate(F.col(text), M.PH_L + M.PH_R, "00")
+    if d.kind == "custom":
+        df = df.withColumn("__spans", F.transform(d.params["fn"](shown, d.params), lambda s: F.struct(
+            s["start"].alias("start"), s["end"].alias("end"), F.lit(d.label).alias("label"))))
+    elif d.kind == "phrase_table":
+        from veilwork.operators.phrases import phrase_spans
+        found = phrase_spans(df.select(row_id, shown.alias(text)), d.params["table"], row_id, text)
+        df = attach_spans(df, found.withColumn("label", F.lit(d.label)), row_id)
+    else:
+        df = (attach_spans(df, span_source, row_id) if isinstance(span_source, DataFrame)
+              else df.withColumn("__spans", span_source(shown)))
+        wanted = F.array(*[F.lit(x) for x in d.params["labels"]])
+        df = df.withColumn("__spans", F.filter("__spans", lambda s: F.array_contains(wanted, s["label"])))
+    df = df.withColumn("__marked", M.mark_spans(text, "__spans")).drop("__spans")
+    for label in d.params.get("split", []):
+        df = df.withColumn("__marked", M.split_words("__marked", label))
+    return df
 
 
-def _attach_spans(df, spans: DataFrame, row_id: str) -> DataFrame:
+def attach_spans(df: DataFrame, spans: DataFrame, row_id: str) -> DataFrame:
     """One sorted span array per row, by an equi-join on the row id."""
     per_row = spans.groupBy(row_id).agg(F.array_sort(F.collect_list(
         F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end"),
@@ -87,8 +86,8 @@ def _attach_spans(df, spans: DataFrame, row_id: str) -> DataFrame:
     return df.join(per_row, row_id, "left")
 
 
-def accepted_hits(df, detectors, text="text", keep=(), **kw) -> DataFrame:
+def explode_hits(found: DataFrame, keep=("row_id", "conversation_id")) -> DataFrame:
     """The hits as rows: ``(*keep, k, rule_ix, label, value)``; k is the creation order in the row."""
-    found = detect(df, detectors, text, **kw)
-    return (found.where(F.size(OCC) > 0).select(*keep, F.posexplode(OCC).alias("k", "o"))
+    return (found.where(F.size(OCC) > 0)
+            .select(*keep, F.posexplode(OCC).alias("k", "o"))
             .select(*keep, "k", "o.rule_ix", "o.label", "o.value"))

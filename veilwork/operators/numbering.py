@@ -11,18 +11,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from veilwork.operators.detect import OCC
+from veilwork.functions import marks as M
+from veilwork.operators.detect import OCC, explode_hits  # noqa: F401
 
 BLOCK_ROWS = 50_000
 KEY = ["conversation_id", "label", "value"]
 
 
-def explode_hits(found: DataFrame, keep=("row_id", "conversation_id")) -> DataFrame:
-    return (found.where(F.size(OCC) > 0)
-            .select(*keep, F.posexplode(OCC).alias("k", "o"))
-            .select(*keep, "k", "o.rule_ix", "o.label", "o.value"))
-
-
 def with_block(hits: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return hits.withColumn("block", F.floor(F.col("row_id") / block_rows).cast("bigint"))
 
@@ -116,15 +111,12 @@ def audit(indexed: DataFrame, by_conversation: bool) -> DataFrame:
 
 def render(found: DataFrame, indexed: DataFrame, restore: list[str], text: str = "text") -> DataFrame:
     """Fill the placeholders.  Only rows with hits are shuffled; the others pass by."""
-    from veilwork.functions import marks as M
     per_row = indexed.groupBy("row_id").agg(
         F.array_sort(F.collect_list(F.struct("k", "ix"))).alias("__ix"))
     hit = found.where(F.size(OCC) > 0).join(per_row, "row_id")
-    restored = F.array(*[F.lit(r) for r in restore]).cast("array<string>")
-
-    def replacement(label, k):
-        return F.when(F.array_contains(restored, label), F.get(F.col(OCC), k)["value"]).otherwise(
-            F.concat(F.lit("["), label, F.lit("-"), F.get(F.col("__ix"), k)["ix"].cast("string"), F.lit("]")))
-
-    hit = hit.withColumn(text, M.fill(F.col(text), replacement)).drop("__ix")
+    label = "concat('[', {label}, '-', cast(__ix[{k}].ix AS string), ']')"
+    if restore:
+        names = ", ".join(M.quote(r) for r in restore)
+        label = f"CASE WHEN {{label}} IN ({names}) THEN {OCC}[{{k}}].value ELSE {label} END"
+    hit = hit.withColumn(text, M.fill(text, label)).drop("__ix")
     return hit.unionByName(found.where(F.size(OCC) == 0))

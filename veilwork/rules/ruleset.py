@@ -33,6 +33,7 @@ class Detector:
     pattern: str = ""
     group: int = 0                   # 0 = whole match
     lead_groups: int = 0
+    needs: str = ""                  # a literal without which the pattern cannot match
     params: dict = field(default_factory=dict, compare=False)
 
 
@@ -188,7 +189,8 @@ class RuleSet:
             found, group = self.patterns_in(params), params.get("group", 1)
             if params.get("single-regex", True):
                 found = [dialect.alternation(found)]
-            return [compile_pattern(rule_ix, rule, p, flags, group) for p in found]
+            return [compile_pattern(rule_ix, rule, p, flags, group, needs=params.get("needs", ""))
+                    for p in found]
         if kind in ("phraselist", "phrasedict"):
             from veilwork.sources.phrases import rule_phrases
             edge = [r"\b"] if params.get("add-wordbreak", True) else [""]
@@ -205,7 +207,7 @@ class RuleSet:
         raise RuleError(f"rule {rule}: unknown detector {kind!r}")
 
 
-def compile_pattern(rule_ix, rule, pattern, flags="i", group=1, label=None) -> Detector:
+def compile_pattern(rule_ix, rule, pattern, flags="i", group=1, label=None, needs="") -> Detector:
     """One detector pattern.  Group 1 stands for the whole match, as in the rule documents."""
     java, names, prefix = dialect.to_java(pattern, flags)
     lead = number = 0
@@ -214,4 +216,4 @@ def compile_pattern(rule_ix, rule, pattern, flags="i", group=1, label=None) -> D
         if number is None:
             raise dialect.PatternError(f"no group named {group}")
         java, number, lead = dialect.capture_lead(java, number)
-    return Detector(rule_ix, rule, label or rule, "pattern", prefix + java, number, lead)
+    return Detector(rule_ix, rule, label or rule, "pattern", prefix + java, number, lead, needs)

@@ -64,6 +64,24 @@ def street_suffixes(extra=()) -> list[str]:
     return sorted(words, key=lambda w: (-len(w), w))
 
 
+# ---- guards --------------------------------------------------------------------------
+def starts_with(words, also: str = "") -> str:
+    """A look-ahead for the first three letters of the words.
+
+    It changes no result (every alternative behind it begins with one of the words) but
+    lets the regex engine leave most positions at once instead of trying each alternative.
+    """
+    by_letter: dict[str, set] = {}
+    for w in words:
+        by_letter.setdefault(w[0].lower(), set()).add(w[1:3].lower())
+    tree = "|".join(f"{c}(?:{'|'.join(sorted(rest))})" for c, rest in sorted(by_letter.items()))
+    return f"(?=[{''.join(sorted(by_letter))}0-9])(?={tree}{'|' + also if also else ''})"
+
+
+IGNORE_STARTS = ("first today yesterday cv pin tomorrow this that another some last next previous new "
+                 "old second third fourth fifth sixth seventh eighth ninth tenth twenty thirty").split()
+ORDINAL_STARTS = "fir seco thi four fif six seven eigh nin ten eleven twelf twen for".split()
+
 # ---- fixed values: detector formats --------------------------------------------------
 IGNORE_PHRASES = [
     "first name",
@@ -81,7 +99,7 @@ IGNORE_PHRASES = [
 ]
 PHONE_TEXT = (r"((?:(?<![\d-])(?:\+?\d{1,3}[-.\s*]?)?(?:\(?\d{3}\)?[-.\s*]?)?\d{3}[-.\s*]?\d{4}(?![\d-]))"
               r"|(?:(?<![\d-])(?:(?:\(\+?\d{2}\))|(?:\+?\d{2}))\s*\d{2}\s*\d{3}\s*\d{4}(?![\d-])))")
-EMAIL = r"[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}"
+EMAIL = r"[A-Z0-9._%+-]++@[A-Z0-9.-]+\.[A-Z]{2,}"
 CCARD_TEXT = r"(?:\d[ -]*?){13,16}"
 SSN_TEXT = (r"(^|\s)(?<ssn>(?!000|666)[0-8][0-9]{2}(-|\s)?(?!00)[0-9]{2}(-|\s)?(?!0000)[0-9]{4})"
             r"(\s|$|\.)")
@@ -137,11 +155,11 @@ def ordinal_grammar() -> str:
     return _scales(f"(?:{tens}|{numeric}|(?:{stems})ty[- ]{one9}|{teens}|{one9})", one9)
 
 
-# A number word starts with one of these letters; the guard only saves time.
-_WORD_START = r"(?=[zotfsen])"
-ORDINAL = r"(?=[fsten1-9])" + ordinal_grammar()
-CARDINAL_TEXT = (rf"(?:\b{_WORD_START}{cardinal_grammar()}|\d+)(?!\s*(?:st|nd|rd|th|{NOT_A_COUNT}))")
-CARDINAL_VOICE = rf"\b{_WORD_START}{cardinal_grammar()}(?!\s*(?:{NOT_A_COUNT}))"
+ORDINAL = starts_with(ORDINAL_STARTS, "[1-9][0-9snrt]") + ordinal_grammar()
+_NUMBER_WORD = (r"\b" + starts_with((ONE_TO_NINE + "|" + TEN_TO_NINETEEN + "|" + TENS + "|zero").split("|"))
+                + cardinal_grammar())
+CARDINAL_TEXT = rf"(?:{_NUMBER_WORD}|\d+)(?!\s*(?:st|nd|rd|th|{NOT_A_COUNT}))"
+CARDINAL_VOICE = rf"{_NUMBER_WORD}(?!\s*(?:{NOT_A_COUNT}))"
 
 
 def address(extra_suffixes=()) -> str:
@@ -154,11 +172,12 @@ def address(extra_suffixes=()) -> str:
 
 def shipped_rules(street_suffixes=()) -> dict:
     """The default rule document: same keys as a user's rule file."""
-    def regex(text=None, voice=None, group=None):
+    def regex(text=None, voice=None, group=None, needs=""):
         blocks = {}
         for modality, pattern in (("text", text), ("voice", voice)):
             if pattern is not None:
-                blocks[modality] = {"regex": pattern, **({"group": group} if group else {})}
+                blocks[modality] = {"regex": pattern, **({"group": group} if group else {}),
+                                    **({"needs": needs} if needs else {})}
         return {"model-class": "regex", **blocks}
 
     def generate(text, voice=None):
@@ -169,21 +188,23 @@ def shipped_rules(street_suffixes=()) -> dict:
         return {"model-class": kind, "text": block, "voice": block}
 
     from veilwork.rules import surrogate_lists as lists
+    words = (COUNT_WORDS + "|" + TENS).split("|") + IGNORE_STARTS
+    guarded = starts_with(words, "[0-9]") + "((" + ")|(".join(IGNORE_PHRASES) + "))"
     where = address(street_suffixes)
     removed = {"model-class": "nullstring"}
     ent = {
-        "_IGNORE_": {"redactor": regex(IGNORE_PHRASES, IGNORE_PHRASES),
+        "_IGNORE_": {"redactor": regex(guarded, guarded),
                      "anonymizer": {"model-class": "restoreentitytext"}},
         "_SPACY_": {"redactor": {"model-class": "spans"}},
         "ADDRESS": {"redactor": regex(where, where),
                     "anonymizer": phrases(lists.STREETS, kind="address")},
         "CCARD": {"redactor": regex(CCARD_TEXT, CCARD_VOICE),
                   "anonymizer": generate(lists.CCARD_TEXT, lists.CCARD_VOICE)},
-        "PHONE": {"redactor": regex(PHONE_TEXT, PHONE_VOICE), "anonymizer": {"model-class": "phone"}},
+        "PHONE": {"redactor": regex(r"(?=[\d+(])" + PHONE_TEXT, PHONE_VOICE), "anonymizer": {"model-class": "phone"}},
         "SSN": {"redactor": regex(SSN_TEXT, SSN_VOICE, "ssn"), "anonymizer": {"model-class": "ssn"}},
-        "ZIP": {"redactor": regex(ZIP_TEXT, ZIP_VOICE, "zip"),
+        "ZIP": {"redactor": regex(r"(?=\d|[A-Z\s]\d)(?:" + ZIP_TEXT + ")", ZIP_VOICE, "zip"),
                 "anonymizer": phrases(lists.ZIPS, kind="zipc")},
-        "EMAIL": {"redactor": regex(EMAIL, EMAIL),
+        "EMAIL": {"redactor": regex(EMAIL, EMAIL, needs="@"),
                   "anonymizer": phrases(lists.FIRST_NAMES, lists.MAIL_DOMAINS)},
         "PIN": {"redactor": regex(PIN_TEXT, PIN_VOICE, "pin"),
                 "anonymizer": generate(lists.PIN_TEXT, lists.PIN_VOICE)},
