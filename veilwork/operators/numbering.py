@@ -55,58 +55,67 @@ def block_values(hits: DataFrame, *aggregates) -> DataFrame:
     return hits.groupBy("block", *KEY).agg(F.count("*").alias("n"), *aggregates)
 
 
-def global_index(hits: DataFrame, compat: bool = False) -> DataFrame:
+def global_index(hits: DataFrame, compat: bool = False) -> tuple[DataFrame, DataFrame]:
     """The index of a value is the sequence number of its first hit in the conversation.
 
     ``compat`` reproduces E4: number 0 is not remembered, so the second hit of that first
-    value brings its own number.  Input needs ``seq`` and ``block``.
+    value brings its own number.  Input needs ``seq`` and ``block``.  Returns the hits with
+    ``ix`` and the dictionary ``(KEY, ix, first_seq)``.
     """
     later = F.min(F.when(F.col("seq") > 0, F.col("seq")))
     per_block = block_values(hits, F.min("seq").alias("__first"), later.alias("__later"))
-    firsts = per_block.groupBy(*KEY).agg(F.min("__first").alias("first_seq"),
+    firsts = per_block.groupBy(*KEY).agg(F.sum("n").alias("n"), F.min("__first").alias("first_seq"),
                                          F.min("__later").alias("__second"))
-    ix = F.col("first_seq")
-    if compat:
-        ix = F.when((F.col("first_seq") == 0) & F.col("__second").isNotNull(), F.col("__second")).otherwise(ix)
-    values = (per_block.select("block", *KEY)
-              .join(firsts.withColumn("ix", ix), KEY)
-              .select("block", *KEY, "ix", "first_seq"))
-    out = hits.join(values, ["block", *KEY])
-    if compat:
-        out = out.withColumn("ix", F.when(F.col("seq") == 0, F.lit(0)).otherwise(F.col("ix")))
-    return out
-
-
-def first_values(hits: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """E6 dictionary: ``KEY`` with its dense index by first position in the conversation."""
-    position = F.struct("row_id", "k")
-    per_block = block_values(with_block(hits, block_rows), F.min(position).alias("__first"))
-    firsts = (per_block.groupBy(*KEY).agg(F.min("__first").alias("__first"), F.sum("n").alias("n"))
-              .select(*KEY, "n", F.col("__first.row_id").alias("row_id"), F.col("__first.k").alias("k")))
-    return running_number(with_block(firsts, block_rows), ["block"], ["row_id", "k"], "ix",
-                          within=["conversation_id"])
-
-
-def conversation_index(hits: DataFrame, block_rows: int = BLOCK_ROWS,
-                       dictionary: DataFrame | None = None) -> DataFrame:
-    """Dense index per conversation.
-
-    The dictionary is joined to the distinct values of each block first, so a value that
-    fills a third of the table meets it once per block, and then to the hits by block.
+    dictionary = firsts.select(*KEY, "n", F.col("first_seq").alias("ix"), "first_seq")
+    if not compat:
+        return spread_index(hits, dictionary), dictionary
+    reissued = firsts.where((F.col("first_seq") == 0) & F.col("__second").isNotNull()).select(
+        *KEY, "n", F.col("__second").alias("ix"), F.col("__second").alias("first_seq"))
+    later_ix = F.when(F.col("first_seq") == 0, F.coalesce("__second", "first_seq")).otherwise(F.col("first_seq"))
+    out = spread_index(hits, firsts.select(*KEY, later_ix.alias("ix")))
+    return (out.withColumn("ix", F.when(F.col("seq") == 0, F.lit(0)).otherwise(F.col("ix"))),
+            dictionary.unionByName(reissued))
+
+
+def dictionary_of(hits: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """E6 dictionary: ``(KEY, n, ix)``, ix dense by first position inside the conversation.
+
+    The position of a hit inside its block is one number, so both steps aggregate in hash
+    tables with partial sums before the shuffle.
     """
-    hits = with_block(hits, block_rows)
-    words = (first_values(hits, block_rows) if dictionary is None else dictionary).select(*KEY, "ix")
-    values = hits.select("block", *KEY).distinct().join(words, KEY)
+    place = (F.col("row_id") - F.col("block") * block_rows) * F.lit(1 << 40) + F.col("k")
+    per_block = block_values(with_block(hits, block_rows), F.min(place).alias("__place"))
+    firsts = per_block.groupBy(*KEY).agg(
+        F.sum("n").alias("n"), F.min("block").alias("first_block"),
+        F.min_by("__place", "block").alias("first_place"))
+    return running_number(firsts, ["first_block"], ["first_place"], "ix", within=["conversation_id"])
+
+
+def spread_index(hits: DataFrame, dictionary: DataFrame) -> DataFrame:
+    """Bring the index of each value to its hits.
+
+    The dictionary meets the distinct values of each block first, so a value that fills a
+    third of the table takes part once per block, and then the hits by block and value.
+    """
+    values = hits.select("block", *KEY).distinct().join(dictionary.select(*KEY, "ix"), KEY)
     return hits.join(values, ["block", *KEY])
 
 
-def audit(indexed: DataFrame, by_conversation: bool) -> DataFrame:
-    """Label with the value of its first hit."""
-    order = F.struct("seq") if "seq" in indexed.columns else F.struct("row_id", "k")
-    keys = (["conversation_id"] if by_conversation else []) + ["label_ix"]
-    out = (indexed.withColumn("label_ix", F.concat_ws("-", "label", F.col("ix").cast("string")))
-           .groupBy(*keys).agg(F.min_by("value", order).alias("value"), F.min(order).alias("first")))
-    return out.withColumnRenamed("label_ix", "label_name").withColumnRenamed("label_name", "label")
+def conversation_index(hits: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
+    """Dense index per conversation.  Returns the hits with ``ix`` and the dictionary."""
+    dictionary = dictionary_of(hits, block_rows)
+    return spread_index(with_block(hits, block_rows), dictionary), dictionary
+
+
+def audit_log(dictionary: DataFrame) -> DataFrame:
+    """Each label with its first value, and what orders labels by creation.
+
+    An index names one value only, so the dictionary is the log.
+    """
+    name = F.concat_ws("-", "label", F.col("ix").cast("string")).alias("label")
+    if "first_seq" in dictionary.columns:
+        return dictionary.select(name, "value", F.col("first_seq").alias("seq"))
+    return dictionary.select("conversation_id", name, "value", F.col("ix").alias("seq"))
 
 
 def render(found: DataFrame, indexed: DataFrame, restore: list[str], text: str = "text") -> DataFrame:

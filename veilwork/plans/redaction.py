@@ -54,7 +54,7 @@ class RedactionJob:
         steps = self.rules.detectors(self.modality, self.level, self.redact, df.sparkSession)
         return detect(df, steps, text, span_source=self.span_source)
 
-    def index(self, found: DataFrame) -> DataFrame:
+    def index(self, found: DataFrame) -> tuple[DataFrame, DataFrame]:
         keep = [c for c in ("file_ix", "chunk_id") if c in found.columns]
         hits = N.explode_hits(found, ["row_id", "conversation_id", *keep])
         if self.numbering == "global":
@@ -66,7 +66,7 @@ class RedactionJob:
         if conversation != "conversation_id":
             df = df.withColumn("conversation_id", F.col(conversation))
         found = keep_once(self.detect(df, text))
-        indexed = self.index(found)
+        indexed, dictionary = self.index(found)
         restore = [r for r in self.rules.anonymization_order(self.level, self.anonymize)
                    if self.restores(r)]
         out = N.render(found, indexed, restore, text).drop(OCC)
@@ -76,7 +76,7 @@ class RedactionJob:
         out = clean_text(out, text)
         if self.uppercase:
             out = out.withColumn(text, F.upper(text))
-        return out.select(*columns), N.audit(indexed, self.numbering == "conversation")
+        return out.select(*columns), N.audit_log(dictionary)
 
     def restores(self, rule: str) -> bool:
         from veilwork.rules.ruleset import kind_of
