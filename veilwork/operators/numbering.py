@@ -77,18 +77,23 @@ def global_index(hits: DataFrame, compat: bool = False) -> tuple[DataFrame, Data
             dictionary.unionByName(reissued))
 
 
-def dictionary_of(hits: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """E6 dictionary: ``(KEY, n, ix)``, ix dense by first position inside the conversation.
+def first_places(hits: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """The distinct values ``(KEY, n)`` with the block and place of their first hit.
 
     The position of a hit inside its block is one number, so both steps aggregate in hash
     tables with partial sums before the shuffle.
     """
     place = (F.col("row_id") - F.col("block") * block_rows) * F.lit(1 << 40) + F.col("k")
     per_block = block_values(with_block(hits, block_rows), F.min(place).alias("__place"))
-    firsts = per_block.groupBy(*KEY).agg(
+    return per_block.groupBy(*KEY).agg(
         F.sum("n").alias("n"), F.min("block").alias("first_block"),
         F.min_by("__place", "block").alias("first_place"))
-    return running_number(firsts, ["first_block"], ["first_place"], "ix", within=["conversation_id"])
+
+
+def dictionary_of(hits: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """E6 dictionary: ``(KEY, n, ix)``, ix dense by first position inside the conversation."""
+    return running_number(first_places(hits, block_rows), ["first_block"], ["first_place"], "ix",
+                          within=["conversation_id"])
 
 
 def spread_index(hits: DataFrame, dictionary: DataFrame) -> DataFrame:
