@@ -1,6 +1,6 @@
 """All named queries."""
 
-from veilwork.catalog import rules  # noqa: F401
+from veilwork.catalog import numbering, rules, text  # noqa: F401
 from veilwork.catalog.base import QUERIES, SQL as ORACLE
 
 __all__ = ["QUERIES", "ORACLE"]

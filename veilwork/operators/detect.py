@@ -30,7 +30,17 @@ def detect(df: DataFrame, detectors: list[Detector], text: str = "text", row_id:
     for d in detectors:
         if d.kind != "spans" or span_source is not None:
             df = run_detector(df, d, text, row_id, span_source)
-    return df.drop("__marked", "__parts")
+    return fence(df.drop("__marked", "__parts"), text, OCC)
+
+
+def fence(df: DataFrame, *columns: str) -> DataFrame:
+    """Keep later filters above the rule chain.
+
+    A filter on ``occ`` or the text would otherwise be pushed through every projection, and
+    each step would copy the expressions below it several times.  Filters are not pushed
+    through a projection that is not deterministic; the condition is always true.
+    """
+    return df.withColumns({c: F.when(F.rand(0) >= 0, F.col(c)) for c in columns})
 
 
 def run_detector(df: DataFrame, d: Detector, text: str, row_id: str, span_source=None) -> DataFrame:
