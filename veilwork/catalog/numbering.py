@@ -133,7 +133,7 @@ def i3(spark, sf_dir):
 SELECT row_id, value, row_number() OVER (PARTITION BY row_id ORDER BY i) AS ix FROM hits""")
 def i4(spark, sf_dir):
     df = detect(transcripts(spark, sf_dir), only("EMAIL"))
-    return df.where("size(occ) > 0").select("row_id", F.posexplode(F.reverse("occ")).alias("p", "o")).select(
+    return df.select("row_id", F.posexplode_outer(F.reverse("occ")).alias("p", "o")).where("p IS NOT NULL").select(
         "row_id", "o.value", (F.col("p") + 1).cast("bigint").alias("ix"))
 
 

@@ -30,17 +30,7 @@ def detect(df: DataFrame, detectors: list[Detector], text: str = "text", row_id:
     for d in detectors:
         if d.kind != "spans" or span_source is not None:
             df = run_detector(df, d, text, row_id, span_source)
-    return fence(df.drop("__marked", "__parts"), text, OCC)
-
-
-def fence(df: DataFrame, *columns: str) -> DataFrame:
-    """Keep later filters above the rule chain.
-
-    A filter on ``occ`` or the text would otherwise be pushed through every projection, and
-    each step would copy the expressions below it several times.  Filters are not pushed
-    through a projection that is not deterministic; the condition is always true.
-    """
-    return df.withColumns({c: F.when(F.rand(0) >= 0, F.col(c)) for c in columns})
+    return df.drop("__marked", "__parts")
 
 
 def run_detector(df: DataFrame, d: Detector, text: str, row_id: str, span_source=None) -> DataFrame:
@@ -97,7 +87,11 @@ def attach_spans(df: DataFrame, spans: DataFrame, row_id: str) -> DataFrame:
 
 
 def explode_hits(found: DataFrame, keep=("row_id", "conversation_id")) -> DataFrame:
-    """The hits as rows: ``(*keep, k, rule_ix, label, value)``; k is the creation order in the row."""
-    return (found.where(F.size(OCC) > 0)
-            .select(*keep, F.posexplode(OCC).alias("k", "o"))
+    """The hits as rows: ``(*keep, k, rule_ix, label, value)``; k is the creation order in the row.
+
+    The outer form keeps the optimiser from inferring a filter on ``occ`` and pushing it
+    through the whole rule chain, where it would copy the expressions of every step.
+    """
+    return (found.select(*keep, F.posexplode_outer(OCC).alias("k", "o"))
+            .where(F.col("k").isNotNull())
             .select(*keep, "k", "o.rule_ix", "o.label", "o.value"))
