@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,11 +23,12 @@ def read_phrase_document(spark, path: str, phrase_path: str) -> DataFrame:
     *outer, field = phrase_path.split(".")
     if path.endswith((".yml", ".yaml")):
         import yaml
-        text = "\n".join(r.value for r in spark.read.text(path, wholetext=True).collect())
-        df = spark.read.json(spark.createDataFrame([(json.dumps(yaml.safe_load(text)),)], "value string")
-                             .rdd.map(lambda r: r.value))
-    else:
-        df = spark.read.option("multiLine", True).json(path)
+        # A rule author's document: Spark reads it whole, the parsed leaf becomes a frame.
+        doc = yaml.safe_load(spark.read.text(path, wholetext=True).first().value)
+        leaves = [item.get(field) for item in (doc.get(outer[0]) if outer else [doc])]
+        flat = [p for leaf in leaves for p in ([leaf] if isinstance(leaf, str) else leaf or [])]
+        return spark.createDataFrame([(str(p),) for p in flat], "phrase string")
+    df = spark.read.option("multiLine", True).json(path)
     if outer:
         df = df.select(F.explode(outer[0]).alias("__item")).select(f"__item.{field}")
     leaf = F.col(field)
