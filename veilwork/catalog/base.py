@@ -2,9 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -33,9 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder under the cluster's checkpoint folder; a temporary one only where none is set."""
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{root.rstrip('/')}/veilwork-{uuid.uuid4().hex}" if root else tempfile.mkdtemp(prefix="veilwork-")
+    """A new folder for files a query writes and reads back."""
+    from veilwork.plans.redaction import checkpoint_folder
+    folder = checkpoint_folder(spark)
+    if folder is None:
+        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
+    return folder
 
 
 TRANSCRIPTS = """SELECT o_custkey AS conv_id, o_orderkey AS turn,

@@ -145,7 +145,7 @@ def _zone_query(name, source, frame):
 SELECT row_id, zone_start, CAST(zone_start + n AS INT) AS zone_end FROM label_zones""")
     def run(spark, sf_dir):
         return (frame(spark, sf_dir).where(F.contains("text", F.lit("[")))
-                .select("row_id", F.expr(f"inline({M.label_zones('text')})"))
+                .select("row_id", F.expr(f"inline_outer({M.label_zones('text')})")).where("start IS NOT NULL")
                 .withColumnsRenamed({"start": "zone_start", "end": "zone_end"}))
 
 

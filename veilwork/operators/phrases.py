@@ -31,15 +31,19 @@ def phrase_spans(rows: DataFrame, phrases: DataFrame, row_id: str = "row_id",
     if not lengths:
         return rows.select(row_id, F.lit(0).alias("start"), F.lit(0).alias("end")).where(F.lit(False))
 
-    marked = F.regexp_replace(F.col(text), F.lit(r"(?U)\w+"), F.lit(f"{M.OPEN}$0{M.CLOSE}"))
-    rows = rows.withColumn("__m", marked).withColumn("__w", F.expr(M.spans_of(f"split(__m, '{M.OPEN}')")))
-    grams = [f"""transform(slice(__w, 1, greatest(size(__w) - {n - 1}, 0)), (w, i) -> struct(
-                 w.start AS start, __w[i + {n - 1}].end AS end,
-                 lower(substr({text}, w.start + 1, __w[i + {n - 1}].end - w.start)) AS phrase))"""
+    # Words and what stands between them, in order: w0 g0 w1 g1 ...; a phrase of n words is
+    # 2n-1 of these put together.  Only words that begin some phrase start a candidate, so
+    # few strings are built where the list is selective.
+    rows = (rows.withColumn("__m", F.regexp_replace(F.col(text), F.lit(r"(?U)\w+"), F.lit(f"{M.OPEN}$0{M.CLOSE}")))
+            .withColumn("__p", F.expr(f"split(__m, '{M.OPEN}')"))
+            .select(row_id, F.expr(f"length(__p[0])").alias("__lead"), F.expr(M.pieces("__p")).alias("__p")))
+    grams = [f"""transform(slice(__p, 1, greatest(size(__p) - {n - 1}, 0)), (p, i) -> struct(
+                 i AS at, {n} AS words,
+                 lower(concat({', '.join([f"replace(__p[i + {j}], '{M.CLOSE}', '')" for j in range(n - 1)] + [M.head(f"__p[i + {n - 1}]")])})) AS phrase))"""
              for n in lengths]
-    found = (rows.select(row_id, F.expr(f"inline(concat({', '.join(grams)}))"))
-             # A frequent word is a hot join key whatever the list holds: spread it.
-             .withColumn("salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS))))
+    found = (rows.select(row_id, F.posexplode_outer("__p"))
+             if False else rows.select(row_id, F.expr(f"inline_outer(concat({', '.join(grams)}))"))
+             .where("phrase IS NOT NULL"))
     spread = phrases.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(
         "salt", F.col("salt").cast("bigint"))
     hits = found.join(spread, ["phrase", "salt"]).select(row_id, "start", "phrase_ix", "end")

@@ -70,7 +70,8 @@ def match_report(phrases: DataFrame, patterns: list[str], text: str = "test_text
     counted = (df.withColumn("exact", F.expr("size(filter(__flat, x -> x.match = 'exact'))"))
                  .withColumn("partial", F.expr("size(filter(__flat, x -> x.match = 'partial'))"))
                  .withColumn("pass", F.expr(MATCH_TYPES[match_type.upper()].format(n=len(patterns)))))
-    out = counted.select("*", F.expr("inline(__flat)")).drop("__flat")
+    # The outer form keeps the optimiser from pushing an inferred size filter below the matching.
+    out = counted.select("*", F.expr("inline_outer(__flat)")).drop("__flat").where("pattern_ix IS NOT NULL")
     seen = F.col("ix") > 0
     return (out.withColumn("left", F.when(seen, F.expr(f"substr({text}, 1, start)")).otherwise(""))
                .withColumn("matched_text", F.when(seen, F.expr(f"substr({text}, start + 1, end - start)")).otherwise(""))

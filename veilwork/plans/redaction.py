@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from dataclasses import dataclass, field
 
@@ -15,17 +16,25 @@ from veilwork.operators.detect import OCC, detect
 from veilwork.rules.ruleset import RuleSet
 
 
+def checkpoint_folder(spark) -> str | None:
+    """The shared folder of the cluster; a temporary one only for a local session without one."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and spark.sparkContext.master.startswith("local"):
+        folder = tempfile.mkdtemp(prefix="veilwork-")
+    return folder and f"{folder.rstrip('/')}/veilwork-{uuid.uuid4().hex}"
+
+
 def keep_once(df: DataFrame) -> DataFrame:
-    """Make sure an expensive frame that is read twice is computed once.
+    """Make sure an expensive frame that is read several times is computed once.
 
-    With a shared checkpoint folder the frame is written there as a columnar table and read
-    back, which also cuts the lineage; without one it is cached (lost blocks are computed
-    again from the source).
+    It is written as a columnar table to the shared checkpoint folder and read back: readers
+    prune its columns, the plan above it starts at a scan, and a lost executor costs a
+    re-read.  A cluster without such a folder gets a cache, whose lost blocks are computed
+    again from the source.
     """
-    folder = df.sparkSession.conf.get("spark.checkpoint.dir", None)
-    if not folder:
+    path = checkpoint_folder(df.sparkSession)
+    if path is None:
         return df.persist(StorageLevel.MEMORY_AND_DISK)
-    path = f"{folder.rstrip('/')}/veilwork-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 

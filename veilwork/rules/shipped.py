@@ -65,17 +65,24 @@ def street_suffixes(extra=()) -> list[str]:
 
 
 # ---- guards --------------------------------------------------------------------------
+def _any_case(letter: str) -> str:
+    """All characters which a case-blind pattern takes for the letter."""
+    return letter.lower() + letter.upper() + {"s": "\u017f", "k": "\u212a", "i": "\u0130\u0131"}.get(letter.lower(), "")
+
+
 def starts_with(words, also: str = "") -> str:
     """A look-ahead for the first three letters of the words.
 
     It changes no result (every alternative behind it begins with one of the words) but
     lets the regex engine leave most positions at once instead of trying each alternative.
+    Case is spelled out, as plain classes are much faster than case-blind ones.
     """
     by_letter: dict[str, set] = {}
     for w in words:
-        by_letter.setdefault(w[0].lower(), set()).add(w[1:3].lower())
-    tree = "|".join(f"{c}(?:{'|'.join(sorted(rest))})" for c, rest in sorted(by_letter.items()))
-    return f"(?=[{''.join(sorted(by_letter))}0-9])(?={tree}{'|' + also if also else ''})"
+        by_letter.setdefault(w[0].lower(), set()).add("".join(f"[{_any_case(c)}]" for c in w[1:3]))
+    tree = "|".join(f"[{_any_case(c)}](?:{'|'.join(sorted(rest))})" for c, rest in sorted(by_letter.items()))
+    first = "".join(map(_any_case, sorted(by_letter)))
+    return f"(?-i:(?=[{first}0-9])(?={tree}{'|' + also if also else ''}))"
 
 
 IGNORE_STARTS = ("first today yesterday cv pin tomorrow this that another some last next previous new "
@@ -155,7 +162,7 @@ def ordinal_grammar() -> str:
     return _scales(f"(?:{tens}|{numeric}|(?:{stems})ty[- ]{one9}|{teens}|{one9})", one9)
 
 
-ORDINAL = starts_with(ORDINAL_STARTS, "[1-9][0-9snrt]") + ordinal_grammar()
+ORDINAL = starts_with(ORDINAL_STARTS, "[1-9][0-9snrtSNRT\u017f]") + ordinal_grammar()
 _NUMBER_WORD = (r"\b" + starts_with((ONE_TO_NINE + "|" + TEN_TO_NINETEEN + "|" + TENS + "|zero").split("|"))
                 + cardinal_grammar())
 CARDINAL_TEXT = rf"(?:{_NUMBER_WORD}|\d+)(?!\s*(?:st|nd|rd|th|{NOT_A_COUNT}))"
@@ -201,12 +208,12 @@ def shipped_rules(street_suffixes=()) -> dict:
         "CCARD": {"redactor": regex(CCARD_TEXT, CCARD_VOICE),
                   "anonymizer": generate(lists.CCARD_TEXT, lists.CCARD_VOICE)},
         "PHONE": {"redactor": regex(r"(?=[\d+(])" + PHONE_TEXT, PHONE_VOICE), "anonymizer": {"model-class": "phone"}},
-        "SSN": {"redactor": regex(SSN_TEXT, SSN_VOICE, "ssn"), "anonymizer": {"model-class": "ssn"}},
-        "ZIP": {"redactor": regex(r"(?=\d|[A-Z\s]\d)(?:" + ZIP_TEXT + ")", ZIP_VOICE, "zip"),
+        "SSN": {"redactor": regex(r"(?=\s?\d)" + SSN_TEXT, SSN_VOICE, "ssn"), "anonymizer": {"model-class": "ssn"}},
+        "ZIP": {"redactor": regex(r"(?=\d|\D\d)(?:" + ZIP_TEXT + ")", ZIP_VOICE, "zip"),
                 "anonymizer": phrases(lists.ZIPS, kind="zipc")},
         "EMAIL": {"redactor": regex(EMAIL, EMAIL, needs="@"),
                   "anonymizer": phrases(lists.FIRST_NAMES, lists.MAIL_DOMAINS)},
-        "PIN": {"redactor": regex(PIN_TEXT, PIN_VOICE, "pin"),
+        "PIN": {"redactor": regex(r"(?=\s?\d)" + PIN_TEXT, PIN_VOICE, "pin"),
                 "anonymizer": generate(lists.PIN_TEXT, lists.PIN_VOICE)},
         "ORDINAL": {"redactor": regex(ORDINAL, ORDINAL),
                     "anonymizer": generate(lists.ORDINAL_TEXT, lists.ORDINAL_VOICE)},
