@@ -31,19 +31,21 @@ def phrase_spans(rows: DataFrame, phrases: DataFrame, row_id: str = "row_id",
     if not lengths:
         return rows.select(row_id, F.lit(0).alias("start"), F.lit(0).alias("end")).where(F.lit(False))
 
-    # Words and what stands between them, in order: w0 g0 w1 g1 ...; a phrase of n words is
-    # 2n-1 of these put together.  Only words that begin some phrase start a candidate, so
-    # few strings are built where the list is selective.
+    # Each piece is a word and what stands behind it; a phrase of n words is n pieces put
+    # together without the last gap.  No candidate is cut out of the whole text.
     rows = (rows.withColumn("__m", F.regexp_replace(F.col(text), F.lit(r"(?U)\w+"), F.lit(f"{M.OPEN}$0{M.CLOSE}")))
             .withColumn("__p", F.expr(f"split(__m, '{M.OPEN}')"))
-            .select(row_id, F.expr(f"length(__p[0])").alias("__lead"), F.expr(M.pieces("__p")).alias("__p")))
-    grams = [f"""transform(slice(__p, 1, greatest(size(__p) - {n - 1}, 0)), (p, i) -> struct(
-                 i AS at, {n} AS words,
-                 lower(concat({', '.join([f"replace(__p[i + {j}], '{M.CLOSE}', '')" for j in range(n - 1)] + [M.head(f"__p[i + {n - 1}]")])})) AS phrase))"""
-             for n in lengths]
-    found = (rows.select(row_id, F.posexplode_outer("__p"))
-             if False else rows.select(row_id, F.expr(f"inline_outer(concat({', '.join(grams)}))"))
-             .where("phrase IS NOT NULL"))
+            .select(row_id, F.expr(M.pieces("__p")).alias("__w"), F.expr(M.spans_of("__p")).alias("__s")))
+    grams = []
+    for n in lengths:
+        inner = [f"replace(__w[i + {j}], '{M.CLOSE}', '')" for j in range(n - 1)]
+        grams.append(f"""transform(slice(__s, 1, greatest(size(__s) - {n - 1}, 0)), (s, i) -> struct(
+            s.start AS start, __s[i + {n - 1}].end AS end,
+            lower(concat({', '.join(inner + [M.head(f'__w[i + {n - 1}]')])})) AS phrase))""")
+    found = (rows.select(row_id, F.expr(f"inline_outer(concat({', '.join(grams)}))"))
+             .where("phrase IS NOT NULL")
+             # A frequent word is a hot join key whatever the list holds: spread it.
+             .withColumn("salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS))))
     spread = phrases.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(
         "salt", F.col("salt").cast("bigint"))
     hits = found.join(spread, ["phrase", "salt"]).select(row_id, "start", "phrase_ix", "end")
@@ -53,4 +55,4 @@ def phrase_spans(rows: DataFrame, phrases: DataFrame, row_id: str = "row_id",
         (a, x) -> CASE WHEN x.start >= a.pos
                        THEN struct(x.end AS pos, array_append(a.out, named_struct('start', x.start, 'end', x.end)) AS out)
                        ELSE a END, a -> a.out)""")
-    return ordered.select(row_id, F.inline(picked))
+    return ordered.select(row_id, F.inline_outer(picked)).where("start IS NOT NULL")
