@@ -94,16 +94,17 @@ def resolve_lists(block: dict, rules: RuleSet, modality: str, spark) -> dict:
     return block
 
 
-def restore(df: DataFrame, log: DataFrame, entity: str = "_IGNORE_", text: str = "text",
+def restore(df: DataFrame, log: DataFrame, entity="_IGNORE_", text: str = "text",
             row_id: str = "row_id", by_conversation: bool = True) -> DataFrame:
-    """Put the logged text back in place of ``[entity-n]``.
+    """Put the logged text back in place of ``[entity-n]``; one entity or a list.
 
     Only rows with such a label are shuffled.  A label without a log entry stays.
     """
-    label = rf"\[({re.escape(entity)}-\d+)\]"
-    has = F.contains(F.col(text), F.lit(f"[{entity}-"))
+    names = "|".join(re.escape(e) for e in ([entity] if isinstance(entity, str) else entity))
+    label = rf"\[((?:{names})-\d+)\]"
+    has = F.rlike(F.col(text), F.lit(label))
     keys = (["conversation_id"] if by_conversation else []) + ["label"]
-    log = log.where(F.startswith("label", F.lit(f"{entity}-"))).select(*keys, "value")
+    log = log.where(F.rlike("label", F.lit(f"^(?:{names})-"))).select(*keys, "value")
     rows = df.where(has)
     used = (rows.select(row_id, *keys[:-1], F.explode(F.array_distinct(
         F.regexp_extract_all(F.col(text), F.lit(label), F.lit(1)))).alias("label")))
