@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwork.llm.mixing import mix
+from veilwork.llm.packing import pack
 from veilwork.llm.quality_rules import quality_rules
 
 
@@ -12,11 +14,28 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer_file(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op2_mixing(spark, sf_dir):
+    return mix(table(spark, sf_dir, "documents")).select(
+        "carried.doc_id", "source", "size", "source_size", "target", "taken")
+
+
 def op4_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).drop("n_removed_words")
 
 
+def op7_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_file("byte_bpe_50k.json"))
+
+
 QUERIES = {
+    "op2_mixing": op2_mixing,
+    "op7_packing": op7_packing,
     "op4_quality_rules": op4_quality_rules,
 }
 
@@ -45,4 +64,25 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   NOT (n_words < 50 OR n_repeat_words > 0.5 * n_words) AND NOT (n_words - r < 0.2 * n_words) AS kept FROM o
 """
 
-ORACLE = {"op4_quality_rules": OP4_SQL}
+OP2_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(coalesce(len(list_filter(string_split_regex(text, '[\x20\x09-\x0D]+'), lambda x: x <> '')), 0) AS BIGINT) AS size,
+  CAST('0x' || substr(md5(coalesce(CAST(doc_id AS VARCHAR), '-') || ':' || coalesce(text, '-')), 1, 15) AS BIGINT) AS h FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size, CASE (row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 WHEN 0 THEN 3 WHEN 1 THEN 1 ELSE 2 END AS w
+  FROM d GROUP BY source),
+l AS (SELECT (1.5 * sum(source_size) OVER () - coalesce(sum(2.0 * source_size) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS lv
+  FROM s WINDOW o AS (ORDER BY 2.0 * source_size / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(2.0 * source_size, w * (SELECT max(lv) FROM l)) AS target FROM s),
+u AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM t),
+v AS (SELECT *, CAST(floor(target - whole * source_size + 1e-6) AS BIGINT) AS r0 FROM u),
+a0 AS (SELECT d.*, source_size, target, whole, r0 FROM d JOIN v ON d.source IS NOT DISTINCT FROM v.source),
+a1 AS (SELECT *, sum(size) OVER (PARTITION BY source ORDER BY h RANGE UNBOUNDED PRECEDING) <= r0 AS x1 FROM a0),
+b1 AS (SELECT *, r0 - coalesce(sum(CASE WHEN x1 THEN size END) OVER (PARTITION BY source), 0) AS r1 FROM a1),
+a2 AS (SELECT *, sum(CASE WHEN NOT x1 AND size <= r1 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h RANGE UNBOUNDED PRECEDING) <= r1
+  AND NOT x1 AND size <= r1 AS x2 FROM b1),
+b2 AS (SELECT *, r1 - coalesce(sum(CASE WHEN x2 THEN size END) OVER (PARTITION BY source), 0) AS r2 FROM a2),
+a3 AS (SELECT *, sum(CASE WHEN NOT x1 AND NOT x2 AND size <= r2 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY h RANGE UNBOUNDED PRECEDING) <= r2
+  AND NOT x1 AND NOT x2 AND size <= r2 AS x3 FROM b2)
+SELECT doc_id, source, size, source_size, target, CAST((whole + CASE WHEN x1 OR x2 OR x3 THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM a3
+"""
+
+ORACLE = {"op2_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL}
