@@ -5,8 +5,9 @@ Consecutive windows with the same minimizer form a run, and runs with the same d
 
 1. a task scans its texts, keeps the first of equal runs, and reports the later ones as covered;
 2. runs meet by minimizer; of equal ones the first stays, the later ones are covered;
-3. where different runs share a minimizer, their spans are fetched, their Burrows-Wheeler transforms are built shard by
-   shard and merged by interleave refinement, and intervals with a common prefix of `width` bytes cover all but their
+3. where different runs share a minimizer, their spans are fetched and trimmed to the parts whose window hashes repeat;
+   equal parts are settled like runs, and of parts that overlap otherwise the Burrows-Wheeler transforms are built shard
+   by shard and merged by interleave refinement: intervals with a common prefix of `width` bytes cover all but their
    first window;
 4. covered bytes are joined back to the texts by document.
 
@@ -253,29 +254,77 @@ def meet(width: int) -> Callable:
     return bucket
 
 
+def shared_parts(text: Sequence[bytes], width: int) -> tuple[np.ndarray, ...]:
+    """The parts of the spans whose windows have a hash that occurs twice: (span, offset, windows, digest) of each.
+
+    Only these can hold repeats, and parts with equal digests are equal as a whole.
+    """
+    data = np.frombuffer(b"".join(text), np.uint8)
+    lengths = np.array([len(t) for t in text])
+    starts = np.cumsum(lengths) - lengths
+    power, inverse = _power(len(data) + 1)
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_SYMBOL[data] * power[:len(data)], out=sums[1:])
+    k = lengths - width + 1
+    at = np.repeat(starts - (np.cumsum(k) - k), k) + np.arange(int(k.sum()))
+    span = np.repeat(np.arange(len(text)), k)
+    window = _mix((sums[at + width] - sums[at]) * inverse[at])
+    order = np.argsort(window, kind="stable")
+    twin = window[order[1:]] == window[order[:-1]]
+    shared = np.zeros(len(at) + 1, bool)
+    shared[order[1:][twin]] = shared[order[:-1][twin]] = True
+    first, last = shared[:-1].copy(), shared[:-1].copy()
+    first[1:] &= ~shared[:-2] | (span[1:] != span[:-1])
+    last[:-1] &= ~shared[1:-1] | (span[1:] != span[:-1])
+    s, e = np.flatnonzero(first), np.flatnonzero(last)
+    digest = _mix((sums[at[e] + width] - sums[at[s]]) * inverse[at[s]] + (e - s).astype(np.uint64))
+    return span[s], at[s] - starts[span[s]], e - s + 1, digest
+
+
 def merge_shards(width: int) -> Callable:
     """Step 3: covered bytes of the spans of a bucket (columns m, doc, q, span)."""
     def bucket(table: pa.Table) -> pa.Table:
-        table = table.sort_by("m")
         m, doc, q = (table.column(c).to_numpy() for c in ("m", "doc", "q"))
-        text = table.column("span").to_pylist()
-        size = np.cumsum([len(t) + 1 for t in text])
-        edges = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1], [True])))
-        out, i = [], 0
-        while i < len(edges) - 1:  # whole minimizers, up to MERGE_BYTES
-            base = size[edges[i] - 1] if edges[i] else 0
-            j = i + 1
-            while j < len(edges) - 1 and size[edges[j + 1] - 1] - base <= MERGE_BYTES:
-                j += 1
-            lo, hi = edges[i], edges[j]
-            out.append(repeated(doc[lo:hi], q[lo:hi], text[lo:hi], width))
-            i = j
+        order = np.argsort(m, kind="stable")
+        m, doc, q = m[order], doc[order], q[order]
+        text = table.column("span").take(pa.array(order)).to_pylist()
+        out = [(doc[:0], q[:0], q[:0])]
+        for lo, hi in groups(m, [len(t) for t in text], SLICE):
+            span, offset, n, digest = shared_parts(text[lo:hi], width)
+            span += lo
+            pm, pd, pq = m[span], doc[span], q[span] + offset
+            sort, first, again = later(pm, digest, pd, pq)
+            span, offset, n, pm, pd, pq = (x[sort] for x in (span, offset, n, pm, pd, pq))
+            out.append((pd[again], pq[again], pq[again] + n[again] - 1 + width))
+            span, offset, n, pm, pd, pq = (x[first] for x in (span, offset, n, pm, pd, pq))
+            several = np.zeros(len(pm), bool)
+            several[1:] = pm[1:] == pm[:-1]
+            several[:-1] |= several[1:]
+            span, offset, n, pm, pd, pq = (x[several] for x in (span, offset, n, pm, pd, pq))
+            part = [text[i][a:a + c - 1 + width] for i, a, c in zip(span.tolist(), offset.tolist(), n.tolist())]
+            for a, b in groups(pm, [len(t) + 1 for t in part], MERGE_BYTES):
+                out.append(repeated(pd[a:b], pq[a:b], part[a:b], width))
         cd, cq, ce = spans(*map(np.concatenate, zip(*out)))
         zero = np.zeros(len(cd), np.int64)
         return pa.Table.from_batches([_rows(zero, zero, zero, cd, cq, cq - ce)])
     return bucket
 
 
+def groups(m: np.ndarray, lengths: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows (sorted by m) that hold whole minimizers and, if it takes more than one, at most `most` bytes."""
+    if not len(m):
+        return
+    size = np.concatenate(([0], np.cumsum(lengths)))
+    edges = np.flatnonzero(np.concatenate(([True], m[1:] != m[:-1], [True])))
+    i = 0
+    while i < len(edges) - 1:
+        j = i + 1
+        while j < len(edges) - 1 and size[edges[j + 1]] - size[edges[i]] <= most:
+            j += 1
+        yield int(edges[i]), int(edges[j])
+        i = j
+
+
 def repeated(doc: np.ndarray, q: np.ndarray, text: Sequence[bytes], width: int) -> tuple[np.ndarray, ...]:
     """(document, start, end) of windows that also start earlier, from the merged transforms of the texts' shards."""
     shards, part, size = [], [], 0
