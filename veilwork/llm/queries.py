@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from veilwork.llm.mixing import mix
 from veilwork.llm.packing import pack
 from veilwork.llm.quality_rules import quality_rules
+from veilwork.llm.suffix_dedup import remove_repeats
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -33,10 +34,16 @@ def op7_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_file("byte_bpe_50k.json"))
 
 
+def op9_suffix_dedup(spark, sf_dir):
+    return remove_repeats(table(spark, sf_dir, "documents")).select(
+        "carried.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 QUERIES = {
     "op2_mixing": op2_mixing,
     "op7_packing": op7_packing,
     "op4_quality_rules": op4_quality_rules,
+    "op9_suffix_dedup": op9_suffix_dedup,
 }
 
 OP4_SQL = r"""
