@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwork.llm.licenses import KNOWN, known_digests, license_scan
+from veilwork.llm.minhash import near_duplicates
 from veilwork.llm.mixing import mix
 from veilwork.llm.packing import pack
 from veilwork.llm.quality_rules import quality_rules
 from veilwork.llm.suffix_dedup import remove_repeats
+from veilwork.llm.topk import top_k
+from veilwork.llm.url_filter import filter_urls, host_of
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +25,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_licenses(spark, sf_dir):
+    return license_scan(table(spark, sf_dir, "documents"), known_digests(spark, KNOWN))
+
+
 def op2_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select(
         "carried.doc_id", "source", "size", "source_size", "target", "taken")
@@ -30,6 +38,28 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).drop("n_removed_words")
 
 
+def op5_top_k(spark, sf_dir):
+    vectors = table(spark, sf_dir, "embeddings")
+    return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
+def op6_minhash(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents")).drop("th")
+
+
+#: URL rules (verdict, host, path) and the host names that the block list is made from.
+URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
+             ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+BAD_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
+
+
+def op8_url_filter(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    hosts = pages.select(host_of(F.col("url")).alias("entry")).distinct()
+    bad = F.arrays_overlap(F.split("entry", r"\."), F.array(*map(F.lit, BAD_NAMES)))
+    return filter_urls(pages, hosts.where(bad), URL_RULES)
+
+
 def op7_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), tokenizer=tokenizer_file("byte_bpe_50k.json"))
 
@@ -40,6 +70,10 @@ def op9_suffix_dedup(spark, sf_dir):
 
 
 QUERIES = {
+    "op1_licenses": op1_licenses,
+    "op5_top_k": op5_top_k,
+    "op6_minhash": op6_minhash,
+    "op8_url_filter": op8_url_filter,
     "op2_mixing": op2_mixing,
     "op7_packing": op7_packing,
     "op4_quality_rules": op4_quality_rules,
@@ -92,4 +126,48 @@ a3 AS (SELECT *, sum(CASE WHEN NOT x1 AND NOT x2 AND size <= r2 THEN size ELSE 0
 SELECT doc_id, source, size, source_size, target, CAST((whole + CASE WHEN x1 OR x2 OR x3 THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM a3
 """
 
-ORACLE = {"op2_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL}
+def _op1_sql() -> str:
+    """The canonical form and the known texts, spelled out."""
+    from veilwork.llm.licenses import SPELLINGS
+
+    quote = lambda t: "'" + t.replace("'", "''") + "'"
+
+    def canonical(c: str) -> str:
+        out = f"regexp_replace(lower({c}), {quote(COPYRIGHT_SQL)}, ' ', 'g')"
+        for a, b in SPELLINGS:
+            out = f"regexp_replace({out}, {quote(a)}, {quote(b)}, 'g')"
+        return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
+
+    known = " UNION ALL ".join(f"SELECT {quote(a)} AS license, {canonical(quote(t))} AS c" for a, t in KNOWN)
+    return f"""
+WITH k AS (SELECT c, min(license) AS license FROM ({known}) GROUP BY c),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
+w AS (SELECT rid, doc_id, {canonical('text')} AS c FROM d),
+l AS (SELECT rid, {canonical('x')} AS c FROM (SELECT rid, unnest(string_split(text, chr(10))) AS x FROM d)),
+n AS (SELECT rid, count(*) AS n, string_agg(DISTINCT license, ',' ORDER BY license) AS notices FROM l JOIN k USING (c) GROUP BY rid)
+SELECT doc_id, CASE WHEN c <> '' THEN md5(c) END AS digest, license, CAST(coalesce(n, 0) AS BIGINT) AS n_notices, notices
+FROM w LEFT JOIN k USING (c) LEFT JOIN n USING (rid)"""
+
+
+COPYRIGHT_SQL = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+
+OP5_SQL = """
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(list_dot_product(CAST(q.v AS DOUBLE[]), CAST(e.v AS DOUBLE[])) AS BIGINT) AS score
+  FROM e q JOIN e ON q.vec_id <> e.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+OP8_SQL = r"""
+WITH p AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS h0,
+  regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+h AS (SELECT page_id, path, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM p),
+r(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+f AS (SELECT h.*, (SELECT max_by(struct_pack(rule := rh || rp, v := verdict), length(rh || rp)) FROM r
+  WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS fit FROM h)
+SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.v,
+  CASE WHEN list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])
+  THEN 'block' ELSE 'allow' END) AS verdict FROM f"""
+
+ORACLE = {"op1_licenses": _op1_sql(), "op5_top_k": OP5_SQL, "op8_url_filter": OP8_SQL, "op2_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL}
