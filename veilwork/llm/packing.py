@@ -15,12 +15,15 @@ doc_id; an empty table gives an empty result; texts of any length are encoded in
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -28,17 +31,39 @@ from pyspark.sql import functions as F
 
 from veilwork.llm.common import Store, small
 
-#: Words whose ids a worker remembers; beyond it the memory is emptied and filled anew.
-CACHE_WORDS = 400_000
+#: Words whose ids a worker remembers at most, in two generations: the older one is forgotten when the newer is full.
+CACHE_WORDS = 600_000
 SLICE = 1 << 20
+#: Fixed value: how byte-level BPE falls into pre-tokens, which are encoded independently.
+PRE_TOKENS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+_run = re.compile(r" \s|\s | $|[\x1c-\x1f]")
+
+
+class Memory:
+    """Ids of strings, with the strings not seen for the longest time forgotten first."""
+
+    def __init__(self, most: int):
+        self.half, self.new, self.old = most // 2, {}, {}
+
+    def learn(self, parts: set[str], encode: Callable[[list[str]], list[bytes]]) -> None:
+        if len(self.new) > self.half:
+            self.new, self.old = {}, self.new
+        unknown = []
+        for p in parts.difference(self.new):
+            ids = self.old.get(p)
+            if ids is None:
+                unknown.append(p)
+            else:
+                self.new[p] = ids
+        self.new.update(zip(unknown, encode(unknown)))
 
 
 class Encoder:
-    """Token ids as little-endian 32-bit bytes.
+    """Token ids of a byte-level BPE tokenizer, as little-endian 32-bit bytes.
 
     A single space before a visible character always starts a new pre-token, so a text falls into words (each with its
-    leading space) that are encoded independently and remembered.  Texts with other runs of spaces go to the tokenizer
-    whole.
+    leading space) that are encoded independently and remembered; an unknown word falls into pre-tokens, which are
+    remembered too, and only unknown ones go to the tokenizer.  Texts with other runs of spaces go there whole.
     """
 
     def __init__(self, path: str):
@@ -47,18 +72,17 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-        self.known: dict[str, bytes] = {}
+        self.words, self.pieces = Memory(CACHE_WORDS // 2), Memory(CACHE_WORDS // 2)
+        self.split = regex.compile(PRE_TOKENS).findall
 
     def _plain(self, texts: list[str]) -> list[bytes]:
-        return [np.asarray(e.ids, "<u4").tobytes()
-                for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def learn(self, parts: set[str]) -> None:
-        if len(self.known) > CACHE_WORDS:
-            self.known.clear()
-        new = list(parts.difference(self.known))
-        for k in range(0, len(new), 50_000):
-            self.known.update(zip(new[k:k + 50_000], self._plain(new[k:k + 50_000])))
+    def _by_pieces(self, words: list[str]) -> list[bytes]:
+        cut = [self.split(w) for w in words]
+        self.pieces.learn({p for x in cut for p in x}, self._plain)
+        known = self.pieces.new
+        return [known[x[0]] if len(x) == 1 else b"".join(map(known.__getitem__, x)) for x in cut]
 
     @staticmethod
     def slices(text: str) -> Iterator[str]:
@@ -76,20 +100,22 @@ class Encoder:
 
     def encode(self, texts: list[str]) -> Iterator[bytes]:
         for k in range(0, len(texts), 64):
-            cut = [list(self.slices(t)) for t in texts[k:k + 64]]
-            split = [[self.words(s) for s in x] for x in cut]
-            self.learn({w for x in split for s in x if s is not None for w in s})
-            for x, s in zip(cut, split):
-                yield b"".join(self._plain([a])[0] if b is None else b"".join(map(self.known.__getitem__, b))
-                               for a, b in zip(x, s))
+            cut = [[(s, self.apart(s)) for s in self.slices(t)] for t in texts[k:k + 64]]
+            self.words.learn({w for x in cut for _, ws in x if ws for w in ws}, self._by_pieces)
+            known = self.words.new
+            for x in cut:
+                yield b"".join(self._plain([s])[0] if ws is None else b"".join(map(known.__getitem__, ws)) for s, ws in x)
 
     @staticmethod
-    def words(text: str) -> list[str] | None:
-        """The text as words with their leading spaces; None if it has a run of white space with a space in it."""
-        first, *rest = text.split(" ")
-        if any(not w or w[0].isspace() or w[-1].isspace() for w in rest) or first[-1:].isspace():
+    def apart(text: str) -> list[str] | None:
+        """The text as words with their leading spaces; None if a space stands beside other white space."""
+        if _run.search(text):
             return None
-        return ([first] if first else []) + [" " + w for w in rest]
+        out = [" " + w for w in text.split(" ")]
+        if text[:1] == " ":
+            return out[1:]
+        out[0] = out[0][1:]
+        return out if text else []
 
 
 def piece_bounds(n: int, capacity: int) -> list[tuple[int, int]]:

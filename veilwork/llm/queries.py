@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilwork.llm.classifier import classify
 from veilwork.llm.licenses import KNOWN, known_digests, license_scan
 from veilwork.llm.minhash import near_duplicates
 from veilwork.llm.mixing import mix
@@ -29,6 +30,10 @@ def op1_licenses(spark, sf_dir):
     return license_scan(table(spark, sf_dir, "documents"), known_digests(spark, KNOWN))
 
 
+def op10_classifier(spark, sf_dir):
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op2_mixing(spark, sf_dir):
     return mix(table(spark, sf_dir, "documents")).select(
         "carried.doc_id", "source", "size", "source_size", "target", "taken")
@@ -71,6 +76,7 @@ def op9_suffix_dedup(spark, sf_dir):
 
 QUERIES = {
     "op1_licenses": op1_licenses,
+    "op10_classifier": op10_classifier,
     "op5_top_k": op5_top_k,
     "op6_minhash": op6_minhash,
     "op8_url_filter": op8_url_filter,
@@ -126,6 +132,7 @@ a3 AS (SELECT *, sum(CASE WHEN NOT x1 AND NOT x2 AND size <= r2 THEN size ELSE 0
 SELECT doc_id, source, size, source_size, target, CAST((whole + CASE WHEN x1 OR x2 OR x3 THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM a3
 """
 
+
 def _op1_sql() -> str:
     """The canonical form and the known texts, spelled out."""
     from veilwork.llm.licenses import SPELLINGS
