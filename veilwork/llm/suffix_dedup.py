@@ -37,8 +37,7 @@ GRAM = 32
 SLICE = 1 << 22
 #: A minimizer is a hot one when a task's batch has so many different runs of it.
 HOT_RUNS = 32
-#: Hot minimizers and fetched rows that are broadcast at most (24 bytes each); beyond it hot ones are cut by count, and
-#: rows are joined by a shuffle.
+#: Hot minimizers that tasks are told of at most (8 bytes each), the most frequent ones; others stay in their buckets.
 BOUND = 500_000
 #: Bytes of spans whose transforms are merged at once, and of a shard.
 MERGE_BYTES, SHARD_BYTES = 1 << 21, 1 << 18
@@ -374,11 +373,10 @@ def covered_bytes(docs: DataFrame, store: Store, width: int) -> DataFrame:
     met = store.keep(docs.mapInArrow(scan_runs(width, buckets, hot), RUN)
                      .groupBy("b").applyInArrow(meet(width), RUN), "met")
     partly = met.where("n > 0")
-    count = partly.count()
-    if not count:
+    if partly.isEmpty():
         return met
     wanted = by_document(partly, "n", "m", "b")
-    fetched = docs.join(F.broadcast(wanted) if count <= BOUND else wanted, ["doc", "th"])
+    fetched = docs.join(wanted, ["doc", "th"])
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -405,9 +403,7 @@ def remove_repeats(docs: DataFrame, carry: Sequence[str] = ("doc_id",), key: str
     rows = docs.select(F.coalesce(F.col(f"`{key}`").cast("long"), F.lit(int(LAST))).alias("doc"), text_hash(kept).alias("th"),
                        kept.alias("text"), F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"))
     cover = covered_bytes(rows.select("doc", "th", "text"), store, width)
-    count = cover.count()
-    lists = store.keep(by_document(cover, F.expr("-n AS n")), "lists")
-    full = rows.join(F.broadcast(lists) if count <= BOUND else lists, ["doc", "th"], "left")
+    full = rows.join(by_document(cover, F.expr("-n AS n")), ["doc", "th"], "left")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
