@@ -269,7 +269,7 @@ def add_up(depth: int, tokens: float, distinct: float):
     return part
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2, depth: int = 4) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int = 7, fold: int = 2, depth: int = 5) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, bits_per_byte; `depth` is 2 to 6."""
     spark = docs.sparkSession
     store = Store(spark)
@@ -290,6 +290,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
               .groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_p").alias("log_p"))
               .toArrow())  # 65 280 rows at most
     replies = store.keep(found.groupBy("b").applyInArrow(answers(depth, top), ANSWER), "answers")
+    store.drop(found)
     totals = {r[0]: r[1] for r in replies.where("part = -1").groupBy("kind").agg(F.sum("value")).collect()}
     return rows.groupBy("part").cogroup(replies.where("part >= 0").groupBy("part")).applyInArrow(
         add_up(depth, totals.get(2, 0.0), totals.get(3, 0.0)),

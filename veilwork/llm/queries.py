@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.llm.classifier import classify
+from veilwork.llm.context_tree import score
 from veilwork.llm.licenses import KNOWN, known_digests, license_scan
 from veilwork.llm.minhash import near_duplicates
 from veilwork.llm.mixing import mix
@@ -43,6 +44,10 @@ def op4_quality_rules(spark, sf_dir):
     return quality_rules(table(spark, sf_dir, "documents")).drop("n_removed_words")
 
 
+def op3_context_tree(spark, sf_dir):
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op5_top_k(spark, sf_dir):
     vectors = table(spark, sf_dir, "embeddings")
     return top_k(vectors, vectors.where(F.col("vec_id") % 50 == 0))
@@ -77,6 +82,7 @@ def op9_suffix_dedup(spark, sf_dir):
 QUERIES = {
     "op1_licenses": op1_licenses,
     "op10_classifier": op10_classifier,
+    "op3_context_tree": op3_context_tree,
     "op5_top_k": op5_top_k,
     "op6_minhash": op6_minhash,
     "op8_url_filter": op8_url_filter,
