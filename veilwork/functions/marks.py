@@ -22,6 +22,8 @@ PH_L, PH_R = "﷐", "﷑"
 OPEN, MID, CLOSE = "﷒", "﷓", "﷕"
 LABEL_SHAPE = r"(?U)\[\w+(?:-(?:\d+|﷐\d+﷑))?\]"
 PLACEHOLDER = r"\[([^\[\]]+?)-﷐(\d+)﷑\]"
+#: A placeholder inside a logged value: the hexadecimal inner value stands for the number.
+INNER = "\\[([^\\[\\]]+?)-" + PH_L + "x([0-9A-F]*)" + PH_R + "\\]"
 
 OCC_TYPE = "array<struct<rule_ix:int,label:string,value:string>>"
 SPAN_TYPE = "array<struct<start:int,end:int>>"

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from veilwork.functions import marks as M
 from veilwork.functions.draws import Draws, surrogate
 from veilwork.functions.text import TAG
+from veilwork.operators.numbering import null_safe_join
 from veilwork.rules import dialect
 from veilwork.rules.ruleset import RuleSet, kind_of
 
@@ -31,8 +32,8 @@ def label_owners(rules: RuleSet, entities: list[str]) -> dict[str, str]:
 
 
 def anonymize(df: DataFrame, rules: RuleSet, modality: str = "text", level=4, seed=None,
-              text: str = "text", conversation: str = "conversation_id", row_id: str = "row_id",
-              spark=None) -> DataFrame:
+              text: str = "text", conversation: str = "conversation_id",
+              row_id: str = "row_id") -> DataFrame:
     """Replace labels by surrogates.  Without a seed every run draws its own."""
     seed = uuid.uuid4().hex if seed is None else str(seed)
     blocks = {}
@@ -102,16 +103,19 @@ def restore(df: DataFrame, log: DataFrame, entity="_IGNORE_", text: str = "text"
     """
     names = "|".join(re.escape(e) for e in ([entity] if isinstance(entity, str) else entity))
     label = rf"\[((?:{names})-\d+)\]"
-    has = F.rlike(F.col(text), F.lit(label))
+    has = F.coalesce(F.rlike(F.col(text), F.lit(label)), F.lit(False))
     keys = (["conversation_id"] if by_conversation else []) + ["label"]
-    log = log.where(F.rlike("label", F.lit(f"^(?:{names})-"))).select(*keys, "value")
+    # A label that is logged twice has the value that was written first.
+    written = F.col("seq") if "seq" in log.columns else F.monotonically_increasing_id()
+    log = (log.where(F.rlike("label", F.lit(f"^(?:{names})-"))).select(*keys, "value", written.alias("seq"))
+           .groupBy(*keys).agg(F.min_by("value", "seq").alias("value")))
     rows = df.where(has)
     used = (rows.select(row_id, *keys[:-1], F.explode(F.array_distinct(
         F.regexp_extract_all(F.col(text), F.lit(label), F.lit(1)))).alias("label")))
     # The distinct labels of a block of rows meet the log, so a busy conversation is no hot key.
     used = used.withColumn("block", F.floor(F.col(row_id) / 50_000))
-    values = used.select("block", *keys).distinct().join(log, keys)
-    per_row = (used.join(values, ["block", *keys]).groupBy(row_id)
+    values = null_safe_join(used.select("block", *keys).distinct(), log, keys)
+    per_row = (null_safe_join(used, values, ["block", *keys]).groupBy(row_id)
                .agg(F.map_from_entries(F.collect_list(F.struct("label", "value"))).alias("__log")))
     out = rows.join(per_row, row_id, "left").withColumn(
         "__marked", F.regexp_replace(F.col(text), F.lit(label), F.lit(f"{M.OPEN}$1{M.CLOSE}")))

@@ -86,12 +86,32 @@ def attach_spans(df: DataFrame, spans: DataFrame, row_id: str) -> DataFrame:
     return df.join(per_row, row_id, "left")
 
 
+def inner_values(occ: str) -> str:
+    """Hits whose value holds an earlier hit's placeholder get that hit's value in it.
+
+    The number in a placeholder only means something inside its row; the value makes equal
+    texts equal.  A value can hold placeholders of several levels, one round resolves one level.
+    """
+    number = rf"{M.PH_L}\d+{M.PH_R}"
+    marked = f"split(regexp_replace(o.value, {M.quote(M.PLACEHOLDER)}, {M.quote(f'{M.OPEN}$1{M.MID}$2{M.CLOSE}')}), {M.quote(M.OPEN)})"
+    inner = f"all[cast({M.hit_value('p', True)} AS int)].value"
+    filled = M.rejoin(marked, f"p -> concat('[', substring_index(p, '{M.MID}', 1), '-{M.PH_L}x', hex({inner}), '{M.PH_R}]', {M.tail('p')})")
+    # only values whose inner values are settled are filled in this round
+    ready = (f"NOT exists(regexp_extract_all(o.value, {M.quote(M.PLACEHOLDER)}, 2), "
+             f"k -> rlike(all[cast(k AS int)].value, {M.quote(number)}))")
+    one = (f"transform(array(a), all -> transform(all, o -> CASE WHEN rlike(o.value, {M.quote(number)}) AND {ready} "
+           f"THEN named_struct('rule_ix', o.rule_ix, 'label', o.label, 'value', {filled}) ELSE o END))[0]")
+    nested = f"exists({occ}, o -> contains(o.value, '{M.PH_L}'))"
+    rounds = f"aggregate(sequence(1, size({occ})), {occ}, (a, r) -> CASE WHEN exists(a, o -> rlike(o.value, {M.quote(number)})) THEN {one} ELSE a END)"
+    return f"CASE WHEN {nested} THEN {rounds} ELSE {occ} END"
+
+
 def explode_hits(found: DataFrame, keep=("row_id", "conversation_id")) -> DataFrame:
     """The hits as rows: ``(*keep, k, rule_ix, label, value)``; k is the creation order in the row.
 
     The outer form keeps the optimiser from inferring a filter on ``occ`` and pushing it
     through the whole rule chain, where it would copy the expressions of every step.
     """
-    return (found.select(*keep, F.posexplode_outer(OCC).alias("k", "o"))
+    return (found.select(*keep, F.posexplode_outer(F.expr(inner_values(OCC))).alias("k", "o"))
             .where(F.col("k").isNotNull())
             .select(*keep, "k", "o.rule_ix", "o.label", "o.value"))

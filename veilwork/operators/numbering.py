@@ -18,6 +18,13 @@ BLOCK_ROWS = 50_000
 KEY = ["conversation_id", "label", "value"]
 
 
+def null_safe_join(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner") -> DataFrame:
+    """Equi-join in which a null key meets a null key; the left side's keys stay."""
+    right = right.withColumnsRenamed({k: f"__r_{k}" for k in keys})
+    on = [F.col(k).eqNullSafe(F.col(f"__r_{k}")) for k in keys]
+    return left.join(right, on, how).drop(*[f"__r_{k}" for k in keys])
+
+
 def with_block(hits: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     return hits.withColumn("block", F.floor(F.col("row_id") / block_rows).cast("bigint"))
 
@@ -38,7 +45,7 @@ def running_number(df: DataFrame, order_groups: list[str], inside: list[str], ou
     ).drop("__n")
     inner = Window.partitionBy(*groups).orderBy(*inside)
     numbered = df.withColumn("__rank", F.row_number().over(inner) - 1)
-    return (numbered.join(offsets, groups)
+    return (null_safe_join(numbered, offsets, groups)
             .withColumn(out, (F.col("__offset") + F.col("__rank")).cast("bigint"))
             .drop("__offset", "__rank"))
 
@@ -102,8 +109,8 @@ def spread_index(hits: DataFrame, dictionary: DataFrame) -> DataFrame:
     The dictionary meets the distinct values of each block first, so a value that fills a
     third of the table takes part once per block, and then the hits by block and value.
     """
-    values = hits.select("block", *KEY).distinct().join(dictionary.select(*KEY, "ix"), KEY)
-    return hits.join(values, ["block", *KEY])
+    values = null_safe_join(hits.select("block", *KEY).distinct(), dictionary.select(*KEY, "ix"), KEY)
+    return null_safe_join(hits, values, ["block", *KEY])
 
 
 def conversation_index(hits: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[DataFrame, DataFrame]:
@@ -112,6 +119,27 @@ def conversation_index(hits: DataFrame, block_rows: int = BLOCK_ROWS) -> tuple[D
     return spread_index(with_block(hits, block_rows), dictionary), dictionary
 
 
+def with_final_labels(dictionary: DataFrame) -> DataFrame:
+    """The dictionary with final labels where a value holds an earlier label.
+
+    Such a value came here with the inner value in place of a number (see ``detect.inner_values``),
+    so equal texts have equal keys.
+    """
+    names = dictionary.select("conversation_id", F.col("label").alias("__l"), F.col("value").alias("__v"), F.col("ix").alias("__n"))
+    nested = F.contains("value", F.lit(M.PH_L))
+    each = dictionary.where(nested).select(*dictionary.columns, F.posexplode(F.expr(
+        f"regexp_extract_all(value, {M.quote(M.INNER)}, 0)")).alias("__i", "__m"))
+    each = each.withColumn("__l", F.regexp_extract("__m", M.INNER, 1)).withColumn(
+        "__v", F.expr(f"cast(unhex(regexp_extract(__m, {M.quote(M.INNER)}, 2)) AS string)"))
+    found = null_safe_join(each, names, ["conversation_id", "__l", "__v"], "left")
+    labels = found.groupBy(*dictionary.columns).agg(F.array_sort(F.collect_list(F.struct("__i", "__l", "__n"))).alias("__x"))
+    marked = f"split(regexp_replace(value, {M.quote(M.INNER)}, '{M.OPEN}{M.CLOSE}'), '{M.OPEN}')"
+    label = "concat('[', __x[i].__l, '-', cast(__x[i].__n AS string), ']')"
+    filled = M.rejoin(marked, f"(p, i) -> concat({label}, {M.tail('p')})")
+    closed = labels.withColumn("value", F.expr(filled)).select(*dictionary.columns)
+    return dictionary.where(~nested).unionByName(closed)
+
+
 def audit_log(dictionary: DataFrame) -> DataFrame:
     """Each label with its first value, and what orders labels by creation.
 
@@ -127,8 +155,9 @@ def render(found: DataFrame, indexed: DataFrame, restore: list[str], text: str =
     """Fill the placeholders.  Only rows with hits are shuffled; the others pass by."""
     per_row = indexed.groupBy("row_id").agg(
         F.array_sort(F.collect_list(F.struct("k", "ix"))).alias("__ix"))
-    hit = found.where(F.size(OCC) > 0).join(per_row, "row_id")
-    label = "concat('[', {label}, '-', cast(__ix[{k}].ix AS string), ']')"
+    hit = found.where(F.size(OCC) > 0).join(per_row, "row_id", "left")
+    number = "coalesce(__ix[{k}].ix, cast(raise_error('a hit has no number') AS bigint))"
+    label = f"concat('[', {{label}}, '-', cast({number} AS string), ']')"
     if restore:
         names = ", ".join(M.quote(r) for r in restore)
         label = f"CASE WHEN {{label}} IN ({names}) THEN {OCC}[{{k}}].value ELSE {label} END"

@@ -85,7 +85,7 @@ class RedactionJob:
         out = clean_text(out, text)
         if self.uppercase:
             out = out.withColumn(text, F.upper(text))
-        return out.select(*columns), N.audit_log(dictionary)
+        return out.select(*columns), N.audit_log(N.with_final_labels(dictionary))
 
     def restores(self, rule: str) -> bool:
         from veilwork.rules.ruleset import kind_of
