@@ -3,9 +3,11 @@ from pyspark.sql import SparkSession
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = (SparkSession.builder.master("local[8]").appName("veilwork-tests")
                .config("spark.sql.shuffle.partitions", "8").config("spark.driver.memory", "8g")
+               .config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("checkpoints")))
+               .config("spark.sql.warehouse.dir", str(tmp_path_factory.mktemp("warehouse")))
                .config("spark.ui.enabled", "false").config("spark.sql.session.timeZone", "UTC")
                .config("spark.sql.streaming.stateStore.providerClass",
                        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")

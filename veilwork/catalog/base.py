@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,12 +32,9 @@ def table(spark: SparkSession, sf_dir: str, name: str, key: str | None = None) -
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """A new folder for files a query writes and reads back."""
+    """A new folder for files a query writes and reads back; without a checkpoint folder, in the warehouse."""
     from veilwork.plans.redaction import checkpoint_folder
-    folder = checkpoint_folder(spark)
-    if folder is None:
-        raise RuntimeError("set spark.checkpoint.dir to a folder all executors can reach")
-    return folder
+    return checkpoint_folder(spark) or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/veilwork-{uuid.uuid4().hex}"
 
 
 TRANSCRIPTS = """SELECT o_custkey AS conv_id, o_orderkey AS turn,

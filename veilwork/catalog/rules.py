@@ -19,7 +19,9 @@ def only(rule: str, modality: str = "text", level=4):
 
 # ---- the patterns in the SQL engine's dialect (no look-around, no atomic groups) ------
 EMAIL_RE = S.EMAIL.replace("]++@", "]+@")
-ADDRESS_RE = S.address().replace("(?>", "(?:")
+_COMPASS = "(?:N(?:orth)?|S(?:outh)?)? ?(?:E(?:ast)?|W(?:est)?)?"
+ADDRESS_RE = (rf"[0-9]{{1,6}}(?: 1/[234])?(?: {_COMPASS})?(?:(?: [0-9]+ ?(?:th|rd|st|nd))|(?: [A-Z][a-z]+)+)"
+              rf" (?:{'|'.join(sorted(S.STREET_SUFFIXES, key=lambda w: (-len(w), w)))})(?: {_COMPASS})?")
 IGNORE_RE = "((" + ")|(".join(S.IGNORE_PHRASES) + "))"
 SSN_FIRST = r"(?:00[1-9]|0[1-9][0-9]|[1-57-8][0-9]{2}|6[0-57-9][0-9]|66[0-57-9])"
 SSN_RE = (rf"(^|\s)({SSN_FIRST}(?:-|\s)?(?:0[1-9]|[1-9][0-9])(?:-|\s)?"

@@ -77,10 +77,10 @@ def g9(spark, sf_dir):
 _doc("g10_uppercase", "upper(replace(text, 'ß', 'SS'))", T.upper)
 
 
-@query("g11_sub_until_stable", r"""WITH t AS (SELECT c_custkey, repeat('(', CAST(c_custkey % 5 AS INT)) || c_name || repeat(')', CAST(c_custkey % 5 AS INT)) AS text FROM customer)
-SELECT c_custkey, regexp_replace(text, '[()]', '', 'g') AS text, CAST(c_custkey % 5 AS INT) AS text_rounds FROM t""")
+@query("g11_sub_until_stable", r"""WITH t AS (SELECT c_custkey, repeat('(', CAST(c_custkey % 51 AS INT)) || c_name || repeat(')', CAST(c_custkey % 51 AS INT)) AS text FROM customer)
+SELECT c_custkey, regexp_replace(text, '[()]', '', 'g') AS text, CAST(c_custkey % 51 AS INT) AS text_rounds FROM t""")
 def g11(spark, sf_dir):
-    n = (F.col("c_custkey") % 5).cast("int")
+    n = (F.col("c_custkey") % 51).cast("int")
     df = table(spark, sf_dir, "customer").select("c_custkey", F.concat(
         F.repeat(F.lit("("), n), F.col("c_name"), F.repeat(F.lit(")"), n)).alias("text"))
     return T.sub_until_stable(df, "text", r"^\((.*)\)$", "$1")

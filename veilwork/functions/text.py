@@ -82,19 +82,23 @@ def upper(text) -> Column:
     return F.upper(col(text))
 
 
-def sub_until_stable(df, text: str, pattern: str, replacement: str, rounds: int = 8):
-    """Substitute until nothing changes, at most ``rounds`` times.
+def sub_until_stable(df, text: str, pattern: str, replacement: str):
+    """Substitute until nothing changes.
 
-    Adds ``<text>_rounds``: how many rounds changed the text, so a caller can see that a
-    row did not converge (value equal to ``rounds``).
+    Adds ``<text>_rounds``: how many rounds changed the text.  A pattern that never comes to
+    rest is given up after as many rounds as the text has characters (16 at least).
     """
-    n = f"{text}_rounds"
-    df = df.withColumn(n, F.lit(0))
-    for _ in range(rounds):
-        df = (df.withColumn("__next", sub(text, pattern, replacement))
-                .withColumn(n, F.col(n) + (F.col("__next") != F.col(text)).cast("int"))
-                .withColumn(text, F.col("__next")))
-    return df.drop("__next")
+    n, state = f"{text}_rounds", "struct<t:string,n:int>"
+
+    def step(a, _):
+        new = sub(a["t"], pattern, replacement)
+        return F.when(new == a["t"], a).otherwise(F.struct(new.alias("t"), (a["n"] + 1).alias("n")))
+
+    start = F.struct(F.col(text).alias("t"), F.lit(0).alias("n")).cast(state)
+    moving = sub(text, pattern, replacement) != F.col(text)
+    rounds = F.sequence(F.lit(1), F.greatest(F.length(text), F.lit(16)))
+    df = df.withColumn("__s", F.when(moving, F.aggregate(rounds, start, step)).otherwise(start))
+    return df.withColumn(text, F.col("__s.t")).withColumn(n, F.col("__s.n")).drop("__s")
 
 
 def digits_to_words(digits) -> Column:

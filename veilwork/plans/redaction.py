@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from dataclasses import dataclass, field
 
@@ -16,12 +15,18 @@ from veilwork.operators.detect import OCC, detect
 from veilwork.rules.ruleset import RuleSet
 
 
+#: Folders and frames kept by this driver, until they are released.
+_kept: list = []
+
+
 def checkpoint_folder(spark) -> str | None:
-    """The shared folder of the cluster; a temporary one only for a local session without one."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and spark.sparkContext.master.startswith("local"):
-        folder = tempfile.mkdtemp(prefix="veilwork-")
-    return folder and f"{folder.rstrip('/')}/veilwork-{uuid.uuid4().hex}"
+    """A new folder in the shared folder of the cluster, if the session names one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base is None:
+        return None
+    folder = f"{base.rstrip('/')}/veilwork-{uuid.uuid4().hex}"
+    _kept.append(folder)
+    return folder
 
 
 def keep_once(df: DataFrame) -> DataFrame:
@@ -29,19 +34,39 @@ def keep_once(df: DataFrame) -> DataFrame:
 
     It is written as a columnar table to the shared checkpoint folder and read back: readers
     prune its columns, the plan above it starts at a scan, and a lost executor costs a
-    re-read.  A cluster without such a folder gets a cache, whose lost blocks are computed
-    again from the source.
+    re-read.  A session without such a folder gets a cache, whose lost blocks are computed
+    again from the source.  ``release`` removes both: they hold personal data.
     """
     path = checkpoint_folder(df.sparkSession)
     if path is None:
-        return df.persist(StorageLevel.MEMORY_AND_DISK)
+        out = df.persist(StorageLevel.MEMORY_AND_DISK)
+        _kept.append(out)
+        return out
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release(spark, since: int = 0) -> None:
+    """Delete what was kept from number ``since`` on, once the results are written."""
+    gone, _kept[since:] = _kept[since:], []
+    for x in gone:
+        if isinstance(x, DataFrame):
+            x.unpersist()
+        else:
+            path = spark._jvm.org.apache.hadoop.fs.Path(x)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def kept() -> int:
+    """How many folders and frames are kept now."""
+    return len(_kept)
+
+
 @dataclass
 class RedactionJob:
-    """One run.  ``run`` returns the changed table and the audit frame, both lazy.
+    """One run.  ``run`` writes the detected rows once and returns the changed table and the audit frame.
+
+    After both are written, ``release(spark)`` deletes the detected rows.
 
     The input has ``row_id BIGINT`` (unique, consecutive rows have near ids), a conversation
     id and a text column; other columns pass through.  ``numbering`` is ``conversation``

@@ -36,32 +36,41 @@ REDACTION_ORDER = [
     "CARDINAL"]
 
 # ---- fixed values: street suffixes ---------------------------------------------------
-# The common suffixes of postal addressing.  STREET_PLURAL words also occur with an S.  A
-# site with a longer list passes it as RuleSet(street_suffixes=[...]).
-STREET_PLURAL = """
-BLUFF BROOK BURG CENTER CIRCLE CLIFF COMMON CORNER COURT COVE DRIVE ESTATE FIELD FLAT FORD
-FOREST FORGE FORK GARDEN GLEN GREEN GROVE HARBOR HILL HOLLOW ISLAND ISLE JUNCTION KEY KNOLL
-LAKE LIGHT LOCK LOOP MANOR MEADOW MILL MOUNTAIN PARK PARKWAY PATH PIKE PINE PLAIN POINT PORT
-RAPID RIDGE ROAD SHOAL SHORE SPRING SPUR SQUARE STREET TRACE TRACK TRAIL TUNNEL UNION VALLEY
-VIEW VILLAGE WALK WAY WELL""".split()
-STREET_OTHER = """
-ALLEY ANNEX ARCADE AVENUE BAYOU BEACH BEND BOTTOM BOULEVARD BRANCH BRIDGE BYPASS CAMP CANYON
-CAPE CAUSEWAY CENTRE CLUB COURSE CREEK CRESCENT CREST CROSSING CROSSROAD CURVE DALE DAM DIVIDE
-EXPRESSWAY EXTENSION FALLS FERRY FORT FREEWAY GATEWAY HAVEN HIGHWAY INLET LANDING LANE LODGE
-MALL MEWS MOTORWAY MOUNT NECK ORCHARD OVAL OVERPASS PASSAGE PLAZA PRAIRIE RADIAL RAMP RANCH
-REST RIVER ROUTE ROW RUE RUN SKYWAY STATION STREAM SUMMIT TERRACE THROUGHWAY TRAFFICWAY
-TRAILER TURNPIKE UNDERPASS VIADUCT VILLE VISTA""".split()
-STREET_SHORT = """
-ALY ANX ARC AVE AVN AV BCH BLVD BND BR CIR CP CT CTR CV DL DM DR DV EXPY FT FWY HT HTS HWY IS
-KY LF LK LN MT MTN PKWY PKY PL PLZ PR PT PTS RD RDS SQ ST STA TER TRL UN VIA VIS VL VLY VW WY XING
-""".split()
+# Every suffix of postal addressing that ends a street, long and short forms.  A site with
+# more passes them as RuleSet(street_suffixes=[...]).
+STREET_SUFFIXES = """
+ALLEE ALLEY ALLY ALY ANEX ANNEX ANNX ANX ARC ARCADE AV AVE AVEN AVENU AVENUE AVN AVNUE BAYOO BAYOU BCH BEACH
+BEND BLF BLUF BLUFF BLUFFS BLVD BND BOT BOTTM BOTTOM BOUL BOULEVARD BOULV BR BRANCH BRDGE BRG BRIDGE BRK BRNCH
+BROOK BROOKS BTM BURG BURGS BYP BYPA BYPAS BYPASS BYPS CAMP CANYN CANYON CAPE CAUSEWAY CAUSWA CEN CENT CENTER
+CENTERS CENTR CENTRE CIR CIRC CIRCL CIRCLE CIRCLES CLB CLF CLFS CLIFF CLIFFS CLUB CMP CNTER CNTR CNYN COMMON
+COMMONS COR CORNER CORNERS CORS COURSE COURT COURTS COVE COVES CP CPE CRCL CRCLE CREEK CRES CRESCENT CREST CRK
+CROSSING CROSSROAD CROSSROADS CRSE CRSENT CRSNT CRSSNG CSWY CT CTR CTS CURVE CV DALE DAM DIV DIVIDE DL DM DR
+DRIV DRIVE DRIVES DRV DV DVD EST ESTATE ESTATES ESTS EXP EXPR EXPRESS EXPRESSWAY EXPW EXPY EXT EXTENSION EXTN
+EXTNSN EXTS FALL FALLS FERRY FIELD FIELDS FLAT FLATS FLD FLDS FLS FLT FLTS FORD FORDS FOREST FORESTS FORG
+FORGE FORGES FORK FORKS FORT FRD FREEWAY FREEWY FRG FRK FRKS FRRY FRST FRT FRWAY FRWY FRY FT FWY GARDEN
+GARDENS GARDN GATEWAY GATEWY GATWAY GDNS GLEN GLENS GLN GRDEN GRDN GRDNS GREEN GREENS GRN GROV GROVE GROVES
+GRV GTWAY GTWY HARB HARBOR HARBORS HARBR HAVEN HBR HIGHWAY HIGHWY HILL HILLS HIWAY HIWY HL HLLW HLS HOLLOW
+HOLLOWS HOLW HOLWS HRBOR HT HTS HVN HWAY HWY INLT IS ISLAND ISLANDS ISLE ISLES ISLND ISLNDS ISS JCT JCTION
+JCTN JCTNS JCTS JUNCTION JUNCTIONS JUNCTN JUNCTON KEY KEYS KNL KNLS KNOL KNOLL KNOLLS KY KYS LAKE LAKES LAND
+LANDING LANE LCK LCKS LDG LDGE LF LGT LIGHT LIGHTS LK LKS LN LNDG LNDNG LOAF LOCK LOCKS LODG LODGE LOOP LOOPS
+MALL MANOR MANORS MDW MDWS MEADOW MEADOWS MEDOWS MEWS MILL MILLS MISSN MNR MNRS MNT MNTAIN MNTN MNTNS MOTORWAY
+MOUNT MOUNTAIN MOUNTAINS MOUNTIN MSSN MT MTIN MTN NCK NECK ORCH ORCHARD ORCHRD OVAL OVERPASS OVL PARK PARKS
+PARKWAY PARKWAYS PARKWY PASS PASSAGE PATH PATHS PIKE PIKES PINE PINES PKWAY PKWY PKWYS PKY PL PLAIN PLAINS
+PLAZA PLN PLNS PLZ PLZA PNES POINT POINTS PORT PORTS PR PRAIRIE PRK PRR PRT PRTS PT PTS RAD RADIAL RADIEL RADL
+RAMP RANCH RANCHES RAPID RAPIDS RD RDG RDGE RDGS RDS REST RIDGE RIDGES RIV RIVER RIVR RNCH RNCHS ROAD ROADS
+ROUTE ROW RPD RPDS RST RUE RUN RVR SHL SHLS SHOAL SHOALS SHOAR SHOARS SHORE SHORES SHR SHRS SKYWAY SMT SPG
+SPGS SPNG SPNGS SPRING SPRINGS SPRNG SPRNGS SPUR SPURS SQ SQR SQRE SQRS SQU SQUARE SQUARES ST STA STATION
+STATN STN STR STRA STRAV STRAVEN STRAVENUE STRAVN STREAM STREET STREETS STREME STRM STRT STRVN STRVNUE SUMIT
+SUMITT SUMMIT TER TERR TERRACE THROUGHWAY TRACE TRACES TRACK TRACKS TRAFFICWAY TRAIL TRAILER TRAILS TRAK TRCE
+TRK TRKS TRL TRLR TRLRS TRLS TRNPK TUNEL TUNL TUNLS TUNNEL TUNNELS TUNNL TURNPIKE TURNPK UN UNDERPASS UNION
+UNIONS VALLEY VALLEYS VALLY VDCT VIA VIADCT VIADUCT VIEW VIEWS VILL VILLAG VILLAGE VILLAGES VILLE VILLG
+VILLIAGE VIS VIST VISTA VL VLG VLGS VLLY VLY VLYS VST VSTA VW VWS WALK WALKS WALL WAY WAYS WELL WELLS WLS WY
+XING""".split()
 
 
 def street_suffixes(extra=()) -> list[str]:
     """Longest first, so that a short form never hides a longer one."""
-    words = {*STREET_PLURAL, *(w + "S" for w in STREET_PLURAL), *STREET_OTHER, *STREET_SHORT,
-             *(w.upper() for w in extra)}
-    return sorted(words, key=lambda w: (-len(w), w))
+    return sorted({*STREET_SUFFIXES, *(w.upper() for w in extra)}, key=lambda w: (-len(w), w))
 
 
 # ---- guards --------------------------------------------------------------------------
@@ -172,9 +181,13 @@ CARDINAL_VOICE = rf"{_NUMBER_WORD}(?!\s*(?:{NOT_A_COUNT}))"
 def address(extra_suffixes=()) -> str:
     """House number, fraction, compass, street words, suffix (no right boundary), compass."""
     north_south, east_west = "(?:N(?:orth)?|S(?:outh)?)?", "(?:E(?:ast)?|W(?:est)?)"
+    suffix = rf" (?>{'|'.join(street_suffixes(extra_suffixes))})"
+    # Street words up to the last one that a suffix follows.  Each round takes one word and the
+    # words up to the next suffix; possessive groups run as loops, so long texts need no stack.
+    streets = rf"(?: [A-Z][a-z]++(?:(?!{suffix}) [A-Z][a-z]++)*+(?={suffix}))++"
     return (rf"\d{{1,6}}(?> 1/[234])?(?: {north_south} ?{east_west})?"
-            r"(?:(?> \d+ ?(?:th|rd|st|nd))|(?> [A-Z](?>[a-z])+)+)"
-            rf" (?>{'|'.join(street_suffixes(extra_suffixes))})(?: {north_south} ?{east_west}?)?")
+            rf"(?:(?> \d+ ?(?:th|rd|st|nd))|{streets})"
+            rf"{suffix}(?: {north_south} ?{east_west}?)?")
 
 
 def shipped_rules(street_suffixes=()) -> dict:

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-INLINE_LIMIT = 2_000      # above this a list is matched by an n-gram join, not by one regex
+INLINE_LIMIT = 2_000      # above this a list of plain words may be matched by an n-gram join
+#: What the join matches exactly as the pattern would: words with single spaces between them.
+PLAIN = r"(?U)^\w+(?: \w+)*$"
 
 
 def read_phrase_csv(spark, path: str, field: str | None = None, column: int = 0,
@@ -38,7 +40,10 @@ def read_phrase_document(spark, path: str, phrase_path: str) -> DataFrame:
 
 
 def rule_phrases(params: dict, spark=None, whole: bool = False):
-    """The phrases of a rule block: a list, or a frame when there are many."""
+    """The phrases of a rule block: a list, or a frame where a join gives the same spans.
+
+    A long list with guards, other flags, or phrases that are patterns stays a list, and so a pattern.
+    """
     if params.get("phrase-list") is not None:
         return list(params["phrase-list"])
     path = params["phrase-filename"]
@@ -50,4 +55,15 @@ def rule_phrases(params: dict, spark=None, whole: bool = False):
     if whole:
         return [r.phrase for r in df.collect()]
     few = df.limit(INLINE_LIMIT + 1).collect()
-    return [r.phrase for r in few] if len(few) <= INLINE_LIMIT else df
+    if len(few) <= INLINE_LIMIT:
+        return [r.phrase for r in few]
+    if joinable(params) and df.where(~F.rlike("phrase", F.lit(PLAIN))).isEmpty():
+        return df.withColumn("phrase_ix", F.monotonically_increasing_id())      # the order of the file
+    return [r.phrase for r in df.collect()]
+
+
+def joinable(params: dict) -> bool:
+    """Whether the join gives a rule's spans: word breaks, no guards, case-blind, one alternation."""
+    return (params.get("add-wordbreak", True) and not params.get("prematch") and not params.get("postmatch")
+            and [f.upper() for f in params.get("flags", ["IGNORECASE"])] == ["IGNORECASE"]
+            and params.get("combine-sets", True))

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from veilwork.functions.text import clean_text
 from veilwork.operators import numbering as N
 from veilwork.operators.detect import OCC, detect
-from veilwork.plans.redaction import keep_once
+from veilwork.plans.redaction import keep_once, kept, release
 
 DICTIONARY = "conversation_id string, label string, value string, ix bigint"
 
@@ -43,15 +43,16 @@ def redact_batch(batch: DataFrame, batch_id: int, detectors, state_path: str, ou
     """
     spark = batch.sparkSession
     batch = batch.withColumn("conversation_id", F.col("conversation_id").cast("string"))
+    before = kept()
     found = keep_once(detect(batch, detectors))
     hits = N.explode_hits(found)
     known = saved_dictionary(spark, state_path, batch_id)
     touched = hits.select("conversation_id").distinct()
-    known = known.join(touched, "conversation_id", "left_semi")
+    known = N.null_safe_join(known, touched, ["conversation_id"], "left_semi")
     last = known.groupBy("conversation_id").agg((F.max("ix") + 1).alias("__next"))
-    new = N.first_places(hits, block_rows).join(known, N.KEY, "left_anti")
+    new = N.null_safe_join(N.first_places(hits, block_rows), known, N.KEY, "left_anti")
     new = N.running_number(new, ["first_block"], ["first_place"], "ix", within=["conversation_id"])
-    new = (new.join(last, "conversation_id", "left")
+    new = (N.null_safe_join(new, last, ["conversation_id"], "left")
            .withColumn("ix", F.col("ix") + F.coalesce("__next", F.lit(0))).select(*N.KEY, "ix"))
     here = f"{state_path}/dictionary/batch={batch_id}"
     new.write.mode("overwrite").parquet(here)
@@ -59,7 +60,7 @@ def redact_batch(batch: DataFrame, batch_id: int, detectors, state_path: str, ou
     indexed = N.spread_index(N.with_block(hits, block_rows), dictionary)
     out = clean_text(N.render(found, indexed, list(restore)).drop(OCC), "text")
     out.write.mode("overwrite").parquet(f"{out_path}/batch={batch_id}")
-    found.unpersist()
+    release(spark, before)
 
 
 def start_incremental(stream: DataFrame, detectors, state_path: str, out_path: str, checkpoint: str,
