@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import itertools
-import os
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -28,10 +26,8 @@ def word_chars(text: Column) -> Column:
 
 
 def work_folder(spark: SparkSession) -> str:
-    """A new folder under spark.checkpoint.dir; a temporary one only in sessions that set none, as in tests."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = os.path.join(tempfile.gettempdir(), "veilwork-checkpoints")
+    """A new folder under spark.checkpoint.dir; in sessions that set none, in the warehouse, which is shared too."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{base.rstrip('/')}/veilwork-{uuid.uuid4().hex}"
 
 
