@@ -4,12 +4,12 @@
 2. Classes are posted under their coordinate-value pairs.  A pair of classes is a candidate when at least 12 coordinates
    collide (at a similarity of 0.75, 24 are expected; fewer than 12 happen about twice in a million).
 3. Prefix merging: two classes with 12 collisions share one of the 21 rarest pairs of each, so a class is posted under
-   those only, and frequent pairs are skipped.  Collisions are then counted on the whole signatures in the list, and a
-   candidate is reported in the first list that the two have in common.
-4. Long lists are cut into chunks.  First each class proposes its best partner and the chunk's first class, in its two rarest
-   lists; confirmed links join most copies.  Then all candidates between different components are proposed, chunk
-   against chunk, so no link between components is missed and no group is expanded into all its pairs.
-5. Every candidate is confirmed on the full shingle sets.
+   those only, and frequent pairs are skipped.  Collisions are counted on the whole signatures in the list.  Long lists
+   are cut into chunks, and chunk is held against chunk.
+4. A list reports a spanning forest of its candidates, not the pairs; the components of all forests are clusters, and
+   every candidate pair lies in one cluster.
+5. Links are confirmed on the full shingle sets of a cluster, again chunk by chunk: first each chunk of two different
+   cuts in itself, which joins most copies, then chunk against chunk where a cluster still has several components.
 
 Edge cases: no text or no words: empty set, linked with nothing; fewer than five words: the whole sequence as one shingle; each
 row is a document; a null doc_id sorts last and can be a component's id only if all are null; rows with the same doc_id and
@@ -22,7 +22,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -30,7 +30,7 @@ from veilwork.llm.common import Store, small
 from veilwork.llm.components import components
 from veilwork.llm.hashing import mix, shingles, slices, text_buffer, word_hashes
 
-COORDINATES, MATCHES, CHUNK = 32, 12, 256
+COORDINATES, MATCHES, CHUNK, STRIPE = 32, 12, 256, 8_192
 _rng = np.random.default_rng(6)
 _A = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -77,75 +77,93 @@ def full_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 ["cls", "set"])
 
 
-def list_pairs(cls, sig, mask, whole, rank, c, comp, left, right) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Candidates of one list (or of two of its chunks, `left` and `right`)."""
-    i, j = np.flatnonzero(left), np.flatnonzero(right)
-    for k in range(0, len(i), 64):
-        a = i[k:k + 64]
-        equal = sig[a][:, None, :] == sig[j][None, :, :]
-        hits = equal.sum(2, dtype=np.uint8)
-        ok = (hits >= MATCHES) & (cls[a][:, None] != cls[j][None, :])
-        if comp is None:
-            rows = (rank[a] <= 2)[:, None] & ok
-            best = np.argmax(np.where(rows, hits, 0), 1)
-            x = np.concatenate((np.arange(len(a)), np.arange(len(a))))
-            y = np.concatenate((best, np.zeros(len(a), np.int64)))
-            good = rows[x, y]
-            yield cls[a[x[good]]], cls[j[y[good]]]
-        else:
-            ok &= (comp[a][:, None] != comp[j][None, :]) & (cls[a][:, None] < cls[j][None, :])
-            x, y = np.nonzero(ok)
-            both = mask[a[x]] & mask[j[y]]
-            usable = equal[x, y] & ((both[:, None] >> np.arange(COORDINATES)) & 1).astype(bool)
-            if whole:  # else the lists in common may be cut differently
-                first = np.argmax(usable, 1) == c
-                x, y = x[first], y[first]
-            yield cls[a[x]], cls[j[y]]
-
-
-def propose(with_components: bool):
+def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A star for each component of a symmetric boolean matrix: (members, their least member)."""
+    label = np.arange(len(near))
+    while True:
+        new = np.minimum(label, np.where(near, label[None, :], len(near)).min(1))
+        new = new[new]
+        if (new == label).all():
+            break
+        label = new
+    other = np.flatnonzero(label != np.arange(len(near)))
+    return other, label[other]
+
+
+def blocks_of(table: pa.Table, names: list[str]) -> Iterator[tuple[np.ndarray, tuple[int, ...]]]:
+    """Row numbers of the groups of a bucket."""
+    keys = [table.column(k).to_numpy() for k in names]
+    order = np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.ones(len(order) + 1, bool)
+    new[1:-1] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
+    edges = np.flatnonzero(new).tolist()
+    for lo, hi in zip(edges[:-1], edges[1:]):
+        yield order[lo:hi], tuple(int(k[lo]) for k in keys)
+
+
+def edges_table(pairs: list[tuple[np.ndarray, np.ndarray]]) -> pa.Table:
+    x, y = (np.concatenate(c) for c in zip(*pairs, (np.zeros(0, np.int64),) * 2))
+    ends = np.unique(np.stack((np.minimum(x, y), np.maximum(x, y))), axis=1)
+    return pa.table({"a": pa.array(ends[0]), "b": pa.array(ends[1])})
+
+
+def collisions(table: pa.Table) -> pa.Table:
+    """Counts collisions in lists of postings (columns c, v, part, other, cls, sig); a forest of each list's candidates."""
+    cls = table.column("cls").to_numpy()
+    sig = np.array(table.column("sig").combine_chunks().flatten()).reshape(-1, COORDINATES)
+    out = []
+    for rows, _ in blocks_of(table, ["c", "v", "part", "other"]):
+        if len(rows) > 1:
+            s = sig[rows]
+            near = np.zeros((len(rows), len(rows)), bool)
+            for k in range(0, len(rows), 64):
+                near[k:k + 64] = (s[k:k + 64, None, :] == s[None, :, :]).sum(2, dtype=np.uint8) >= MATCHES
+            x, y = forest(near)
+            out.append((cls[rows[x]], cls[rows[y]]))
+    return edges_table(out)
+
+
+def common(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of the intersections of all pairs of sets, by products of incidence matrices."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, place, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[place] > 1  # others are in one set only
+    owner, place = owner[shared], place[shared]
+    number = np.cumsum(times > 1) - 1
+    place = number[place]
+    out = np.zeros((len(sets), len(sets)))
+    order = np.argsort(place, kind="stable")
+    owner, place = owner[order], place[order]
+    for lo in range(0, int(place[-1]) + 1 if len(place) else 0, STRIPE):
+        a, b = np.searchsorted(place, (lo, lo + STRIPE))
+        has = np.zeros((len(sets), STRIPE), np.float32)
+        has[owner[a:b], place[a:b] - lo] = 1
+        out += has @ has.T
+    return out
+
+
+def confirm(percent: int, with_components: bool):
+    """Links on full sets inside blocks (columns root, part, other, cls, set): a forest of each block's links."""
     def bucket(table: pa.Table) -> pa.Table:
-        c, v, part, other, cls, rank, n, mask = (table.column(k).to_numpy() for k in
-                                                 ("c", "v", "part", "other", "cls", "rank", "n", "mask"))
-        sig = np.array(table.column("sig").combine_chunks().flatten()).reshape(-1, COORDINATES)
-        comp = table.column("comp").to_numpy() if with_components else None
-        home = table.column("home").to_numpy()
-        order = np.lexsort((cls, other, part, v, c))
-        c, v, part, other, cls, rank, n, mask, home, sig = (x[order] for x in (c, v, part, other, cls, rank, n, mask, home, sig))
-        comp = comp[order] if with_components else None
-        new = np.ones(len(c) + 1, bool)
-        new[1:-1] = (c[1:] != c[:-1]) | (v[1:] != v[:-1]) | (part[1:] != part[:-1]) | (other[1:] != other[:-1])
-        edges = np.flatnonzero(new)
-        out = [(np.zeros(0, np.int64),) * 2]
-        for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-            if hi - lo < 2 or (with_components and (comp[lo:hi] == comp[lo]).all()):
-                continue
-            s = slice(lo, hi)
-            left, right = (home[s] == part[lo], home[s] == other[lo])
-            out += list_pairs(cls[s], sig[s], mask[s], n[lo] <= CHUNK, rank[s], c[lo], comp[s] if with_components else None,
-                              left, right)
-            if part[lo] != other[lo]:
-                out += list_pairs(cls[s], sig[s], mask[s], False, rank[s], c[lo], comp[s] if with_components else None,
-                                  right, left)
-        a, b = (np.concatenate(x) for x in zip(*out))
-        low, high = np.minimum(a, b), np.maximum(a, b)
-        pairs = np.unique(np.stack((low, high)), axis=1) if len(low) else np.zeros((2, 0), np.int64)
-        return pa.table({"a": pa.array(pairs[0]), "b": pa.array(pairs[1])})
+        cls = table.column("cls").to_numpy()
+        comp = table.column("comp").to_numpy() if with_components else cls
+        out = []
+        for rows, _ in blocks_of(table, ["root", "part", "other"]):
+            if len(rows) > 1 and (comp[rows] != comp[rows[0]]).any():
+                sets = [np.frombuffer(x, np.uint64) for x in table.column("set").take(pa.array(rows)).to_pylist()]
+                n, both = np.array([len(x) for x in sets]), common(sets)
+                x, y = forest(100 * both >= percent * (n[:, None] + n[None, :] - both))
+                out.append((cls[rows[x]], cls[rows[y]]))
+        return edges_table(out)
     return bucket
 
 
-def confirm(percent: int):
-    """Pairs (a, b, of_b: the set of b) against the sets of a."""
-    def bucket(pairs: pa.Table, sets: pa.Table) -> pa.Table:
-        known = {c: np.frombuffer(s, np.uint64) for c, s in zip(sets.column("cls").to_pylist(), sets.column("of_a").to_pylist())}
-        out = []
-        for a, b, raw in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist(), pairs.column("of_b").to_pylist()):
-            x, y = known[a], np.frombuffer(raw, np.uint64)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= percent * (len(x) + len(y) - both):
-                out.append((a, b))
-        return pa.table({"a": pa.array([p[0] for p in out], pa.int64()), "b": pa.array([p[1] for p in out], pa.int64())})
-    return bucket
+def chunk_pairs(df: DataFrame, n: Column, number: Column) -> DataFrame:
+    """Rows of groups of n rows, once for every pair of chunks (part <= other) that their own chunk is in."""
+    chunks = F.ceil(n / CHUNK).cast("int")
+    df = df.withColumn("home", F.pmod(number, chunks).cast("int")).withColumn("chunk", F.explode(F.sequence(F.lit(0), chunks - 1)))
+    return df.withColumn("part", F.least("home", "chunk")).withColumn("other", F.greatest("home", "chunk"))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", percent: int = 75) -> DataFrame:
@@ -165,46 +183,37 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     posted = tokens.join(small(shared), ["c", "v"]).select(
         "cls", "c", "v", "n", F.row_number().over(mine.orderBy("n", "c")).alias("rank"),
         F.count(F.lit(1)).over(mine).alias("m")).where(F.col("rank") <= F.col("m") - MATCHES + 1)
-    bit = F.when(F.col("n") <= CHUNK, F.expr("shiftleft(1L, c)")).otherwise(F.lit(0))
-    posted = posted.withColumn("mask", F.sum(bit).over(mine))
-    postings = store.keep(posted.join(classes.select("cls", "sig"), "cls").select(
-        "c", "v", "n", "rank", "mask", "cls", "sig", F.ceil(F.col("n") / CHUNK).cast("int").alias("chunks"))
-        .withColumn("home", F.pmod(F.xxhash64("cls", "c"), F.col("chunks")).cast("int")), "postings")
-    size = postings.count()
-    columns = ["c", "v", "part", "other", "home", "cls", "rank", "n", "mask", "sig"]
-
-    def proposals(df: DataFrame, count: int, with_components: bool) -> DataFrame:
-        buckets = max(1, count // 40_000)
-        b = F.pmod(F.xxhash64("c", "v", "part", "other"), F.lit(buckets)).alias("b")
-        found = df.select(b, *columns, *(["comp"] if with_components else [])).groupBy("b").applyInArrow(
-            propose(with_components), "a long, b long")
-        return store.keep(found.distinct(), "candidates")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        count = pairs.count()
-        ends = store.keep(pairs.select(F.explode(F.array("a", "b")).alias("cls")).distinct()
-                          .join(classes, "cls").select("cls", "rep.doc_id", "rep.th"), "ends")
-        texts = rows.alias("r").join(small(ends).alias("e"), F.col("r.th").eqNullSafe(F.col("e.th"))
-                                     & F.col("r.doc_id").eqNullSafe(F.col("e.doc_id")))
-        sets = store.keep(texts.select("e.cls", "r.text").mapInArrow(full_sets, "cls long, set binary"), "sets")
-        buckets = max(1, count // 4_000)
-        b = lambda c: F.pmod(F.xxhash64(c), F.lit(buckets)).alias("k")
-        left = pairs.join(sets.toDF("b", "of_b"), "b").select(b("a"), "a", "b", "of_b")
-        right = sets.toDF("cls", "of_a").select(b("cls"), "cls", "of_a")
-        out = store.keep(left.groupBy("k").cogroup(right.groupBy("k")).applyInArrow(confirm(percent), "a long, b long"), "links")
-        store.drop(sets, ends)
-        return out
-
-    first = links(proposals(postings.select("*", F.col("home").alias("part"), F.col("home").alias("other")), size, False))
-    roots = components(first, store)
-    placed = postings.join(roots.withColumnRenamed("id", "cls"), "cls", "left").select(
-        "*", F.coalesce("root", "cls").alias("comp"))
-    mixed = store.keep(placed.groupBy("c", "v").agg(F.min("comp").alias("x"), F.max("comp").alias("y"))
-                       .where("x <> y").select("c", "v"), "mixed")
-    opened = placed.join(small(mixed), ["c", "v"]).withColumn("chunk", F.explode(F.expr("sequence(0, chunks - 1)")))
-    opened = store.keep(opened.withColumn("part", F.least("home", "chunk")).withColumn("other", F.greatest("home", "chunk"))
-                        .select(*columns, "comp"), "opened")
-    more = links(proposals(opened, opened.count(), True))
+    # long lists are cut into chunks, and all pairs of chunks are compared
+    listed = chunk_pairs(posted.join(classes.select("cls", "sig"), "cls"), F.col("n"), F.xxhash64("cls", "c"))
+    listed = store.keep(listed.select("c", "v", "part", "other", "cls", "sig"), "postings")
+    bucket = F.pmod(F.xxhash64("c", "v", "part", "other"), F.lit(max(1, listed.count() // 40_000))).alias("k")
+    near = store.keep(listed.select(bucket, "*").groupBy("k").applyInArrow(collisions, "a long, b long"), "candidates")
+    clusters = components(near, store)
+    store.drop(listed, near)
+    # the sets of the classes that have a candidate
+    members = store.keep(clusters.join(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
+                         .join(classes.select(F.col("cls").alias("id"), "rep"), "id")
+                         .select("root", F.col("id").alias("cls"), "n", "rep.doc_id", "rep.th"), "members")
+    texts = rows.alias("r").join(small(members).alias("e"), F.col("r.th").eqNullSafe(F.col("e.th"))
+                                 & F.col("r.doc_id").eqNullSafe(F.col("e.doc_id")))
+    sets = store.keep(texts.select("e.cls", "r.text").mapInArrow(full_sets, "cls long, set binary"), "sets")
+    sets_by_class = sets.groupBy("cls").agg(F.first("set").alias("set"))  # repeated rows give a set twice
+
+    def links(blocks: DataFrame, with_components: bool) -> DataFrame:
+        blocks = store.keep(blocks, "blocks")
+        k = F.pmod(F.xxhash64("root", "part", "other"), F.lit(max(1, blocks.count() // 4_000))).alias("k")
+        full = blocks.join(sets_by_class, "cls").select(k, *blocks.columns, "set")
+        return store.keep(full.groupBy("k").applyInArrow(confirm(percent, with_components), "a long, b long"), "links")
+
+    chunk = lambda salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.ceil(F.col("n") / CHUNK)).cast("int")
+    once = members.select("root", chunk(0).alias("part"), F.lit(0).alias("other"), "cls")
+    again = members.where(F.col("n") > CHUNK).select("root", chunk(1).alias("part"), F.lit(-1).alias("other"), "cls")
+    first = links(once.unionByName(again), False)
+    placed = members.where(F.col("n") > CHUNK).join(components(first, store).toDF("cls", "c"), "cls", "left").select(
+        "root", "cls", "n", F.coalesce("c", "cls").alias("comp"))
+    mixed = placed.groupBy("root").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("root")
+    rest = chunk_pairs(placed.join(mixed, "root"), F.col("n"), F.xxhash64("cls", F.lit(0))).where("part < other")
+    more = links(rest.select("root", "part", "other", "cls", "comp"), True)
     final = components(first.unionByName(more), store)
     named = classes.select("cls", "rep").join(final.withColumnRenamed("id", "cls"), "cls", "left").select(
         "cls", "rep", F.coalesce("root", "cls").alias("comp"))
