@@ -136,11 +136,11 @@ def blocked_urls(pages: DataFrame, blocklist: DataFrame, shard_bytes: int = SHAR
 
 def rule_for(host: Column, path: Column, rules: Sequence[tuple[str, str, str]]) -> Column:
     """Struct (rule, verdict) of the longest rule (allow or block, host, path) that fits; null if none does."""
-    out = None
+    kind = "struct<rule:string,verdict:string>"
+    out = F.when(F.lit(False), F.lit(None).cast(kind))
     for verdict, h, p in sorted(rules, key=lambda r: -len(r[1] + r[2])):
         fits = ((host == h) | F.endswith(host, F.lit("." + h))) & F.startswith(path, F.lit(p))
-        value = F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict"))
-        out = F.when(fits, value) if out is None else out.when(fits, value)
+        out = out.when(fits, F.struct(F.lit(h + p).alias("rule"), F.lit(verdict).alias("verdict")).cast(kind))
     return out
 
 
