@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import itertools
 import uuid
 
@@ -44,6 +45,11 @@ class Store:
         out.kept_at = path
         return out
 
+    def clean(self) -> None:
+        """Let the driver drop shuffles that no frame needs any more; else they stay until it happens to collect garbage."""
+        gc.collect()
+        self.spark._jvm.System.gc()
+
     def drop(self, *frames: DataFrame) -> None:
         jvm = self.spark._jvm
         for df in frames:

@@ -38,7 +38,8 @@ END_WORD = np.uint64(0)
 PART_BYTES, PARTS = 40 << 20, 16
 #: Rows of a bucket.
 BUCKET_ROWS = 400_000
-STEP = 1 << 22
+#: Bytes that are worked on at once.
+STEP = 1 << 20
 
 
 def log_gamma(x: np.ndarray) -> np.ndarray:
@@ -129,6 +130,13 @@ def grams(data: np.ndarray, offsets: np.ndarray, depth: int) -> Iterator[tuple[n
         yield owner[k:k + STEP], key[here - first - depth]
 
 
+def tokens_of(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text number, hash) of the words of texts, and of an end for each."""
+    text, word = word_hashes(data, offsets)
+    m = len(offsets) - 1
+    return np.concatenate((text, np.arange(m))), np.concatenate((word, np.full(m, END_WORD))).view(np.int64)
+
+
 def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys and how often each stands in training texts."""
     every = np.unique(keys)
@@ -152,15 +160,14 @@ def gather(depth: int, buckets: int):
             part, train = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1))
             edges = [0, *(np.flatnonzero(part[1:] != part[:-1]) + 1).tolist(), len(part)]
             for a, b in zip(edges[:-1], edges[1:]):
-                for i, j in slices(offsets[a:b + 1]) if b > a else []:
+                for i, j in slices(offsets[a:b + 1], STEP) if b > a else []:
                     here, learn = offsets[a + i:a + j + 1], train[a + i:a + j]
                     for text, key in grams(data, here, depth):
                         found[int(part[a]), 0].append(counted(key, learn[text]))
-                    text, word = word_hashes(data, here)
-                    text, word = np.concatenate((text, np.arange(j - i))), np.concatenate((word, np.full(j - i, END_WORD)))
-                    found[int(part[a]), 1].append(counted(word.view(np.int64), learn[text]))
+                    text, word = tokens_of(data, here)
+                    found[int(part[a]), 1].append(counted(word, learn[text]))
                 for kind in (0, 1):  # keep the lists short
-                    if len(found[int(part[a]), kind]) > 8:
+                    if len(found[int(part[a]), kind]) > 12:
                         found[int(part[a]), kind] = [merged(found[int(part[a]), kind])]
         for (p, kind), lists in found.items():
             if lists:
@@ -214,50 +221,67 @@ def log10_p(key: np.ndarray, tree: dict[int, Level], top: Top, depth: int) -> np
     return out
 
 
-ANSWER = "part int, kind int, key long, value double"
+ANSWER = "part int, kind int, key long, value float, n long"
 
 
 def answers(depth: int, top: Top):
+    """Per part: log10 of a gram's probability (kind 0), a word's training count where other parts have it too (kind 1);
+    per bucket the number of training tokens (kind 2) and of distinct ones (kind 3)."""
     def bucket(table: pa.Table) -> pa.Table:
         kind = table.column("kind").to_numpy()
         part, key, n = (table.column(c).to_numpy() for c in ("part", "key", "n"))
         out = []
         for which in (0, 1):
-            mine = kind == which
-            if not mine.any():
+            p, k, local = (x[kind == which] for x in (part, key, n))
+            if not len(k):
                 continue
-            every, count = merged([(key[mine], n[mine])])
-            seen = count > 0
+            every, count = merged([(k, local)])
+            at = np.searchsorted(every, k)
             if which == 0:
-                value = log10_p(every, levels(every[seen], count[seen], depth, 2), top, depth)
+                seen = count > 0
+                value = log10_p(every, levels(every[seen], count[seen], depth, 2), top, depth)[at]
+                out.append((p, np.zeros(len(k)), k, value, np.zeros(len(k))))
             else:
-                value = count.astype(float)  # kinds 2 and 3: training tokens, and distinct ones
-                out += [([-1], [2], [0], [float(count.sum())]), ([-1], [3], [0], [float(seen.sum())])]
-            out.append((part[mine], np.full(int(mine.sum()), which), key[mine], value[np.searchsorted(every, key[mine])]))
+                elsewhere = count[at] != local
+                out.append((p[elsewhere], np.ones(elsewhere.sum()), k[elsewhere], np.zeros(elsewhere.sum()), count[at][elsewhere]))
+                out.append(([-1, -1], [2, 3], [0, 0], [0, 0], [count.sum(), (count > 0).sum()]))
         return pa.table({c: pa.array(np.concatenate(x).astype(t)) for c, x, t in zip(
-            ("part", "kind", "key", "value"), zip(*out), (np.int32, np.int32, np.int64, np.float64))})
+            ("part", "kind", "key", "value", "n"), zip(*out), (np.int32, np.int32, np.int64, np.float32, np.int64))})
     return bucket
 
 
+def _words(docs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    for batch in docs.combine_chunks().to_batches():
+        data, offsets = text_buffer(batch.column("text"))
+        train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
+        for i, j in slices(offsets, STEP):
+            text, word = tokens_of(data, offsets[i:j + 1])
+            yield text, word, train[i:j]
+
+
 def add_up(depth: int, tokens: float, distinct: float):
     """Sums by document of a part: columns doc_id, held_out, text, and the part's answers."""
     def part(docs: pa.Table, known: pa.Table) -> pa.Table:
-        table = {}
-        kind, key, value = (known.column(c).to_numpy() for c in ("kind", "key", "value"))
-        for which in (0, 1):
-            order = np.argsort(key[kind == which])
-            table[which] = key[kind == which][order], value[kind == which][order]
+        kind, key, value, n = (known.column(c).to_numpy() for c in ("kind", "key", "value", "n"))
+        grams_of, words_of = kind == 0, kind == 1
+        order = np.argsort(key[grams_of])
+        gram_key, gram_p = key[grams_of][order], value[grams_of][order].astype(float)
+        own: list[tuple[np.ndarray, np.ndarray]] = []  # the part's own training counts of words
+        for text, word, learn in _words(docs):
+            own.append(counted(word, learn[text]))
+            own = [merged(own)] if len(own) > 12 else own
+        word_key, word_n = merged(own) if own else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+        word_n[np.searchsorted(word_key, key[words_of])] = n[words_of]
         rows = []
         for batch in docs.combine_chunks().to_batches():
             data, offsets = text_buffer(batch.column("text"))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, STEP):
                 here, m = offsets[i:j + 1], j - i
                 score = np.zeros(m)
                 for text, gram in grams(data, here, depth):
-                    score += np.bincount(text, table[0][1][np.searchsorted(table[0][0], gram)], m)
-                text, word = word_hashes(data, here)
-                text, word = np.concatenate((text, np.arange(m))), np.concatenate((word, np.full(m, END_WORD)))
-                c = table[1][1][np.searchsorted(table[1][0], word.view(np.int64))]
+                    score += np.bincount(text, gram_p[np.searchsorted(gram_key, gram)], m)
+                text, word = tokens_of(data, here)
+                c = word_n[np.searchsorted(word_key, word)]
                 rows.append((np.bincount(text, minlength=m), np.bincount(text, c > 0, m).astype(np.int64), np.full(m, int(tokens)),
                              np.bincount(text, np.log10((c + 1) / (tokens + distinct + 1)), m), score,
                              -score * np.log2(10) / np.maximum(1, np.diff(here))))
@@ -289,9 +313,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
               .applyInArrow(sums_for_parents(depth), "node long, zeros double, ones double, log_p double")
               .groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_p").alias("log_p"))
               .toArrow())  # 65 280 rows at most
+    store.clean()
     replies = store.keep(found.groupBy("b").applyInArrow(answers(depth, top), ANSWER), "answers")
     store.drop(found)
-    totals = {r[0]: r[1] for r in replies.where("part = -1").groupBy("kind").agg(F.sum("value")).collect()}
+    store.clean()
+    totals = {r[0]: float(r[1]) for r in replies.where("part = -1").groupBy("kind").agg(F.sum("n")).collect()}
     return rows.groupBy("part").cogroup(replies.where("part >= 0").groupBy("part")).applyInArrow(
         add_up(depth, totals.get(2, 0.0), totals.get(3, 0.0)),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
