@@ -20,13 +20,14 @@ from pyspark.sql import functions as F
 
 PH_L, PH_R = "﷐", "﷑"
 OPEN, MID, CLOSE = "﷒", "﷓", "﷕"
+#: Around a label while zones are found, and the marks of hits that touch one.
+ZONE_L, ZONE_R, OPEN_X, CLOSE_X = "\ufdd6", "\ufdd7", "\ufdd8", "\ufdd9"
 LABEL_SHAPE = r"(?U)\[\w+(?:-(?:\d+|﷐\d+﷑))?\]"
 PLACEHOLDER = r"\[([^\[\]]+?)-﷐(\d+)﷑\]"
 #: A placeholder inside a logged value: the hexadecimal inner value stands for the number.
 INNER = "\\[([^\\[\\]]+?)-" + PH_L + "x([0-9A-F]*)" + PH_R + "\\]"
 
 OCC_TYPE = "array<struct<rule_ix:int,label:string,value:string>>"
-SPAN_TYPE = "array<struct<start:int,end:int>>"
 
 
 def quote(value: str) -> str:
@@ -35,7 +36,7 @@ def quote(value: str) -> str:
 
 
 def guard_input(text: Column) -> Column:
-    return F.regexp_replace(F.coalesce(text, F.lit("")), F.lit("[﷐-﷕]"), F.lit("�"))
+    return F.regexp_replace(F.coalesce(text, F.lit("")), F.lit("[\ufdd0-\ufdd9]"), F.lit("�"))
 
 
 def mark_whole(text: Column, pattern: str) -> Column:
@@ -92,13 +93,32 @@ def mark_group(raw: str) -> Column:
                   f"{rejoin(f'split({raw}, {quote(OPEN)})', settle)} ELSE {raw} END")
 
 
+def in_order(spans: str, text: str) -> str:
+    """Spans sorted and inside the text, without those that overlap an earlier one.
+
+    The fold only runs where a span is out of line; neighbours in order are all in order.
+    """
+    ordered = f"array_sort(filter({spans}, s -> s.start >= 0 AND s.start < s.end AND s.end <= length({text})))"
+    broken = "exists(sequence(1, size(o) - 1), i -> o[i].start < o[i - 1].end)"
+    kind = "array<struct<start:int,end:int,label:string>>"
+    fold = (f"aggregate(o, struct(0 AS pos, cast(array() AS {kind}) AS out), (a, s) -> CASE WHEN s.start >= a.pos "
+            f"THEN struct(s.end AS pos, array_append(a.out, named_struct('start', s.start, 'end', s.end, 'label', s.label)) AS out) "
+            f"ELSE a END, a -> a.out)")
+    return f"transform(array({ordered}), o -> CASE WHEN size(o) > 1 AND {broken} THEN {fold} ELSE o END)[0]"
+
+
 def mark_spans(text: str, spans: str) -> Column:
-    """Given, sorted, disjoint ``(start, end, label)`` spans as ``OPEN label MID value CLOSE``."""
+    """``(start, end, label)`` spans as ``OPEN label MID value CLOSE``.
+
+    The text is taken apart into characters once, so every piece costs its own length.
+    """
+    cut = lambda a, b: f"array_join(slice(c, {a} + 1, {b} - {a}), '')"
+    before = "coalesce(get(o, i - 1).end, 0)"
+    piece = (f"concat({cut(f'{before}', 's.start')}, '{OPEN}', s.label, '{MID}', {cut('s.start', 's.end')}, '{CLOSE}')")
+    whole = f"concat(array_join(transform(o, (s, i) -> {piece}), ''), {cut('o[size(o) - 1].end', 'size(c)')})"
     return F.expr(
-        f"CASE WHEN size({spans}) > 0 THEN aggregate({spans}, struct(0 AS pos, '' AS out), "
-        f"(a, s) -> struct(s.end AS pos, concat(a.out, substr({text}, a.pos + 1, s.start - a.pos), "
-        f"'{OPEN}', s.label, '{MID}', substr({text}, s.start + 1, s.end - s.start), '{CLOSE}') AS out), "
-        f"a -> concat(a.out, substr({text}, a.pos + 1))) ELSE {text} END")
+        f"CASE WHEN size({spans}) > 0 THEN transform(array({in_order(spans, text)}), o -> CASE WHEN size(o) = 0 THEN {text} "
+        f"ELSE transform(array(regexp_extract_all({text}, '(?s).', 0)), c -> {whole})[0] END)[0] ELSE {text} END")
 
 
 def split_words(marked: str, label: str) -> Column:
@@ -112,14 +132,22 @@ def split_words(marked: str, label: str) -> Column:
                   f"{rejoin(f'split({marked}, {quote(OPEN)})', each)} ELSE {marked} END")
 
 
+def running(lengths: str, block: int = 300) -> str:
+    """Sum of the elements before each one; in blocks, so no array grows element by element."""
+    add = "0, (a, z) -> a + z"
+    cut = f"transform(sequence(0, (size(l) - 1) div {block}), b -> slice(l, b * {block} + 1, {block}))"
+    inside = f"transform(x, (y, j) -> o + aggregate(slice(x, 1, j), {add}))"
+    each = f"transform(bs, (x, b) -> transform(array(aggregate(slice(sums, 1, b), {add})), o -> {inside})[0])"
+    whole = f"transform(array(transform(bs, x -> aggregate(x, {add}))), sums -> flatten({each}))[0]"
+    return f"transform(array({lengths}), l -> transform(array({cut}), bs -> {whole})[0])[0]"
+
+
 def spans_of(parts: str, inline_label: bool = False) -> str:
     """Start and end (0-based, end exclusive) of every hit in the text without marks."""
-    end = f"a.pos + length({hit_value('p', inline_label)})"
-    return (f"aggregate({pieces(parts)}, struct(length({parts}[0]) AS pos, "
-            f"cast(array() AS {SPAN_TYPE}) AS spans), "
-            f"(a, p) -> struct({end} + length({tail('p')}) AS pos, "
-            f"array_append(a.spans, named_struct('start', a.pos, 'end', {end})) AS spans), "
-            f"a -> a.spans)")
+    value = f"length({hit_value('p', inline_label)})"
+    sizes = f"transform({pieces('q')}, p -> {value} + length({tail('p')}))"
+    each = f"zip_with({pieces('q')}, {running(sizes)}, (p, at) -> named_struct('start', z + at, 'end', z + at + {value}))"
+    return f"transform(array({parts}), q -> transform(array(length(q[0])), z -> {each})[0])[0]"
 
 
 def label_zones(text: str) -> str:
@@ -128,27 +156,34 @@ def label_zones(text: str) -> str:
     return spans_of(f"split({marked}, '{OPEN}')")
 
 
-def overlaps(span: str, zones: str) -> str:
-    """The start or the last character lies in a zone (enclosing a zone is allowed)."""
-    return (f"exists({zones}, z -> {span}.start BETWEEN z.start AND z.end - 1 "
-            f"OR {span}.end - 1 BETWEEN z.start AND z.end - 1)")
+def settled(marked: str, inline_label: bool = False) -> str:
+    """Without the hits whose first or last character lies in a label (enclosing one is allowed).
+
+    Labels are found in the marked text by a pattern that lets marks stand inside them.  A mark
+    that such a label holds (or that its ends touch from outside) belongs to a hit that has to
+    go.  All of it is passes over one string, so a row costs its length, however many hits.
+    """
+    name = f"(?:[^{OPEN}{MID}{CLOSE}{OPEN_X}{CLOSE_X}]*+{MID})?+" if inline_label else ""
+    mark = f"(?:{OPEN}{name}|{CLOSE})*+"
+    digits = rf"(?:\d{mark})++"
+    label = (rf"(?U)(?:{OPEN}{name})?+\[{mark}(?:\w{mark})++"
+             rf"(?:-{mark}(?:{digits}|{PH_L}{mark}{digits}{PH_R}{mark}))?+\]{CLOSE}?+")
+    zoned = f"regexp_replace({marked}, {quote(label)}, {quote(ZONE_L + '$0' + ZONE_R)})"
+    crossed = (f"p -> concat(translate(substring_index(p, '{ZONE_R}', 1), '{OPEN}{CLOSE}', '{OPEN_X}{CLOSE_X}'), "
+               f"substring_index(p, '{ZONE_R}', -1))")
+    value = f"([^{OPEN}{CLOSE}{OPEN_X}{CLOSE_X}]*+)"
+    out = rejoin(f"split({zoned}, '{ZONE_L}')", crossed)
+    out = f"regexp_replace({out}, {quote(f'{OPEN_X}{name}{value}[{CLOSE}{CLOSE_X}]')}, '$1')"
+    return f"regexp_replace({out}, {quote(f'{OPEN}{name}{value}{CLOSE_X}')}, '$1')"
 
 
 def settled_parts(text: str, marked: str, inline_label: bool = False) -> Column:
     """The parts around the accepted hits; null where there is no hit.
 
-    Zones matter only where the text has a bracket.  They enter the fold as part of its
-    start value, so they are found once per row and not once per hit.
+    Zones matter only where the text has a bracket.
     """
-    split = f"split({marked}, '{OPEN}')"
-    hits = (f"zip_with({pieces(split)}, {spans_of(split, inline_label)}, "
-            f"(p, s) -> struct(p AS piece, s AS span))")
-    plain = f"concat({hit_value('h.piece', inline_label)}, {tail('h.piece')})"
-    fold = (f"aggregate({hits}, struct({label_zones(text)} AS zones, {split}[0] AS out), "
-            f"(a, h) -> struct(a.zones AS zones, concat(a.out, CASE WHEN {overlaps('h.span', 'a.zones')} "
-            f"THEN {plain} ELSE concat('{OPEN}', h.piece) END) AS out), a -> a.out)")
-    return F.expr(f"CASE WHEN contains({marked}, '{OPEN}') THEN split("
-                  f"CASE WHEN contains({text}, '[') THEN {fold} ELSE {marked} END, '{OPEN}') END")
+    return F.expr(f"CASE WHEN contains({marked}, '{OPEN}') THEN split(CASE WHEN contains({text}, '[') "
+                  f"THEN {settled(marked, inline_label)} ELSE {marked} END, '{OPEN}') END")
 
 
 def splice(text: str, parts: str, base: str, label: str | None) -> str:
