@@ -91,9 +91,9 @@ def forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def blocks_of(table: pa.Table, names: list[str]) -> Iterator[tuple[np.ndarray, tuple[int, ...]]]:
-    """Row numbers of the groups of a bucket."""
+    """Row numbers of the groups of a bucket, by class, so that forests of the same classes have the same edges."""
     keys = [table.column(k).to_numpy() for k in names]
-    order = np.lexsort(keys[::-1])
+    order = np.lexsort((table.column("cls").to_numpy(), *keys[::-1]))
     keys = [k[order] for k in keys]
     new = np.ones(len(order) + 1, bool)
     new[1:-1] = np.any([k[1:] != k[:-1] for k in keys], axis=0)
@@ -184,7 +184,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         "cls", "c", "v", "n", F.row_number().over(mine.orderBy("n", "c")).alias("rank"),
         F.count(F.lit(1)).over(mine).alias("m")).where(F.col("rank") <= F.col("m") - MATCHES + 1)
     # long lists are cut into chunks, and all pairs of chunks are compared
-    listed = chunk_pairs(posted.join(classes.select("cls", "sig"), "cls"), F.col("n"), F.xxhash64("cls", "c"))
+    listed = chunk_pairs(posted.join(classes.select("cls", "sig"), "cls"), F.col("n"), F.xxhash64("cls"))
     listed = store.keep(listed.select("c", "v", "part", "other", "cls", "sig"), "postings")
     bucket = F.pmod(F.xxhash64("c", "v", "part", "other"), F.lit(max(1, listed.count() // 40_000))).alias("k")
     near = store.keep(listed.select(bucket, "*").groupBy("k").applyInArrow(collisions, "a long, b long"), "candidates")
