@@ -176,7 +176,22 @@ def test_rule_tests_report(spark):
     from veilwork.operators.ruleqa import run_rule_tests
     rules = RuleSet({"regex": {"pin": r"(^|\s)(?<pin>\d{4})\s*?"}, "regex-test": {"pin": [
         {"match-type": "ONE_OR_MORE_MATCH", "phrases": ["1234", "the pin number is 1234."]},
-        {"match-type": "NO_MATCHES", "phrases": ["abc1234de", "1 2 3 4"]}]}})
+        {"match-type": "NO_MATCHES", "phrases": ["abc1234de", "1 2 3 4"]}]}}, defaults=False)
     got = {(r.test_text, r.match, r.ix, r.left, r.matched_text, r.right, r["pass"]) for r in run_rule_tests(spark, rules).collect()}
     assert got == {("1234", "exact", 1, "", "1234", "", True), ("the pin number is 1234.", "partial", 1, "the pin number is", " 1234", ".", True),
                    ("abc1234de", "none", 0, "", "", "", True), ("1 2 3 4", "none", 0, "", "", "", True)}
+
+
+def test_shipped_rule_tests_pass(spark):
+    from veilwork.operators.ruleqa import run_rule_tests
+    rows = run_rule_tests(spark, RuleSet()).collect()
+    assert {r.regex_id for r in rows} == {"pin-text", "pin-voice"} and all(r["pass"] for r in rows)
+    assert {(r.test_text, r.left, r.matched_text, r.right) for r in rows if r.regex_id == "pin-text" and r.ix} == {
+        ("1234", "", "1234", ""), ("the pin number is 1234.", "the pin number is", " 1234", ".")}
+
+
+def test_named_patterns_in_user_documents(spark):
+    rules = RuleSet({"level": {"own": ["CODE"]}, "redaction-order": ["CODE"], "entities": {"CODE": {"redactor": {
+        "model-class": "regex", "text": {"regex": r"code ?INCLUDE<oh_to_nine-voice>\b"}}}}})
+    out, _ = RedactionJob(rules, level="own").run(frame(spark, ["the code seven here", "code red"]))
+    assert lines(out) == ["the [CODE-0] here", "code red"]

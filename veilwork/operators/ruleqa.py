@@ -36,42 +36,49 @@ def _spans(raw: str) -> str:
     whole = f"substring_index(p, '{M.MID}', 1)"
     lead = f"substring_index(substring_index({M.head('p')}, '{M.MID}', 2), '{M.MID}', -1)"
     value = M.hit_value("p", True)
-    parts = f"split({raw}, '{M.OPEN}')"
-    return (f"aggregate({M.pieces(parts)}, struct(length({parts}[0]) AS pos, "
-            f"cast(array() AS array<struct<start:int,end:int,ok:boolean>>) AS s), "
-            f"(a, p) -> struct(a.pos + length({whole}) + length({M.tail('p')}) AS pos, "
-            f"array_append(a.s, named_struct('start', a.pos + length({lead}), "
-            f"'end', a.pos + length({lead}) + length({value}), 'ok', {value} != '')) AS s), a -> a.s)")
+    sizes = f"transform({M.pieces('q')}, p -> length({whole}) + length({M.tail('p')}))"
+    span = (f"named_struct('start', z + at + length({lead}), 'end', z + at + length({lead}) + length({value}), "
+            f"'ok', {value} != '')")
+    each = f"zip_with({M.pieces('q')}, {M.running(sizes)}, (p, at) -> {span})"
+    return f"transform(array(split({raw}, '{M.OPEN}')), q -> transform(array(length(q[0])), z -> {each})[0])[0]"
 
 
-def match_report(phrases: DataFrame, patterns: list[str], text: str = "test_text",
-                 match_type: str = "ONE_OR_MORE_MATCH", group=0, flags: str = "i") -> DataFrame:
-    """H3: one row per match (one with ix 0 where a pattern has none).
+def _judged(phrases: DataFrame, patterns: list[str], text: str, match_type: str, group, flags: str) -> DataFrame:
+    """The phrases with all their matches in ``__flat``, the counts ``exact`` and ``partial``, and ``pass``.
 
     Patterns are few and known when the plan is made, so they become expressions of each
-    phrase row: no join.  Adds ``pattern_ix, ix, match, left, matched_text, right, pass``.
+    phrase row: no join.
     """
     df = phrases.withColumn("test_type", F.lit(match_type)).withColumn("group", F.lit(str(group)))
     for i, p in enumerate(patterns):
         df = df.withColumn(f"__raw{i}", _matches(text, p, flags, group))
     rows = ", ".join(f"struct({i + 1} AS pattern_ix, {_spans(f'__raw{i}')} AS m)" for i in range(len(patterns)))
     df = df.withColumn("__all", F.expr(f"array({rows})")).drop(*[f"__raw{i}" for i in range(len(patterns))])
+    none = "named_struct('pattern_ix', x.pattern_ix, 'match', 'none', 'start', 0, 'end', 0)"
+    some = (f"named_struct('pattern_ix', x.pattern_ix, 'match', CASE WHEN NOT s.ok THEN 'group-not-matched' "
+            f"WHEN s.start = 0 AND s.end = length({text}) THEN 'exact' ELSE 'partial' END, "
+            f"'start', IF(s.ok, s.start, 0), 'end', IF(s.ok, s.end, 0))")
+    df = df.withColumn("__flat", F.expr(
+        f"flatten(transform(__all, x -> IF(size(x.m) = 0, array({none}), transform(x.m, s -> {some}))))")).drop("__all")
     # Numbers run over the matches of all patterns of the phrase.
-    df = df.withColumn("__flat", F.expr("""
-        aggregate(__all, struct(0 AS n, cast(array() AS array<struct<pattern_ix:int,ix:int,match:string,start:int,end:int>>) AS out),
-          (a, x) -> CASE WHEN size(x.m) = 0
-            THEN struct(a.n AS n, array_append(a.out, named_struct('pattern_ix', x.pattern_ix, 'ix', 0, 'match', 'none', 'start', 0, 'end', 0)) AS out)
-            ELSE aggregate(x.m, a, (b, s) -> CASE WHEN s.ok
-              THEN struct(b.n + 1 AS n, array_append(b.out, named_struct('pattern_ix', x.pattern_ix, 'ix', b.n + 1,
-                     'match', IF(s.start = 0 AND s.end = length(%s), 'exact', 'partial'), 'start', s.start, 'end', s.end)) AS out)
-              ELSE struct(b.n AS n, array_append(b.out, named_struct('pattern_ix', x.pattern_ix, 'ix', 0,
-                     'match', 'group-not-matched', 'start', 0, 'end', 0)) AS out) END) END,
-          a -> a.out)""" % text)).drop("__all")
-    counted = (df.withColumn("exact", F.expr("size(filter(__flat, x -> x.match = 'exact'))"))
-                 .withColumn("partial", F.expr("size(filter(__flat, x -> x.match = 'partial'))"))
-                 .withColumn("pass", F.expr(MATCH_TYPES[match_type.upper()].format(n=len(patterns)))))
+    counted = M.running("transform(__flat, x -> IF(x.match IN ('exact', 'partial'), 1, 0))")
+    df = df.withColumn("__flat", F.expr(
+        f"zip_with(__flat, {counted}, (x, n) -> named_struct('pattern_ix', x.pattern_ix, "
+        "'ix', IF(x.match IN ('exact', 'partial'), n + 1, 0), 'match', x.match, 'start', x.start, 'end', x.end))"))
+    return (df.withColumn("exact", F.expr("size(filter(__flat, x -> x.match = 'exact'))"))
+              .withColumn("partial", F.expr("size(filter(__flat, x -> x.match = 'partial'))"))
+              .withColumn("pass", F.expr(MATCH_TYPES[match_type.upper()].format(n=len(patterns)))))
+
+
+def match_report(phrases: DataFrame, patterns: list[str], text: str = "test_text",
+                 match_type: str = "ONE_OR_MORE_MATCH", group=0, flags: str = "i") -> DataFrame:
+    """H3: one row per match (one with ix 0 where a pattern has none).
+
+    Adds ``pattern_ix, ix, match, left, matched_text, right, pass``.
+    """
+    judged = _judged(phrases, patterns, text, match_type, group, flags)
     # The outer form keeps the optimiser from pushing an inferred size filter below the matching.
-    out = counted.select("*", F.expr("inline_outer(__flat)")).drop("__flat").where("pattern_ix IS NOT NULL")
+    out = judged.select("*", F.expr("inline_outer(__flat)")).drop("__flat").where("pattern_ix IS NOT NULL")
     seen = F.col("ix") > 0
     return (out.withColumn("left", F.when(seen, F.expr(f"substr({text}, 1, start)")).otherwise(""))
                .withColumn("matched_text", F.when(seen, F.expr(f"substr({text}, start + 1, end - start)")).otherwise(""))
@@ -79,12 +86,11 @@ def match_report(phrases: DataFrame, patterns: list[str], text: str = "test_text
                .drop("start", "end"))
 
 
-def match_counters(phrases: DataFrame, patterns: list[str], keys: list[str], **kw) -> DataFrame:
-    """H4/H5: exact and partial counts and the verdict of each phrase."""
-    return match_report(phrases, patterns, **kw).groupBy(*keys).agg(
-        F.sum((F.col("match") == "exact").cast("bigint")).alias("exact"),
-        F.sum((F.col("match") == "partial").cast("bigint")).alias("partial"),
-        F.first("pass").alias("pass"))
+def match_counters(phrases: DataFrame, patterns: list[str], keys: list[str], text: str = "test_text",
+                   match_type: str = "ONE_OR_MORE_MATCH", group=0, flags: str = "i") -> DataFrame:
+    """H4/H5: exact and partial counts and the verdict, a row for each phrase; nothing is shuffled."""
+    return _judged(phrases, patterns, text, match_type, group, flags).select(
+        *keys, F.col("exact").cast("bigint"), F.col("partial").cast("bigint"), "pass")
 
 
 def summary(counters: DataFrame, rule_keys: list[str]) -> DataFrame:
@@ -95,7 +101,7 @@ def summary(counters: DataFrame, rule_keys: list[str]) -> DataFrame:
         F.max((~F.col("pass")).cast("int")).alias("rule_failed"))
 
 
-def run_rule_tests(spark, rules, columns_only: bool = False) -> DataFrame:
+def run_rule_tests(spark, rules) -> DataFrame:
     """Every entry of the rule document's ``regex-test`` section as one report."""
     out = None
     for regex_id, tests in rules.doc.get("regex-test", {}).items():

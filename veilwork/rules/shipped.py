@@ -131,6 +131,19 @@ NOT_A_COUNT = ("%|percent|((of)?(jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec
                "|dollar|pound|cent|pence")
 
 
+# Phrases that the named patterns are tested with.
+RULE_TESTS = {
+    "pin-text": [
+        {"match-type": "ONE_OR_MORE_MATCH", "phrases": ["1234", "the pin number is 1234."]},
+        {"match-type": "NO_MATCHES", "phrases": ["abc1234de", "1 2 3 4"]},
+    ],
+    "pin-voice": [
+        {"match-type": "ONE_OR_MORE_MATCH",
+         "phrases": ["one two three four", "the pin number is one two three four maiden name is walsh"]},
+    ],
+}
+
+
 def spoken(digits: str, groups: list[int], glue: str, first: str | None = None) -> str:
     """Spelled-out digits in groups; ``glue`` stands between groups, ``\\s?`` inside."""
     d = f"(?:{digits})"
@@ -255,5 +268,27 @@ def shipped_rules(street_suffixes=()) -> dict:
         "always-anonymize": ["_IGNORE_"],
         "always-redact": ["_TOKEN_MAP_"],
         "redaction-order": list(REDACTION_ORDER),
-        "anon-map": {}, "token-map": {}, "entities": ent, "regex": {},
+        "anon-map": {}, "token-map": {}, "entities": ent,
+        "regex": named_patterns(where), "regex-test": {k: [dict(t) for t in v] for k, v in RULE_TESTS.items()},
+    }
+
+
+def named_patterns(where: str) -> dict:
+    """The patterns a rule document can name by ``regex-id`` or ``?INCLUDE<...>``."""
+    from veilwork.rules import surrogate_lists as lists
+    return {
+        "oh_to_nine-voice": f"(?:{SPOKEN_DIGIT})", "zero_to_nine-voice": f"(?:{SPOKEN_DIGIT_ZERO})",
+        "pin-text": PIN_TEXT, "pin-voice": PIN_VOICE, "zip-text": ZIP_TEXT, "zip-voice": ZIP_VOICE,
+        "ssn-text": SSN_TEXT, "ssn-voice": SSN_VOICE, "phone-text": PHONE_TEXT, "phone-voice": PHONE_VOICE,
+        "ccard-text": CCARD_TEXT, "ccard-voice": CCARD_VOICE, "email": EMAIL, "address": where,
+        "ordinal-text": ORDINAL, "ordinal-voice": ORDINAL, "cardinal-text": CARDINAL_TEXT, "cardinal-voice": CARDINAL_VOICE,
+        "ccard-text-gen": lists.CCARD_TEXT, "ccard-voice-gen": lists.CCARD_VOICE,
+        "4-digit-text-gen": lists.PIN_TEXT, "4-digit-voice-gen": lists.PIN_VOICE,
+        "ordinal-text-gen": lists.ORDINAL_TEXT, "ordinal-voice-gen": lists.ORDINAL_VOICE,
+        "cardinal-text-gen": lists.CARDINAL_TEXT, "cardinal-voice-gen": lists.CARDINAL_VOICE,
+        "money-text-gen": lists.MONEY_TEXT, "money-voice-gen": lists.MONEY_VOICE,
+        "date-text-gen": lists.DATE_TEXT, "date-voice-gen": lists.DATE_VOICE,
+        "time-text-gen": lists.TIME_TEXT, "time-voice-gen": lists.TIME_VOICE,
+        "percent-text-gen": lists.PERCENT_TEXT, "percent-voice-gen": lists.PERCENT_VOICE,
+        "event-gen": lists.EVENT, "language-gen": lists.LANGUAGE, "product-gen": lists.PRODUCT,
     }
