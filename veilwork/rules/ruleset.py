@@ -141,16 +141,17 @@ class RuleSet:
         found = self.doc.get("regex", {}).get(rule_id)
         if found is None:
             raise RuleError(f"regex {rule_id!r} is not defined")
-        found = [found] if isinstance(found, str) else list(found)
-        return [re.sub(r"\?INCLUDE<([^>]*)>",
-                       lambda m: self.pattern_set(m.group(1), seen + (rule_id,))[0], p) for p in found]
+        return self._included([found] if isinstance(found, str) else list(found), seen + (rule_id,))
+
+    def _included(self, found: list[str], seen: tuple = ()) -> list[str]:
+        return [re.sub(r"\?INCLUDE<([^>]*)>", lambda m: self.pattern_set(m.group(1), seen)[0], p) for p in found]
 
     def patterns_in(self, params: dict) -> list[str]:
         if params.get("regex-id") is not None:
             return self.pattern_set(params["regex-id"])
         if params.get("regex") is not None:
             given = params["regex"]
-            return [given] if isinstance(given, str) else list(given)
+            return self._included([given] if isinstance(given, str) else list(given))
         raise RuleError("a regex rule needs 'regex' or 'regex-id'")
 
     # -- detectors ---------------------------------------------------------------------
