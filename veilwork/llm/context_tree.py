@@ -35,7 +35,7 @@ from veilwork.llm.hashing import LOWER, slices, text_buffer, word_hashes
 END = 255  # never a byte of UTF-8: end mark, and the context before a text
 END_WORD = np.uint64(0)
 #: Text bytes of a part; at least PARTS of them.
-PART_BYTES, PARTS = 40 << 20, 16
+PART_BYTES, PARTS = 16 << 20, 16
 #: Rows of a bucket.
 BUCKET_ROWS = 400_000
 #: Bytes that are worked on at once.
@@ -251,7 +251,7 @@ def answers(depth: int, top: Top):
 
 
 def _words(docs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    for batch in docs.combine_chunks().to_batches():
+    for batch in docs.to_batches():
         data, offsets = text_buffer(batch.column("text"))
         train = ~batch.column("held_out").to_numpy(zero_copy_only=False)
         for i, j in slices(offsets, STEP):
@@ -273,7 +273,7 @@ def add_up(depth: int, tokens: float, distinct: float):
         word_key, word_n = merged(own) if own else (np.zeros(0, np.int64), np.zeros(0, np.int64))
         word_n[np.searchsorted(word_key, key[words_of])] = n[words_of]
         rows = []
-        for batch in docs.combine_chunks().to_batches():
+        for batch in docs.to_batches():
             data, offsets = text_buffer(batch.column("text"))
             for i, j in slices(offsets, STEP):
                 here, m = offsets[i:j + 1], j - i
@@ -303,9 +303,13 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     size = docs.agg(F.sum(F.octet_length(body))).first()[0] or 0
     parts = max(PARTS, -(-size // PART_BYTES))
     rows = docs.select(F.col(f"`{key}`").alias("doc_id"), held.alias("held_out"), body.alias("text"))
-    rows = store.keep(rows.withColumn("part", F.pmod(F.spark_partition_id(), F.lit(parts)).cast("int"))
-                      if rows.rdd.getNumPartitions() >= parts else rows.repartition(parts)
-                      .withColumn("part", F.spark_partition_id()), "texts")
+    have = rows.rdd.getNumPartitions()
+    if have >= parts:
+        part = F.pmod(F.spark_partition_id(), F.lit(parts))
+    else:  # each partition makes several parts
+        cuts = -(-parts // have)
+        part = F.spark_partition_id() * cuts + F.pmod(F.xxhash64("doc_id", "text"), F.lit(cuts))
+    rows = store.keep(rows.withColumn("part", part.cast("int")).sortWithinPartitions("part"), "texts")
     buckets = max(PARTS, -(-size // (BUCKET_ROWS * 12)))
     found = store.keep(rows.select("part", (~F.col("held_out")).alias("train"), "text").mapInArrow(
         gather(depth, buckets), "kind int, b int, part int, key long, n long"), "grams")
