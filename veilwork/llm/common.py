@@ -40,7 +40,7 @@ class Store:
 
     def keep(self, df: DataFrame, name: str = "t") -> DataFrame:
         path = f"{self.folder}/{name}-{next(_names)}"
-        df.write.parquet(path)
+        df.write.option("compression", "zstd").parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.kept_at = path
         return out
