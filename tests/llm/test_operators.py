@@ -116,6 +116,18 @@ def test_frequent_lines_reject_depleted_documents_but_not_copies(spark):
     assert quality_rules(df.limit(0)).count() == 0
 
 
+def test_lines_that_hold_the_greatest_window_still_deplete(spark):
+    rnd = random.Random(5)
+    own = lambda c, n: " ".join(f"{c}{rnd.randrange(99999)}" for _ in range(n))
+    shared, copied = own("z", 200), own("y", 90)
+    rows = [(i, f"{shared}\n{own('a', 10 + i % 4 * 10)}", "h") for i in range(60)]
+    rows += [(100 + i, f"{copied}\n{own('b', 5)}", "h") for i in range(20)] + [(200 + i, f"{copied}\nthe same", "g") for i in range(300)]
+    rows += [(600 + i, f"{shared}\n{own('a', 60)}", "h") for i in range(30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    got = {r.doc_id: (r.kept, r.n_removed_words) for r in quality_rules(df).collect()}
+    assert got == {d: (d >= 100, 200 if d < 100 or d >= 600 else 0) for d, _, _ in rows}
+
+
 # ---- licences
 def test_equivalent_spellings_match_whole_texts_only(spark):
     mit = next(t for k, t in KNOWN if k == "MIT" and len(t) > 100)

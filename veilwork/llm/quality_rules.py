@@ -1,12 +1,11 @@
 """Quality rules: document heuristics and cross-document line frequency, in DataFrame functions only.
 
-Lines are normalised (letters and digits, lower case) and hashed.  Per host the operator counts the distinct document
-families that hold a line; lines above the limit are boilerplate, and a document that keeps too few of its words
-without them is rejected as depleted.
+Lines are normalised (letters and digits, lower case) and hashed.  Per host the operator counts the distinct documents
+that hold a line; lines above the limit are boilerplate, and a document that keeps too few of its words without them is
+rejected as depleted.
 
-A family is a set of copies: documents share a family when their greatest three-word window is the same one, which copies
-and near copies nearly always do.  So a text that was copied a thousand times counts once or a few times, and its lines
-aren't taken for boilerplate; removing copies is left to the deduplication stages.
+Documents are distinct when their whole texts differ.  So a text that was copied a thousand times counts once, and its lines
+aren't taken for boilerplate; removing copies is left to the deduplication stages.  Near copies are distinct documents.
 
 Edge cases: a null text has no words and fails the base rules; a null host is a host of its own; each row is a document,
 also with a repeated or null doc_id; an empty table gives an empty result.  Input columns are carried only if named.
@@ -44,7 +43,7 @@ def normal_line(line: Column) -> Column:
 
 
 def facts(docs: DataFrame, carry: Sequence[str], text: str, host: str) -> DataFrame:
-    """Per document: the base columns, its family, and its distinct normal lines with the words each accounts for."""
+    """Per document: the base columns, a hash of its text, and its distinct normal lines with the words each accounts for."""
     df = docs.select(F.struct(*[F.col(f"`{c}`") for c in carry]).alias("carried"), F.col(f"`{host}`").alias("host"),
                      F.coalesce(F.col(f"`{text}`"), F.lit("")).alias("text"))
     df = df.withColumn("w", words(F.col("text"))).withColumn("n_words", F.size("w").cast("long"))
@@ -61,27 +60,23 @@ def facts(docs: DataFrame, carry: Sequence[str], text: str, host: str) -> DataFr
         (F.length("text") - F.length(F.translate("text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
         (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
         repeated_window_words(F.col("tri")).cast("long").alias("n_repeat_words"),
-        F.xxhash64(F.coalesce(F.array_max("tri"), F.col("text"))).alias("family"),
+        F.xxhash64("text").alias("text_hash"),
         F.transform(parts, lambda e: F.struct(F.xxhash64(e["s"]).alias("h"), e["w"].alias("w"))).alias("parts"),
         F.monotonically_increasing_id().alias("row"))
 
 
 def quality_rules(docs: DataFrame, carry: Sequence[str] = ("doc_id",), text: str = "text", host: str = "source",
-                  min_words: int = 50, max_repeat: float = 0.5, line_limit: int = 20, min_family_share: float = 0.2,
-                  min_left: float = 0.2) -> DataFrame:
+                  min_words: int = 50, max_repeat: float = 0.5, line_limit: int = 20, min_left: float = 0.2) -> DataFrame:
     """Carried columns, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, n_removed_words, kept.
 
-    A line is removed when more than `line_limit` families of its host hold it, unless these are less than
-    `min_family_share` of the documents that hold it (then they are copies of a few texts).  A document is rejected when
-    under `min_left` of its words are left, or when it fails the base rules.
+    A line is removed when more than `line_limit` distinct documents of its host hold it.  A document is rejected when under
+    `min_left` of its words are left, or when it fails the base rules.
     """
     store = Store(docs.sparkSession)
     base = store.keep(facts(docs, carry, text, host), "facts")
-    lines = base.select("host", "family", "row", F.explode(F.array_distinct("parts.h")).alias("h"))
-    frequent = store.keep(lines.groupBy("host", "h", "family").agg(F.count(F.lit(1)).alias("n"))
-                          .groupBy("host", "h").agg(F.count(F.lit(1)).alias("families"), F.sum("n").alias("n"))
-                          .where((F.col("families") > line_limit) & (F.col("families") >= min_family_share * F.col("n")))
-                          .select("host", "h"), "frequent")
+    lines = base.select("host", "text_hash", F.explode(F.array_distinct("parts.h")).alias("h"))
+    frequent = store.keep(lines.distinct().groupBy("host", "h").agg(F.count(F.lit(1)).alias("n"))
+                          .where(F.col("n") > line_limit).select("host", "h"), "frequent")
     hits = base.select("row", "host", "n_words", F.explode("parts").alias("p")).alias("a").join(
         small(frequent).alias("b"), F.col("a.host").eqNullSafe(F.col("b.host")) & (F.col("a.p.h") == F.col("b.h")))
     removed = hits.groupBy("row").agg(F.sum("p.w").cast("long").alias("n_removed_words"))
