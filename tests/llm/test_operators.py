@@ -1,17 +1,19 @@
 """The other operators: SQL counterparts, brute force, round trips, held-out accuracy, edge cases."""
 
 import random
+import textwrap
 import zlib
 from collections import defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tests.llm import plain
 from tests.oracle import compare, connect
 from veilwork.llm import queries
 from veilwork.llm.classifier import classify
-from veilwork.llm.licenses import KNOWN, known_digests, license_scan
+from veilwork.llm.licenses import KNOWN, canonical, known_digests, license_scan
 from veilwork.llm.mixing import mix, targets
 from veilwork.llm.packing import Encoder, pack, plan
 from veilwork.llm.quality_rules import quality_rules
@@ -139,6 +141,25 @@ def test_equivalent_spellings_match_whole_texts_only(spark):
     assert (2, "MIT", 0, None) not in got
 
 
+def test_line_width_does_not_change_a_licence(spark):
+    wrap = lambda t, n: "\n\n".join(textwrap.fill(p, n) for p in t.split("\n\n"))
+    long = [(k, t) for k, t in KNOWN if len(t) > 100]
+    rows = [(n, k, head + wrap(t, n)) for k, t in long for n in range(20, 160) for head in ("", "Copyright (c) 2020, A. Person\n")]
+    df = spark.createDataFrame(rows, "doc_id long, want string, text string")
+    got = license_scan(df.select(F.concat_ws(" ", "doc_id", "want").alias("doc_id"), "text"), known_digests(spark, KNOWN)).collect()
+    assert len(got) == len(rows) and {r.doc_id for r in got if r.license != r.doc_id.split(" ")[1]} == set()
+
+
+def test_copyright_statements_are_left_out_but_no_running_text(spark):
+    out = ["Copyright (c) 2020 A. Person", "(C) 2019-2020 Someone", "© Someone", "  * Copyright 1999 X", "Copyright A. Person", "COPYRIGHT BY ACME",
+           "Copyright [yyyy] [name of copyright owner]", "All rights reserved."]
+    text = ["copyright notice and this permission notice appear in all copies.", "COPYRIGHT HOLDERS BE LIABLE", "copyright owner or contributors",
+            "(c) You must retain all notices", "copyright, patent, trademark", "copyright license to reproduce", "Copyright and Related Rights"]
+    df = spark.createDataFrame([(t,) for t in out + text], "text string")
+    got = {r.text: r.c for r in df.select("text", canonical(F.col("text")).alias("c")).collect()}
+    assert {t for t in out if got[t]} == set() and {t for t in text if not got[t]} == set()
+
+
 # ---- top k
 def test_top_k_equals_brute_force_with_ties(spark):
     rnd = random.Random(6)

@@ -1,7 +1,7 @@
 """Licence scan by canonical digests, in DataFrame functions only.
 
 A unit is a whole document, or a whole line of it (a notice).  Units and known texts are put into one canonical form: lower
-case, copyright lines left out, equivalent spellings made one, everything but letters and digits a single space.  Units whose
+case, copyright statements left out, line breaks spaces, equivalent spellings made one, everything but letters and digits a single space.  Units whose
 digest is that of a known text are found by a hash join on the digest; a text that only contains a licence doesn't match.
 
 Edge cases: null or empty text, or one without letters and digits: no digest, no match; each row is a document, also with a
@@ -22,7 +22,14 @@ SPELLINGS = [("licen[cs]e", "license"), ("licen[cs]ed", "licensed"), ("licen[cs]
              ("sub[- ]?licen[cs]e", "sublicense"), ("non[- ]commercial", "noncommercial"), ("per cent", "percent"),
              ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"),
              ("merchantibility", "merchantability"), ("https", "http")]
-COPYRIGHT = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
+#: Words that follow "copyright" in running licence text, where no name stands.
+RUNNING = (r"(?:notices?|holders?|owners?|ownership|licen[cs]es?|licensors?|laws?|statements?|interests?|rights?|protections?|"
+           r"infringements?|permissions?|disclaimers?|works?|claims?|status|acts?|treat(?:y|ies)|doctrines?|and|or|nor|in|on|of|to|"
+           r"is|are|as|for|under|this|that|which|with|if|where|when|can|may|shall|will|must|has|have|does|by the laws?)\b")
+YEAR = r"(?:(?:19|20)\d\d\b|[<\[{(]\s*(?:years?|yyyy)\b)"
+#: A copyright statement: a line that begins with the word or sign and goes on with a sign, a year or a name.
+COPYRIGHT = (r"(?m)^[^a-z0-9\n]*(?:(?:copyright[ \t:,]*(?:\(c\)|©|" + YEAR + r")|copyright[ \t]+(?:by[ \t]+)?(?!" + RUNNING
+             + r")[<\[{]?\p{L}|\(c\)[ \t:,]*(?:copyright\b|" + YEAR + r")|©)[^\n]*$|all rights reserved\b)")
 
 #: Known texts.
 KNOWN = [
@@ -56,7 +63,7 @@ NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE US
 
 
 def canonical(text: Column) -> Column:
-    out = F.regexp_replace(F.lower(text), COPYRIGHT, " ")
+    out = F.regexp_replace(F.regexp_replace(F.lower(text), COPYRIGHT, " "), r"\s+", " ")
     for spelling, one in SPELLINGS:
         out = F.regexp_replace(out, spelling, one)
     return F.trim(F.regexp_replace(out, r"[^\p{L}\p{N}]+", " "))
