@@ -1,6 +1,7 @@
 """The other operators: SQL counterparts, brute force, round trips, held-out accuracy, edge cases."""
 
 import random
+import re
 import textwrap
 import zlib
 from collections import defaultdict
@@ -13,7 +14,7 @@ from tests.llm import plain
 from tests.oracle import compare, connect
 from veilwork.llm import queries
 from veilwork.llm.classifier import classify
-from veilwork.llm.licenses import KNOWN, canonical, known_digests, license_scan
+from veilwork.llm.licenses import KNOWN, canonical, known_digests, known_texts, license_scan
 from veilwork.llm.mixing import mix, targets
 from veilwork.llm.packing import Encoder, pack, plan
 from veilwork.llm.quality_rules import quality_rules
@@ -154,12 +155,29 @@ def test_copyright_statements_are_left_out_but_no_running_text(spark):
     out = ["Copyright (c) 2020 A. Person", "(C) 2019-2020 Someone", "© Someone", "  * Copyright 1999 X", "Copyright A. Person", "COPYRIGHT BY ACME",
            "Copyright [yyyy] [name of copyright owner]", "All rights reserved."]
     text = ["copyright notice and this permission notice appear in all copies.", "COPYRIGHT HOLDERS BE LIABLE", "copyright owner or contributors",
-            "(c) You must retain all notices", "copyright, patent, trademark", "copyright license to reproduce", "Copyright and Related Rights"]
+            "(c) You must retain all notices", "copyright, patent, trademark", "copyright license to reproduce", "Copyright and Related Rights", "copyright the library, and (2) we offer you this license"]
     df = spark.createDataFrame([(t,) for t in out + text], "text string")
     got = {r.text: r.c for r in df.select("text", canonical(F.col("text")).alias("c")).collect()}
     assert {t for t in out if got[t]} == set() and {t for t in text if not got[t]} == set()
 
 
+def test_texts_notices_titles_and_files(spark, tmp_path):
+    mit = next(t for k, t in KNOWN if k == "MIT" and len(t) > 100).split("\n", 1)[1]
+    texts = {k: t for k, t in known_texts() if len(t) > 600}
+    assert {"Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "GPL-1.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "MPL-2.0", "Unlicense", "CC0-1.0"} <= set(texts)
+    wrap = lambda t: "\n\n".join(p if re.search(r"(?mi)^\s*copyright", p) else textwrap.fill(p, 61) for p in t.split("\n\n"))
+    rows = [(k, wrap(t)) for k, t in texts.items() if "-or-later" not in k and k != "BSL-1.0"]
+    rows += [("MIT", "Copyright 2020 X\n\n" + mit), ("MIT", "The MIT License (MIT)\n\nCopyright (c) 2020 X\n" + mit),
+             ("MIT", "// SPDX-License-Identifier: MIT"), ("GPL-3.0-or-later", "# SPDX-License-Identifier: GPL-3.0-or-later"),
+             ("BSD-3-Clause", "BSD 3-Clause License\n\nCopyright (c) 2021, X\nAll rights reserved.\n\n" + texts["BSD-3-Clause"].split("License\n\n")[-1]),
+             ("GPL-2.0", "Licensed under the GNU General Public License, version 2"), ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+             ("Own-1.0", "An own\ntext."), (None, "Some text that is no licence.")]
+    (tmp_path / "Own-1.0.txt").write_text("An own text.")
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = license_scan(df, known_digests(spark, known_texts(), [str(tmp_path / "*.txt")])).collect()
+    assert len(got) == len(rows) and [(r.doc_id, r.license) for r in got if r.doc_id != r.license] == []
+
+
 # ---- top k
 def test_top_k_equals_brute_force_with_ties(spark):
     rnd = random.Random(6)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilwork.llm.classifier import classify
 from veilwork.llm.context_tree import score
-from veilwork.llm.licenses import KNOWN, known_digests, license_scan
+from veilwork.llm.licenses import KNOWN, known_digests, known_texts, license_scan
 from veilwork.llm.minhash import near_duplicates
 from veilwork.llm.mixing import mix
 from veilwork.llm.packing import pack
@@ -28,7 +28,7 @@ def tokenizer_file(name: str) -> str:
 
 
 def op1_licenses(spark, sf_dir):
-    return license_scan(table(spark, sf_dir, "documents"), known_digests(spark, KNOWN))
+    return license_scan(table(spark, sf_dir, "documents"), known_digests(spark, known_texts()))
 
 
 def op10_classifier(spark, sf_dir):
