@@ -60,3 +60,25 @@ def test_phrase_lists_mean_the_same_at_any_size(spark, tmp_path, fillers, extra,
         "model-class": "phraselist", "text": {"phrase-filename": str(path), "add-wordbreak": "U.S." not in text, **extra}}}}})
     table, log = RedactionJob(rules, level="own").run(spark.createDataFrame([(1, "c", text)], "row_id long, conversation_id string, text string"))
     assert sorted(r.value for r in log.collect()) == sorted(hit)
+
+
+def test_whole_benchmark_texts_are_the_phrase_list(spark, tmp_path):
+    import random
+    import re
+    from collections import Counter
+
+    from veilwork.catalog import QUERIES
+    rnd = random.Random(8)
+    text = lambda k, n: "".join(rnd.choice(["A", "b", "c", "d", "e"]) + str(rnd.randrange(n)) + rnd.choice([" ", " ", ", "]) for _ in range(k))
+    bench, docs = [text(12, 9) for _ in range(3)] + [None, "one"], [(i, text(80, 12)) for i in range(20)] + [(20, None), (21, "one  One")]
+    phrases = set()
+    for t in filter(None, bench):
+        for n in range(3):
+            phrases |= {m[1].lower() for m in re.finditer(rf"\b(?=(\w+(?: \w+){{{n}}})\b)", t)}
+    assert {len(p.split(" ")) for p in phrases} == {1, 2, 3}
+    either = re.compile(r"\b(?:" + "|".join(sorted(phrases, key=lambda p: (-len(p), p))) + r")\b", re.I)
+    want = Counter({i: len(either.findall(t)) for i, t in docs if t})
+    spark.createDataFrame([(i, t) for i, t in enumerate(bench)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["d5_phrase_table_join_whole"](spark, str(tmp_path)).collect()
+    assert {r.row_id: r.n for r in got} == {i: n for i, n in want.items() if n} and want[21] == 2

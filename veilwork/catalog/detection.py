@@ -82,6 +82,19 @@ def d5_join(spark, sf_dir):
     return phrase_spans(documents(spark, sf_dir), phrases).groupBy("row_id").agg(F.count("*").alias("n"))
 
 
+def word_phrases(texts, longest: int = 3):
+    """All phrases of one to ``longest`` words with single spaces between them, in lower case, each once."""
+    grams = [F.regexp_extract_all("text", F.lit(rf"(?U)(?<!\w)(?=(\w+(?: \w+){{{n}}})(?!\w))"), F.lit(1)) for n in range(longest)]
+    return texts.select(F.explode(F.concat(*grams)).alias("phrase")).select(F.lower("phrase").alias("phrase")).distinct()
+
+
+@query("d5_phrase_table_join_whole")
+def d5_join_whole(spark, sf_dir):
+    """All phrases of one to three words of whole benchmark texts; the list is too long for an SQL alternation."""
+    phrases = word_phrases(table(spark, sf_dir, "benchmark"))
+    return phrase_spans(documents(spark, sf_dir), phrases).groupBy("row_id").agg(F.count("*").alias("n"))
+
+
 # ---- tokens, ignore, overlap ---------------------------------------------------------
 TOKENS = {"ZIP": ["<ZIP/>"], "PIN": ["<PIN/>", "<CVV/>"]}
 
