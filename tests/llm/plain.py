@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import hashlib
+import math
 import re
+import zlib
+from collections import Counter
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -56,3 +59,58 @@ def without_repeats(docs, width):
         runs = sum(1 for i, g in enumerate(gone) if g and (i == 0 or not gone[i - 1]))
         out[d] = (len(raw), sum(gone), runs, hashlib.sha256(kept).hexdigest(), kept)
     return out
+
+
+def runs(w, least=12):
+    """(start, length, period) of all runs of a list, by start and period; every lag is looked at."""
+    out, n = [], len(w)
+    for q in range(1, n // 2 + 1):
+        i = 0
+        while i + q < n:
+            s = i
+            while i + q < n and w[i] == w[i + q]:
+                i += 1
+            u = w[s:s + q]
+            if i > s and i - s + q >= max(least, 2 * q) and not any(q % d == 0 and u == u[:d] * (q // d) for d in range(1, q)):
+                out.append((s, i - s + q, q))
+            i += 1
+    return sorted(out, key=lambda r: (r[0], r[2]))
+
+
+def collapsed(w, found):
+    gone = {i for s, n, q in found for i in range(s + q, s + n)}
+    return " ".join(x for i, x in enumerate(w) if i not in gone)
+
+
+def repeated_from_some_word(w, doc_id):
+    """The contract's texts: one id in ten repeats its words from some word on."""
+    h = zlib.crc32(str(doc_id).encode())
+    g = h // 10
+    if h % 10 or not w:
+        return w
+    a = g % len(w)
+    p = 1 + (len(w) - a) // (3 + g % 8)
+    return [w[i] if i < a else w[a + (i - a) % p] for i in range(len(w))]
+
+
+def resampled(docs, target, percent=25, least_words=20, buckets=10_000):
+    """Rows (doc_id, n_features, weight, score, rank) of (doc_id, text)."""
+    def parts(t):
+        w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", lower(t or ""))
+        return w, [zlib.crc32(f.encode()) % buckets for f in w + [f"{a} {b}" for a, b in zip(w, w[1:])]]
+
+    rows, s, t = [(d, *parts(x)) for d, x in docs], Counter(), Counter()
+    for _, _, f in rows:
+        s.update(f)
+    for x in target:
+        t.update(parts(x)[1])
+    n, m = sum(s.values()) + buckets, sum(t.values()) + buckets
+    gain = [math.floor(1000 * math.log((t[b] + 1) * n / ((s[b] + 1) * m))) for b in range(buckets)]
+    out = []
+    for d, w, f in rows:
+        weight = sum(gain[b] for b in f) // len(f) if f else 0
+        h = int(hashlib.sha256(f"7:{'null' if d is None else d}".encode()).hexdigest()[:8], 16)
+        out.append((d, len(f), weight, weight + math.floor(-1000 * math.log(-math.log((h + .5) / 2**32))), len(w)))
+    order = sorted((r for r in out if r[4] >= least_words), key=lambda r: (-r[3], r[0] is None, r[0] or 0, r[1:3]))
+    k = percent * len(order) // 100
+    return [(*r[:4], None) for r in out if r[4] < least_words] + [(*r[:4], i + 1 if i < k else None) for i, r in enumerate(order)]

@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.llm.classifier import classify
+from veilwork.llm.common import words
 from veilwork.llm.context_tree import score
+from veilwork.llm.importance import resample
 from veilwork.llm.licenses import KNOWN, known_digests, known_texts, license_scan
 from veilwork.llm.minhash import near_duplicates
 from veilwork.llm.mixing import mix
 from veilwork.llm.packing import pack
+from veilwork.llm.periodic_runs import find_runs
 from veilwork.llm.quality_rules import quality_rules
 from veilwork.llm.suffix_dedup import remove_repeats
 from veilwork.llm.topk import top_k
@@ -79,7 +82,35 @@ def op9_suffix_dedup(spark, sf_dir):
         "carried.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """The texts of the contract: from some word on, one document in ten repeats its next words."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    g, n = F.floor(h / 10), F.size("w")
+    a = g % n
+    p = 1 + F.floor((n - a) / (3 + g % 8))
+    place = lambda i: F.when(i < a, i).otherwise(a + (i - a) % p)
+    turned = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("w"), place(i).cast("int")))
+    df = docs.select("doc_id", "text", F.when(h % 10 == 0, words(F.col("text"))).alias("w"))
+    return df.select("doc_id", F.when(F.size("w") > 0, F.array_join(turned, " ")).otherwise(F.col("text")).alias("text"))
+
+
+def op12_periodic_runs(spark, sf_dir):
+    found = find_runs(with_periods(table(spark, sf_dir, "documents")))
+    best = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(r["start"], F.lit(","), r["length"], F.lit(","), r["period"], F.lit("\n"))), "")
+    return found.withColumn("best", best).select(
+        "carried.doc_id", F.size("runs").cast("long").alias("n_runs"), (-F.col("best.start")).alias("start"), F.col("best.length").alias("length"),
+        (-F.col("best.period")).alias("period"), F.floor(1000 * F.col("best.length") / -F.col("best.period")).alias("exponent_milli"),
+        F.sha2(lines.cast("binary"), 256).alias("runs_sha256"), F.sha2(F.col("collapsed").cast("binary"), 256).alias("collapsed_sha256"))
+
+
+def op13_resampling(spark, sf_dir):
+    return resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
 QUERIES = {
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_resampling": op13_resampling,
     "op1_licenses": op1_licenses,
     "op10_classifier": op10_classifier,
     "op3_context_tree": op3_context_tree,
