@@ -19,7 +19,6 @@ zero everywhere, an empty table an empty result.  Input columns aren't carried,
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ from pyspark.sql import functions as F
 
 from veilwork.llm.common import Store, partitions
 
-BUCKETS, PIVOTS, PIECE, KNOWN_WORDS, SHIFTED = 10_000, 31, 1 << 20, 1 << 18, 256
+BUCKETS, PIVOTS, PIECE, SHIFTED = 10_000, 31, 1 << 20, 256
 #: A-Z to a-z; every ASCII character that is no letter or digit to a blank.
 _PLAIN = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
 
@@ -50,54 +49,39 @@ def _shift_tables() -> np.ndarray:
     return out
 
 
-_SHIFT = _shift_tables().reshape(SHIFTED, -1)
+_SHIFT = _shift_tables().reshape(-1)
 
 
-class Checksums(dict):
-    """Numbers words; keeps the checksum of each, of each with a blank, and its length."""
-
-    def __init__(self):
-        super().__init__()
-        self.words, self.alone, self.spaced, self.sizes = [], array("I"), array("I"), array("q")
-
-    def __missing__(self, word: bytes) -> int:
-        number = self[word] = len(self)
-        self.words.append(word)
-        self.alone.append(zlib.crc32(word))
-        self.spaced.append(zlib.crc32(word + b" "))
-        self.sizes.append(len(word))
-        return number
+def pairs_checksums(words: list[bytes], alone: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Checksums of 'a b' for words a, b that follow each other, from their own checksums and sizes."""
+    first, size = _shifted(alone[:-1], np.int64(1)) ^ np.uint32(zlib.crc32(b" ")), sizes[1:]
+    out = _shifted(first, np.minimum(size, SHIFTED - 1)) ^ alone[1:]
+    for i in np.flatnonzero(size >= SHIFTED).tolist():
+        out[i] = zlib.crc32(words[i] + b" " + words[i + 1])
+    return out
 
 
-def pairs_checksums(known: Checksums, a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Checksums of 'a b' for word numbers a and b."""
-    first, size = np.frombuffer(known.spaced, np.uint32)[a], np.frombuffer(known.sizes, np.int64)[b]
-    near = np.minimum(size, SHIFTED - 1)
-    out = np.frombuffer(known.alone, np.uint32)[b]
+def _shifted(sums: np.ndarray, size: np.ndarray) -> np.ndarray:
+    out = np.zeros(len(sums), np.uint32)
     for k in range(4):
-        out = out ^ _SHIFT[near, k * 256 + ((first >> np.uint32(8 * k)) & np.uint32(255))]
-    for i in np.flatnonzero(size >= SHIFTED).tolist():
-        out[i] = zlib.crc32(known.words[a[i]] + b" " + known.words[b[i]])
+        out ^= _SHIFT[size * 1024 + k * 256 + ((sums >> np.uint32(8 * k)) & np.uint32(255)).astype(np.int64)]
     return out
 
 
-def feature_buckets(raw: bytes, known: Checksums, buckets: int = BUCKETS) -> Iterator[tuple[int, np.ndarray]]:
+def feature_buckets(raw: bytes, buckets: int = BUCKETS) -> Iterator[tuple[int, np.ndarray]]:
     """(words, buckets of their features) of a text, piece by piece; features are words and pairs of words that follow each other."""
-    raw, at, last = raw.translate(_PLAIN), 0, None
+    raw, at, last = raw.translate(_PLAIN), 0, []
     while at < len(raw):
         end = raw.find(b" ", at + PIECE)
         end = len(raw) if end < 0 else end
-        if len(known) > KNOWN_WORDS:
-            known.__init__()
-        words = raw[at:end].split()
-        at = end
-        if not words:
+        words = last + raw[at:end].split()
+        at, new = end, len(words) - len(last)
+        if not new:
             continue
-        head = [] if last is None else [last]
-        numbers = np.fromiter(map(known.__getitem__, head + words), np.int64, len(head) + len(words))
-        single = np.frombuffer(known.alone, np.uint32)[numbers[len(head):]]
-        yield len(words), np.concatenate((single, pairs_checksums(known, numbers[:-1], numbers[1:]))) % np.uint32(buckets)
-        last = words[-1]
+        alone = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
+        sizes = np.fromiter(map(len, words), np.int64, len(words))
+        yield new, np.concatenate((alone[len(last):], pairs_checksums(words, alone, sizes))) % np.uint32(buckets)
+        last = words[-1:]
 
 
 def _texts(column: pa.Array) -> Iterator[bytes]:
@@ -107,10 +91,10 @@ def _texts(column: pa.Array) -> Iterator[bytes]:
 def bucket_counts(rows: DataFrame, text: str, buckets: int = BUCKETS) -> np.ndarray:
     """How many features of all texts fall into each bucket."""
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total, known = np.zeros(buckets, np.int64), Checksums()
+        total = np.zeros(buckets, np.int64)
         for batch in batches:
             for raw in _texts(batch.column(0)):
-                for _, b in feature_buckets(raw, known, buckets):
+                for _, b in feature_buckets(raw, buckets):
                     total += np.bincount(b, minlength=buckets)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["bucket", "n"])
@@ -136,12 +120,11 @@ def gains(rows: np.ndarray, target: np.ndarray) -> np.ndarray:
 def scored(rows: DataFrame, gain: np.ndarray, key: str, text: str, seed: int) -> DataFrame:
     """doc_id, n_features, n_words, weight, score; row numbers the rows."""
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Checksums()
         for batch in batches:
             out = []
             for raw in _texts(batch.column(0)):
                 n_words = n = total = 0
-                for w, b in feature_buckets(raw, known, len(gain)):
+                for w, b in feature_buckets(raw, len(gain)):
                     n_words, n, total = n_words + w, n + len(b), total + int(gain[b].sum())
                 out.append((n, n_words, total // n if n else 0))
             numbers = [pa.array(c, pa.int64()) for c in (zip(*out) if out else ((), (), ()))]
