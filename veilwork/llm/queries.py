@@ -14,6 +14,7 @@ from veilwork.llm.minhash import near_duplicates
 from veilwork.llm.mixing import mix
 from veilwork.llm.packing import pack
 from veilwork.llm.periodic_runs import find_runs
+from veilwork.llm.pii import KINDS, personal_data
 from veilwork.llm.quality_rules import quality_rules
 from veilwork.llm.suffix_dedup import remove_repeats
 from veilwork.llm.topk import top_k
@@ -82,6 +83,14 @@ def op9_suffix_dedup(spark, sf_dir):
         "carried.doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_pii(spark, sf_dir):
+    found = personal_data(table(spark, sf_dir, "documents"))
+    strict = F.filter("spans", lambda s: s["base"])
+    listed = lambda a: F.array_join(F.transform(a, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
+    of_kind = lambda k: F.size(F.filter(strict, lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select("carried.doc_id", *map(of_kind, KINDS), F.sha2(listed(strict).cast("binary"), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """The texts of the contract: from some word on, one document in ten repeats its next words."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -109,6 +118,7 @@ def op13_resampling(spark, sf_dir):
 
 
 QUERIES = {
+    "op11_pii": op11_pii,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_resampling": op13_resampling,
     "op1_licenses": op1_licenses,
