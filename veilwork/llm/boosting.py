@@ -76,8 +76,7 @@ def fit(vectors: DataFrame, features: Sequence[str], trees: int = 12, depth: int
     for _ in range(trees):
         root = Node()
         open_ = [root]
-        p = f"(1 / (1 + exp(-({model.margin()}))))"
-        rows = vectors.selectExpr("*", f"pos * ({p} - 1) + neg * {p} AS g", f"(pos + neg) * {p} * (1 - {p}) AS h")
+        rows = vectors.withColumn("p", model.probability()).selectExpr("*", "pos * (p - 1) + neg * p AS g", "(pos + neg) * p * (1 - p) AS h")
         for _ in range(depth):
             number = {id(n): k for k, n in enumerate(open_)}
             place = root.sql(lambda n: str(number.get(id(n), -1)))

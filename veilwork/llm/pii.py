@@ -70,7 +70,7 @@ WORDS = {"email": "e-?mail|mail|write to|contact|correo|courriel", "ip": "ip|add
          "card": "card|visa|mastercard|amex|pay with|karte|tarjeta|carte", "phone": "call|phone|tel|mobile|fax|telefon|me at|teléfono"}
 OTHER_WORDS = ("order|invoice|isbn|ref|reference|id|version|tracking number|serial|sku|page|price|total|no|nr|code|time|clock|years?")
 FEATURES = ["kind_no", "least_gen", "n_gens", "digits", "others", "letters", "first", "distinct_digits", "longest", "lead", "before",
-            "after", "luhn", "own_words", "other_words", "dots", "last_part"]
+            "after", "luhn", "own_words", "other_words", "dots", "last_part", "years"]
 
 #: Made examples: kind, whether it is personal, shape (9 a digit, ~ a letter, ^ a hexadecimal digit), contexts (n plain, k own
 #: words, o other words).
@@ -78,7 +78,7 @@ SHAPES = [
     ("email", 1, "~~~~.~~~~~@~~~~~.com", "nk"), ("email", 1, "~~~~~9@~~~~.~~", "nk"), ("email", 1, "~~~.99@~~~~9.~~~~~~~.com", "nk"),
     ("email", 1, "~~~~ (at) ~~~~~ (dot) com", "nk"), ("email", 1, "~~~~.~~~~ [at] ~~~~~.org", "nk"),
     ("email", 1, "~~~~~9 at ~~~~~~ dot com", "nk"), ("email", 1, "~~~~~ @ ~~~~~.com", "nk"),
-    ("email", 0, "~~~~ at ~~~ dot ~~~~~~~~", "n"), ("email", 0, "~~~~~~ @ 9.99", "no"), ("email", 0, "~~~ @ 99.99", "no"),
+    ("email", 0, "~~~~ at ~~~ dot ~~~~~~~~", "n"), ("email", 0, "~~~~ at ~~~ dot ~~~~~~", "n"), ("email", 0, "~~~~~ at ~ dot ~~~~~", "n"), ("email", 0, "~~~~~~ @ 9.99", "no"), ("email", 0, "~~~ @ 99.99", "no"),
     ("ip", 1, "199.19.9.199", "nk"), ("ip", 1, "99.199.19.9", "nk"), ("ip", 1, "^^^^:^^^^:^^^^:^^^^:^^^^:^^^^:^^^^:^^^^", "nk"),
     ("ip", 1, "2001:db8::^^^^:^^^^", "nk"), ("ip", 1, "fe80::^^^^:^^^^", "nk"),
     ("ip", 0, "19:59:59", "no"), ("ip", 0, "9:59:59", "no"), ("ip", 0, "99:59:59", "no"), ("ip", 0, "9:9:9", "no"),
@@ -89,6 +89,7 @@ SHAPES = [
     ("card", 0, "0.9999999999999999", "no"), ("card", 0, "978-9-99-999999-9", "no"), ("card", 0, "99 999 999 999 999", "no"),
     ("card", 0, "9999999999999", "no"), ("card", 0, "9999 9999 9999", "no"), ("card", 0, "99999999999999999", "no"),
     ("card", 0, "1999 1999 2009 2019", "no"), ("card", 0, "2009 2019 2019 2029", "no"), ("card", 0, "1999-2009-2019-2029", "no"),
+    ("card", 0, "99 99 99 99 99 99 99", "no"), ("card", 0, "9 9 9 9 9 9 9 9 9 9 9 9 9", "no"), ("card", 0, "999 999 999 999 999", "no"),
     ("phone", 1, "+1 (999) 999-9999", "nk"), ("phone", 1, "(999) 999-9999", "nk"), ("phone", 1, "999-999-9999", "nk"),
     ("phone", 1, "999.999.9999", "nk"), ("phone", 1, "999 999 9999", "k"), ("phone", 1, "+49 99 9999999", "nk"),
     ("phone", 1, "0049 99 9999999", "nk"), ("phone", 1, "099 9999 9999", "k"), ("phone", 1, "(099) 9999 999", "nk"),
@@ -172,7 +173,8 @@ def featured(c: DataFrame, *others: str) -> DataFrame:
         f"{side('left_char')} AS before", f"{side('right_char')} AS after",
         f"int(CASE kind {own} ELSE false END) AS own_words", f"int(context RLIKE {other} OR left_char = '=') AS other_words",
         "least(length(value) - length(replace(value, '.', '')), 5) AS dots",
-        "CASE WHEN kind = 'email' THEN least(length(regexp_extract(value, '[A-Za-z]*$', 0)), 12) ELSE 0 END AS last_part")
+        "CASE WHEN kind = 'email' THEN least(length(regexp_extract(value, '[A-Za-z]*$', 0)), 12) ELSE 0 END AS last_part",
+        "least(size(filter(split(value, '[^0-9]+'), x -> x RLIKE '^(19|20)[0-9][0-9]$')), 4) AS years")
 
 
 # ---- learning
