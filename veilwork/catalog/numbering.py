@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from veilwork.catalog.base import TURN_SRC, hits_ctes, query, table, transcripts
+from veilwork.catalog.base import TURN_SRC, conversations, hits_ctes, query, table, transcripts
 from veilwork.catalog.rules import EMAIL_RE, only, whole
 from veilwork.operators import numbering as N
 from veilwork.operators.detect import detect
+from veilwork.rules.ruleset import compile_pattern
 
 CHUNK = 1000
 HITS = hits_ctes(TURN_SRC, whole(EMAIL_RE), "EMAIL", 1)
@@ -45,6 +46,32 @@ def e1(spark, sf_dir):
     return sequenced(spark, sf_dir).select("row_id", "label", "value", "seq")
 
 
+# ids far apart: nearly every turn is a block of its own
+SPARSE = r"""h AS (SELECT conv_id, conv_id * 1048576 + turn AS row_id, turn, unnest(regexp_extract_all(text, '[A-Za-z]+[aeiou]\b')) AS value,
+ generate_subscripts(regexp_extract_all(text, '[A-Za-z]+[aeiou]\b'), 1) AS i FROM conversations)"""
+
+
+def sparse_hits(spark, sf_dir):
+    steps = [compile_pattern(0, "WORD", r"(?<![A-Za-z])[A-Za-z]+[aeiou](?![A-Za-z0-9_])", "a")]
+    return N.explode_hits(detect(conversations(spark, sf_dir), steps))
+
+
+@query("e1_sparse_ids", f"""WITH {SPARSE} SELECT row_id, value, row_number() OVER (ORDER BY row_id, i DESC) - 1 AS seq FROM h""")
+def e1_sparse(spark, sf_dir):
+    from veilwork.plans.redaction import keep_once
+    return N.sequence(keep_once(sparse_hits(spark, sf_dir))).select("row_id", "value", "seq")
+
+
+@query("e6_sparse_ids", f"""WITH {SPARSE},
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY row_id, i DESC) AS o FROM h),
+f AS (SELECT conv_id, value, min(o) AS o FROM o GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY o) - 1 AS ix FROM f)
+SELECT o.row_id, o.value, r.ix FROM o JOIN r USING (conv_id, value)""")
+def e6_sparse(spark, sf_dir):
+    from veilwork.plans.redaction import keep_once
+    return N.conversation_index(keep_once(sparse_hits(spark, sf_dir)))[0].select("row_id", "value", "ix")
+
+
 @query("e2_index", f"""WITH {TWO_RULES}
 SELECT row_id, label, value, seq, min(seq) OVER (PARTITION BY conv, label, value) AS ix FROM numbered""")
 def e2(spark, sf_dir):

@@ -2,8 +2,9 @@
 
 Hits are numbered without an unpartitioned window over the data.  Rows are cut into blocks
 of consecutive row ids; a block is bounded by ``BLOCK_ROWS`` rows whatever its content, so
-it is the unit of every window here.  Only the small per-block counts are summed up over a
-whole conversation (or over the whole table in global mode).
+it is the unit of every window here.  The counts per block are summed up over a whole
+conversation (or over the whole table in global mode) by ranges of blocks, so ids may also be
+sparse and nearly every row a block of its own.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from veilwork.functions import marks as M
 from veilwork.operators.detect import OCC, explode_hits  # noqa: F401
 
 BLOCK_ROWS = 50_000
+PART_GROUPS = 100_000
 KEY = ["conversation_id", "label", "value"]
 
 
@@ -37,12 +39,7 @@ def running_number(df: DataFrame, order_groups: list[str], inside: list[str], ou
     offsets; the row number is taken inside one group only.
     """
     groups = [*within, *order_groups]
-    counts = df.groupBy(*groups).agg(F.count("*").alias("__n"))
-    total = Window.partitionBy(*within) if within else Window.partitionBy()
-    offsets = counts.withColumn(
-        "__offset", F.sum("__n").over(total.orderBy(*order_groups)
-                                      .rowsBetween(Window.unboundedPreceding, 0)) - F.col("__n")
-    ).drop("__n")
+    offsets = group_offsets(df.groupBy(*groups).agg(F.count("*").alias("__n")), list(within), order_groups)
     inner = Window.partitionBy(*groups).orderBy(*inside)
     numbered = df.withColumn("__rank", F.row_number().over(inner) - 1)
     return (null_safe_join(numbered, offsets, groups)
@@ -50,6 +47,53 @@ def running_number(df: DataFrame, order_groups: list[str], inside: list[str], ou
             .drop("__offset", "__rank"))
 
 
+def group_offsets(counts: DataFrame, within: list[str], order: list[str]) -> DataFrame:
+    """``(within, order, __offset)``: the sum of ``__n`` over the earlier groups of the same ``within`` key.
+
+    A hierarchical prefix sum.  The groups, one row each and written once, are sorted by range into parts of about
+    ``PART_GROUPS``; a window runs inside a part, and what comes in from the parts before is worked out from one row per
+    part.  So neither one long table nor one key with a third of all groups meets in one task.
+    """
+    from veilwork.plans.redaction import keep_once
+    groups = [*within, *order]
+    counts = keep_once(counts)
+    wanted = -(-counts.count() // PART_GROUPS)
+    n = max(1, min(wanted, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions"))))
+    if n == 1:
+        parts = counts.coalesce(1).withColumn("__part", F.spark_partition_id())
+    else:
+        parts = keep_once(counts.repartitionByRange(n, *groups).withColumn("__part", F.spark_partition_id()))
+    before = (Window.partitionBy("__part", *within).orderBy(*order)
+              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    inside = parts.withColumn("__offset", F.sum("__n").over(before) - F.col("__n"))
+    carried = carried_in(parts, within) if n > 1 else []
+    if not carried:
+        return inside.drop("__n", "__part")
+    keys = ["__part", *within]
+    kind = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in parts.select(*keys).schema)
+    start = parts.sparkSession.createDataFrame(carried, f"{kind}, __start bigint")      # a row per part at most
+    return (null_safe_join(inside, F.broadcast(start), keys, "left")
+            .withColumn("__offset", F.col("__offset") + F.coalesce("__start", F.lit(0)))
+            .drop("__n", "__part", "__start"))
+
+
+def carried_in(parts: DataFrame, within: list[str]) -> list[tuple]:
+    """``(part, within..., sum)`` for the first key of each part: its sum in the parts before."""
+    key = F.struct(*within) if within else F.lit(0)
+    sums = parts.groupBy("__part", *within).agg(F.sum("__n").alias("__n")).withColumn("__k", key)
+    ends = sums.groupBy("__part").agg(F.min("__k").alias("first"), F.max("__k").alias("last"), F.max_by("__n", "__k").alias("n"))
+    out, open_key, open_sum = [], None, 0
+    for r in sorted(ends.collect(), key=lambda r: r["__part"]):      # a row per part
+        first, last = r["first"], r["last"]
+        if first != open_key:
+            open_sum = 0
+        elif open_sum:
+            out.append((r["__part"], *(first if within else ()), open_sum))
+        open_sum = r["n"] + (open_sum if first == last else 0)
+        open_key = last
+    return out
+
+
 def sequence(hits: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Every hit takes the next number in (file, chunk, rule, row, creation) order."""
     hits = with_block(hits, block_rows)
