@@ -69,28 +69,42 @@ def d6(spark, sf_dir):
 
 
 # ---- large phrase lists: n-gram join -------------------------------------------------
-BENCH_PHRASES = r"""SELECT DISTINCT lower(regexp_extract(text, '(\w+ \w+)', 1)) AS phrase FROM benchmark"""
+def _phrase_join_sql(lengths) -> str:
+    """Words with the gaps behind them, n-grams with single blanks, and a fold that takes the leftmost ones."""
+    words = r"[\p{L}\p{M}\p{Nd}\p{Pc}]+"
+    tokens = lambda t, i: (
+        f"(SELECT id, unnest(string_split(m, chr(1))) AS p, generate_subscripts(string_split(m, chr(1)), 1) AS i FROM "
+        f"(SELECT {i} AS id, regexp_replace(lower(text), '({words})', chr(1) || '\\1' || chr(2), 'g') AS m FROM {t}))")
+    table_of = lambda t, i: (
+        f"SELECT id, i, split_part(p, chr(2), 1) AS w1, split_part(p, chr(2), 2) AS g1, lead(split_part(p, chr(2), 1)) OVER o AS w2, "
+        f"lead(split_part(p, chr(2), 2)) OVER o AS g2, lead(split_part(p, chr(2), 1), 2) OVER o AS w3 FROM {tokens(t, i)} "
+        f"WHERE i > 1 WINDOW o AS (PARTITION BY id ORDER BY i)")
+    gram = {1: ("w1", "true"), 2: ("w1 || ' ' || w2", "g1 = ' ' AND w2 IS NOT NULL"),
+            3: ("w1 || ' ' || w2 || ' ' || w3", "g1 = ' ' AND g2 = ' ' AND w3 IS NOT NULL")}
+    grams = lambda t: " UNION ALL ".join(f"SELECT id, i, {n} AS n, {gram[n][0]} AS phrase FROM {t} WHERE {gram[n][1]}" for n in lengths)
+    return f"""WITH b AS ({table_of('benchmark', 'item_id')}), ph AS (SELECT DISTINCT phrase FROM ({grams('b')})),
+d AS ({table_of('documents', 'doc_id')}), best AS (SELECT id, i, max(n) AS n FROM ({grams('d')}) JOIN ph USING (phrase) GROUP BY id, i),
+l AS (SELECT id, list(struct_pack(s := i, e := i + n, c := CAST(1 AS BIGINT)) ORDER BY i) AS c FROM best GROUP BY id)
+SELECT id AS row_id, list_reduce(c, lambda a, x: CASE WHEN x.s >= a.e THEN struct_pack(s := x.s, e := x.e, c := a.c + 1) ELSE a END).c AS n FROM l"""
+
+
+def word_phrases(texts, shortest: int = 1, longest: int = 3):
+    """All phrases of ``shortest`` to ``longest`` words with single spaces between them, in lower case, each once."""
+    grams = [F.regexp_extract_all("text", F.lit(rf"(?U)(?<!\w)(?=(\w+(?: \w+){{{n - 1}}})(?!\w))"), F.lit(1))
+             for n in range(shortest, longest + 1)]
+    return texts.select(F.explode(F.concat(*grams)).alias("phrase")).select(F.lower("phrase").alias("phrase")).distinct()
 
 
-# Letters beyond ASCII become x, as the word break of the SQL engine knows ASCII only.
-@query("d5_phrase_table_join", rf"""WITH ph AS ({BENCH_PHRASES}),
-pat AS (SELECT '(?i)\b(?:' || string_agg(phrase, '|' ORDER BY length(phrase) DESC, phrase) || ')\b' AS p FROM ph WHERE phrase <> '')
-SELECT doc_id AS row_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(text, '[^\x01-\x7f]', 'x', 'g'), (SELECT p FROM pat))) AS v FROM documents) GROUP BY doc_id""")
+@query("d5_phrase_table_join", _phrase_join_sql([2]))
 def d5_join(spark, sf_dir):
-    phrases = table(spark, sf_dir, "benchmark").select(
-        F.lower(F.regexp_extract("text", r"(\w+ \w+)", 1)).alias("phrase")).where("phrase <> ''").distinct()
+    """All word pairs of whole benchmark texts in whole documents."""
+    phrases = word_phrases(table(spark, sf_dir, "benchmark"), 2, 2)
     return phrase_spans(documents(spark, sf_dir), phrases).groupBy("row_id").agg(F.count("*").alias("n"))
 
 
-def word_phrases(texts, longest: int = 3):
-    """All phrases of one to ``longest`` words with single spaces between them, in lower case, each once."""
-    grams = [F.regexp_extract_all("text", F.lit(rf"(?U)(?<!\w)(?=(\w+(?: \w+){{{n}}})(?!\w))"), F.lit(1)) for n in range(longest)]
-    return texts.select(F.explode(F.concat(*grams)).alias("phrase")).select(F.lower("phrase").alias("phrase")).distinct()
-
-
-@query("d5_phrase_table_join_whole")
+@query("d5_phrase_table_join_whole", _phrase_join_sql([1, 2, 3]))
 def d5_join_whole(spark, sf_dir):
-    """All phrases of one to three words of whole benchmark texts; the list is too long for an SQL alternation."""
+    """All phrases of one to three words of whole benchmark texts; of those that start at one word the longest counts."""
     phrases = word_phrases(table(spark, sf_dir, "benchmark"))
     return phrase_spans(documents(spark, sf_dir), phrases).groupBy("row_id").agg(F.count("*").alias("n"))
 

@@ -132,14 +132,24 @@ def split_words(marked: str, label: str) -> Column:
                   f"{rejoin(f'split({marked}, {quote(OPEN)})', each)} ELSE {marked} END")
 
 
-def running(lengths: str, block: int = 300) -> str:
-    """Sum of the elements before each one; in blocks, so no array grows element by element."""
+def running(lengths: str, block: int = 16, blocks: int = 64) -> str:
+    """Sum of the elements before each one.
+
+    Elements are summed in blocks, and so are the blocks: an element costs a few additions however long the row is,
+    and no array grows element by element.
+    """
     add = "0, (a, z) -> a + z"
-    cut = f"transform(sequence(0, (size(l) - 1) div {block}), b -> slice(l, b * {block} + 1, {block}))"
-    inside = f"transform(x, (y, j) -> o + aggregate(slice(x, 1, j), {add}))"
-    each = f"transform(bs, (x, b) -> transform(array(aggregate(slice(sums, 1, b), {add})), o -> {inside})[0])"
-    whole = f"transform(array(transform(bs, x -> aggregate(x, {add}))), sums -> flatten({each}))[0]"
-    return f"transform(array({lengths}), l -> transform(array({cut}), bs -> {whole})[0])[0]"
+
+    def before(row: str, size: int, of_sums, v: str) -> str:
+        cut = f"transform(sequence(0, (size({row}) - 1) div {size}), b -> slice({row}, b * {size} + 1, {size}))"
+        inside = f"transform({v}x, ({v}y, {v}j) -> {v}o[{v}q] + aggregate(slice({v}x, 1, {v}j), {add}))"
+        each = f"flatten(transform({v}b, ({v}x, {v}q) -> {inside}))"
+        sums = f"transform({v}b, x -> aggregate(x, {add}))"
+        outer = f"transform(array({sums}), {v}s -> {of_sums(v + 's')})[0]"
+        return f"transform(array({cut}), {v}b -> transform(array({outer}), {v}o -> {each})[0])[0]"
+
+    few = lambda row: f"transform({row}, (y, j) -> aggregate(slice({row}, 1, j), {add}))"
+    return f"transform(array({lengths}), l -> {before('l', block, lambda s: before(s, blocks, few, 'm'), 'k')})[0]"
 
 
 def spans_of(parts: str, inline_label: bool = False) -> str:

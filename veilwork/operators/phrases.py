@@ -2,6 +2,10 @@
 
 For lists too long for one regex.  A phrase begins and ends with a word character and is
 compared case-blind, as a whole, between word breaks.
+
+A word and a gap are 64-bit hashes, and the key of n words rolls on from the key of n - 1.  A word stays a
+candidate only if some phrase begins with it.  Keys meet in the join, then the text of the words is compared
+with the phrase, so equal keys of different texts do no harm.
 """
 
 from __future__ import annotations
@@ -11,7 +15,56 @@ from pyspark.sql import functions as F
 
 from veilwork.functions import marks as M
 
-SALTS = 16
+#: A list is broadcast up to this many rows and characters; a longer one meets the text in a shuffle.
+BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 20_000_000
+#: Candidates of one key that go to one task of that shuffle; more are dealt over copies of the phrase.
+HOT_KEY = 200_000
+FOLD = 300
+
+
+def _words(text: str) -> str:
+    """SQL: the pieces of a text, each a word, a closing mark, and what stands behind it."""
+    return f"split(regexp_replace({text}, '(?U)\\\\w+', {M.quote(f'{M.OPEN}$0{M.CLOSE}')}), '{M.OPEN}')"
+
+
+def phrase_keys(phrases: DataFrame) -> DataFrame:
+    """``(phrase, phrase_ix, words, first, key)``: each distinct phrase in lower case with its keys."""
+    if "phrase_ix" not in phrases.columns:
+        phrases = phrases.withColumn("phrase_ix", -F.length("phrase"))
+    df = phrases.groupBy(F.lower("phrase").alias("phrase")).agg(F.min("phrase_ix").alias("phrase_ix"))
+    df = df.withColumn("__p", F.expr(_words("phrase"))).where(
+        f"size(__p) > 1 AND __p[0] = '' AND endswith(__p[size(__p) - 1], '{M.CLOSE}')")
+    df = df.withColumn("__w", F.expr(M.pieces("__p")))
+    df = df.withColumn("__h", F.expr(f"transform(__w, p -> xxhash64({M.head('p')}))"))
+    rolled = (f"aggregate(sequence(1, size(__h)), __h[0], (k, j) -> CASE WHEN j = size(__h) THEN k "
+              f"ELSE xxhash64(k, {M.tail('__w[j - 1]')}, __h[j]) END)")
+    return df.select("phrase", "phrase_ix", F.size("__w").alias("words"), F.expr("__h[0]").alias("first"), F.expr(rolled).alias("key"))
+
+
+def word_rows(rows: DataFrame, longest: int, row_id: str, text: str) -> DataFrame:
+    """``(row_id, start, first, p0, p1, ...)``: one row per word, with its piece and those behind it (null at the end)."""
+    df = rows.select(row_id, F.expr(_words(f"`{text}`")).alias("__p"))
+    df = df.select(row_id, F.expr("length(__p[0])").alias("__z"), F.expr(M.pieces("__p")).alias("__w"))
+    shifted = ", ".join(f"slice(__w, {j + 1}, greatest(size(__w) - {j}, 0))" for j in range(longest))
+    places = M.running("transform(__w, p -> length(p) - 1)")
+    names = ", ".join(f"p{j}" for j in range(longest))
+    df = df.selectExpr(row_id, "__z", f"inline(arrays_zip({places}, {shifted})) AS (at, {names})")
+    return df.selectExpr(row_id, "__z + at AS start", f"xxhash64(lower({M.head('p0')})) AS first", *names.split(", "))
+
+
+def word_grams(words: DataFrame, lengths: list[int], row_id: str) -> DataFrame:
+    """``(row_id, start, end, key, gram)``: the n-grams that begin at each word."""
+    made, key, gram, end = [], "first", f"lower({M.head('p0')})", "start"
+    for n in range(1, lengths[-1] + 1):
+        last = f"p{n - 1}"
+        if n > 1:
+            word = f"lower({M.head(last)})"
+            key = f"xxhash64({key}, {M.tail(f'p{n - 2}')}, xxhash64({word}))"
+            gram += f", {M.tail(f'p{n - 2}')}, {word}"
+            end += f" + length(p{n - 2}) - 1"
+        if n in lengths:
+            made.append(f"CASE WHEN {last} IS NOT NULL THEN named_struct('end', {end} + length({M.head(last)}), 'key', {key}, 'gram', concat({gram})) END")
+    return words.selectExpr(row_id, "start", f"inline(array({', '.join(made)}))").where("key IS NOT NULL")
 
 
 def phrase_spans(rows: DataFrame, phrases: DataFrame, row_id: str = "row_id",
@@ -21,38 +74,47 @@ def phrase_spans(rows: DataFrame, phrases: DataFrame, row_id: str = "row_id",
     Where several phrases start at one place, the first of the list (``phrase_ix``) wins;
     a list without that column prefers the longest.
     """
-    if "phrase_ix" not in phrases.columns:
-        phrases = phrases.withColumn("phrase_ix", -F.length("phrase"))
-    words = F.regexp_count("phrase", F.lit(r"(?U)\w+"))
-    phrases = (phrases.groupBy(F.lower("phrase").alias("phrase")).agg(F.min("phrase_ix").alias("phrase_ix"))
-               .withColumn("words", words))
-    # The distinct phrase lengths: a handful of small numbers.
-    lengths = sorted(r.words for r in phrases.select("words").distinct().collect() if r.words)
-    if not lengths:
+    from veilwork.plans.redaction import keep_once
+    phrases = keep_once(phrase_keys(phrases))
+    size = phrases.groupBy("words").agg(F.count("*").alias("n"), F.sum(F.length("phrase")).alias("chars")).collect()
+    if not size:                                        # a row per phrase length: a handful
         return rows.select(row_id, F.lit(0).alias("start"), F.lit(0).alias("end")).where(F.lit(False))
-
-    # Each piece is a word and what stands behind it; a phrase of n words is n pieces put
-    # together without the last gap.  No candidate is cut out of the whole text.
-    rows = (rows.withColumn("__m", F.regexp_replace(F.col(text), F.lit(r"(?U)\w+"), F.lit(f"{M.OPEN}$0{M.CLOSE}")))
-            .withColumn("__p", F.expr(f"split(__m, '{M.OPEN}')"))
-            .select(row_id, F.expr(M.pieces("__p")).alias("__w"), F.expr(M.spans_of("__p")).alias("__s")))
-    grams = []
-    for n in lengths:
-        inner = [f"replace(__w[i + {j}], '{M.CLOSE}', '')" for j in range(n - 1)]
-        grams.append(f"""transform(slice(__s, 1, greatest(size(__s) - {n - 1}, 0)), (s, i) -> struct(
-            s.start AS start, __s[i + {n - 1}].end AS end,
-            lower(concat({', '.join(inner + [M.head(f'__w[i + {n - 1}]')])})) AS phrase))""")
-    found = (rows.select(row_id, F.expr(f"inline_outer(concat({', '.join(grams)}))"))
-             .where("phrase IS NOT NULL")
-             # A frequent word is a hot join key whatever the list holds: spread it.
-             .withColumn("salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS))))
-    spread = phrases.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))).withColumn(
-        "salt", F.col("salt").cast("bigint"))
-    hits = found.join(spread, ["phrase", "salt"]).select(row_id, "start", "phrase_ix", "end")
+    few = sum(r.n for r in size) <= BROADCAST_ROWS and sum(r.chars for r in size) <= BROADCAST_CHARS
+    hint = F.broadcast if few else (lambda df: df)
+    lengths = sorted(r.words for r in size)
+    found = word_rows(rows, lengths[-1], row_id, text)
+    found = word_grams(found.join(hint(phrases.select("first").distinct()), "first", "left_semi"), lengths, row_id)
+    hits = _spread_join(found, phrases, row_id) if not few else found.join(F.broadcast(phrases.select("key", "phrase", "phrase_ix")), "key")
+    hits = hits.where("gram = phrase").select(row_id, "start", "phrase_ix", "end")
     ordered = hits.groupBy(row_id).agg(
         F.array_sort(F.collect_list(F.struct("start", "phrase_ix", "end"))).alias("c"))
-    picked = F.expr("""aggregate(c, struct(0 AS pos, cast(array() AS array<struct<start:int,end:int>>) AS out),
-        (a, x) -> CASE WHEN x.start >= a.pos
-                       THEN struct(x.end AS pos, array_append(a.out, named_struct('start', x.start, 'end', x.end)) AS out)
-                       ELSE a END, a -> a.out)""")
-    return ordered.select(row_id, F.inline_outer(picked)).where("start IS NOT NULL")
+    return ordered.select(row_id, F.inline(F.expr(leftmost("c"))))
+
+
+def _spread_join(found: DataFrame, phrases: DataFrame, row_id: str) -> DataFrame:
+    """Join by key; keys with many candidates, as counted, are dealt over copies of their phrase."""
+    counts = found.join(phrases.select("key").distinct(), "key", "left_semi").groupBy("key").agg(F.count("*").alias("__n"))
+    from veilwork.plans.redaction import keep_once
+    hot = keep_once(counts.where(F.col("__n") > HOT_KEY).select("key", F.ceil(F.col("__n") / HOT_KEY).cast("int").alias("__copies")))
+    if hot.isEmpty():
+        return found.join(phrases.select("key", "phrase", "phrase_ix"), "key")
+    # a row for each HOT_KEY candidates at most; broadcast only if that is few
+    hint = F.broadcast if hot.count() <= BROADCAST_ROWS else (lambda df: df)
+    found = found.join(hint(hot), "key", "left").withColumn(
+        "__salt", F.coalesce(F.pmod(F.xxhash64(row_id, "start"), F.col("__copies")), F.lit(0)).cast("int")).drop("__copies")
+    copies = phrases.select("key", "phrase", "phrase_ix").join(hint(hot), "key", "left").withColumn(
+        "__salt", F.explode(F.expr("sequence(0, coalesce(__copies, 1) - 1)"))).drop("__copies")
+    return found.join(copies, ["key", "__salt"])
+
+
+def leftmost(spans: str) -> str:
+    """SQL: from spans in order, each that begins at or after the end of the last one taken.
+
+    The fold collects in blocks, so no array grows span by span over a long row.
+    """
+    kind = "array<struct<start:int,end:int>>"
+    step = ("(x, y) -> CASE WHEN y.start >= x.pos THEN struct(y.end AS pos, array_append(x.out, named_struct('start', y.start, 'end', y.end)) AS out) ELSE x END")
+    block = f"aggregate(b, struct(a.pos AS pos, CAST(array() AS {kind}) AS out), {step})"
+    blocks = f"transform(sequence(0, (size({spans}) - 1) div {FOLD}), i -> slice({spans}, i * {FOLD} + 1, {FOLD}))"
+    return (f"aggregate({blocks}, struct(0 AS pos, CAST(array() AS array<{kind}>) AS out), (a, b) -> "
+            f"transform(array({block}), r -> struct(r.pos AS pos, array_append(a.out, r.out) AS out))[0], a -> flatten(a.out))")
