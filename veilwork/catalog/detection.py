@@ -121,11 +121,34 @@ def d10(spark, sf_dir):
     return h.select("row_id", "label", "value", F.col("k").cast("bigint").alias("k"))
 
 
-@query("c9_gate_before_mapping", f"SELECT turn AS row_id, CASE WHEN regexp_matches(text, '<(ZIP|PIN)/>') THEN regexp_replace(text, '<(ZIP|PIN)/>', '[\\1]', 'g') ELSE text END AS text FROM ({TRANSCRIPTS})")
+GATE_MAP = {"SPEAKER": ["okay", "thanks"], "ZIP": ["<ZIP/>"], "NEVER": ["<NEVER/>"], "PIN": ["<PIN/>", "<CVV/>"], "UNKNOWN": ["<UNK>"]}
+_GATE_MARKS = "text"
+for _label, _found in GATE_MAP.items():
+    _GATE_MARKS = f"regexp_replace({_GATE_MARKS}, '({'|'.join(_found)})', chr(1) || '{_label}' || chr(3) || '\\1' || chr(2), 'g')"
+
+
+@query("c9_gate_before_mapping", f"""WITH src AS ({TURN_SRC}), m AS (SELECT row_id, {_GATE_MARKS} AS m FROM src),
+pcs AS (SELECT row_id, unnest(string_split(m, chr(1))) AS p, generate_subscripts(string_split(m, chr(1)), 1) AS i FROM m),
+h AS (SELECT row_id, i, split_part(p, chr(3), 1) AS label, split_part(split_part(p, chr(2), 1), chr(3), 2) AS value FROM pcs WHERE i > 1)
+SELECT row_id, label, value, row_number() OVER (PARTITION BY row_id ORDER BY list_position({list(GATE_MAP)}, label), i DESC) - 1 AS k FROM h""")
 def c9(spark, sf_dir):
-    text = F.col("text")
-    return transcripts(spark, sf_dir).select("row_id", F.when(
-        F.rlike(text, F.lit("<(ZIP|PIN)/>")), F.regexp_replace(text, "<(ZIP|PIN)/>", "[$1]")).otherwise(text).alias("text"))
+    """The whole token map in one pass; the branch that matched names the label."""
+    steps = [d for d in RuleSet({"token-map": GATE_MAP}).detectors("text", 0) if d.rule == "_TOKEN_MAP_"]
+    h = N.explode_hits(detect(transcripts(spark, sf_dir), steps))
+    return h.select("row_id", "label", "value", F.col("k").cast("bigint").alias("k"))
+
+
+@query("c9_gate_of_patterns", f"""WITH src AS ({TURN_SRC}),
+m AS (SELECT row_id, regexp_replace(regexp_replace(text, '(<[A-Z]+/>)', chr(1) || 'TAG' || chr(3) || '\\1' || chr(2), 'g'),
+  '(today|the [a-z]+)', chr(1) || 'WORD' || chr(3) || '\\1' || chr(2), 'g') AS m FROM src),
+pcs AS (SELECT row_id, unnest(string_split(m, chr(1))) AS p, generate_subscripts(string_split(m, chr(1)), 1) AS i FROM m),
+h AS (SELECT row_id, i, split_part(p, chr(3), 1) AS label, split_part(split_part(p, chr(2), 1), chr(3), 2) AS value FROM pcs WHERE i > 1)
+SELECT row_id, label, value, row_number() OVER (PARTITION BY row_id ORDER BY label, i DESC) - 1 AS k FROM h""")
+def c9_patterns(spark, sf_dir):
+    """Tokens that are patterns could overlap: one look at the row opens the passes of all labels."""
+    steps = [d for d in RuleSet({"token-map": {"TAG": ["<[A-Z]+/>"], "WORD": ["today", "the [a-z]+"]}}).detectors("text", 0) if d.rule == "_TOKEN_MAP_"]
+    h = N.explode_hits(detect(transcripts(spark, sf_dir), steps))
+    return h.select("row_id", "label", "value", F.col("k").cast("bigint").alias("k"))
 
 
 @query("d21_ignore_and_restore", f"SELECT turn AS row_id, {CLEAN.format(t='text')} AS text FROM ({TRANSCRIPTS})")

@@ -211,6 +211,39 @@ def append_hits(occ: str, parts: str, rule_ix: int, label: str | None) -> Column
                   f"concat({occ}, reverse(transform({pieces(parts)}, {entry}))) ELSE {occ} END")
 
 
+def mark_branches(text: Column, pattern: str, labels: list[str], marked: str) -> tuple[Column, Column]:
+    """Hits of ``(...)|(...)|...`` as ``OPEN label MID value CLOSE``; the branch that matched names the label.
+
+    Two columns, the second over the first under the name ``marked``: one regex pass, then work on rows with hits only.
+    """
+    groups = MID.join(f"${i + 1}" for i in range(len(labels)))
+    first = F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}{groups}{CLOSE}"))
+    fields = f"split({head('p')}, '{MID}')"
+    name = f"array({', '.join(map(quote, labels))})[array_position(transform(f, x -> x != ''), true) - 1]"
+    each = (f"p -> transform(array({fields}), f -> concat('{OPEN}', {name}, '{MID}', array_join(f, ''), '{CLOSE}', {tail('p')}))[0]")
+    return first, F.expr(f"CASE WHEN contains({marked}, '{OPEN}') THEN {rejoin(f'split({marked}, {quote(OPEN)})', each)} ELSE {marked} END")
+
+
+def _label_by_label(parts: str, labels: list[str]) -> str:
+    """The hits as ``(o, j)``, by label in the given order and from right to left inside a label; -j is the place in the row."""
+    order = f"array({', '.join(map(quote, labels))})"
+    return f"array_sort(transform({pieces(parts)}, (p, i) -> struct(array_position({order}, {hit_label('p', None)}) AS o, -i AS j)))"
+
+
+def splice_by_label(text: str, parts: str, base: str, labels: list[str]) -> str:
+    """D15 for hits of several labels found in one pass, numbered as if each label had its own pass."""
+    numbers = f"transform(array_sort(transform({_label_by_label(parts, labels)}, (x, r) -> struct(-x.j AS i, r AS r))), y -> y.r)"
+    place = f"(p, i) -> concat('[', {hit_label('p', None)}, '-{PH_L}', cast({base} + n[i] AS string), '{PH_R}]', {tail('p')})"
+    return f"CASE WHEN size({parts}) > 1 THEN transform(array({numbers}), n -> {rejoin(parts, place)})[0] ELSE {text} END"
+
+
+def append_by_label(occ: str, parts: str, rule_ix: int, labels: list[str]) -> Column:
+    """The row's hit list, longer by the hits of a rule label by label."""
+    entry = (f"transform(array({parts}[1 - x.j]), p -> named_struct('rule_ix', {rule_ix}, 'label', {hit_label('p', None)}, "
+             f"'value', {hit_value('p', True)}))[0]")
+    return F.expr(f"CASE WHEN size({parts}) > 1 THEN concat({occ}, transform({_label_by_label(parts, labels)}, x -> {entry})) ELSE {occ} END")
+
+
 def fill(text: str, replacement: str) -> Column:
     """Replace every placeholder; ``replacement`` is SQL over ``label`` and ``k``."""
     marked = f"regexp_replace({text}, {quote(PLACEHOLDER)}, {quote(f'{OPEN}$1{MID}$2{CLOSE}')})"

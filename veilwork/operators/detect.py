@@ -30,10 +30,12 @@ def detect(df: DataFrame, detectors: list[Detector], text: str = "text", row_id:
     for d in detectors:
         if d.kind != "spans" or span_source is not None:
             df = run_detector(df, d, text, row_id, span_source)
-    return df.drop("__marked", "__parts")
+    return df.drop("__marked", "__parts", "__gate")
 
 
 def run_detector(df: DataFrame, d: Detector, text: str, row_id: str, span_source=None) -> DataFrame:
+    if d.kind == "tokens":
+        return run_tokens(df, d, text)
     label = d.label if d.kind == "pattern" else None       # None: each hit names its own
     if d.kind == "pattern":
         df = _mark_pattern(df, d, text)
@@ -46,12 +48,26 @@ def run_detector(df: DataFrame, d: Detector, text: str, row_id: str, span_source
     return df.withColumns({text: new_text, OCC: M.append_hits(OCC, "__parts", d.rule_ix, label)})
 
 
+def run_tokens(df: DataFrame, d: Detector, text: str) -> DataFrame:
+    """A whole token map in one regex pass; numbers run label by label, as its labels are listed."""
+    labels = d.params["labels"]
+    first, named = M.mark_branches(F.col(text), d.pattern, labels, "__marked")
+    df = df.withColumn("__marked", first).withColumn("__marked", named)
+    df = df.withColumn("__parts", M.settled_parts(text, "__marked", True))
+    new_text = F.expr(M.splice_by_label(text, "__parts", f"size({OCC})", labels))
+    return df.withColumns({text: new_text, OCC: M.append_by_label(OCC, "__parts", d.rule_ix, labels)})
+
+
 def _mark_pattern(df: DataFrame, d: Detector, text: str) -> DataFrame:
     t = F.col(text)
     marked = (M.mark_group_raw(t, d.pattern, d.group, d.lead_groups) if d.group
               else M.mark_whole(t, d.pattern))
     if d.needs:
         marked = F.when(F.contains(t, F.lit(d.needs)), marked).otherwise(t)
+    if "gate" in d.params:                  # C9: one look at the row decides for all labels of the map
+        if d.params["opens"]:
+            df = df.withColumn("__gate", F.rlike(t, F.lit(d.params["gate"])))
+        marked = F.when(F.col("__gate"), marked).otherwise(t)
     df = df.withColumn("__marked", marked)
     return df.withColumn("__marked", M.mark_group("__marked")) if d.group else df
 

@@ -10,7 +10,7 @@ import copy
 import json
 import re
 import warnings
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from pathlib import Path
 
 from veilwork.rules import dialect
@@ -25,7 +25,7 @@ class RuleError(ValueError):
 
 @dataclass(frozen=True)
 class Detector:
-    """One compiled detection step.  ``kind``: pattern, spans, phrase_table or custom."""
+    """One compiled detection step.  ``kind``: pattern, tokens, spans, phrase_table or custom."""
     rule_ix: int
     rule: str
     label: str | None
@@ -183,8 +183,7 @@ class RuleSet:
     def _compile(self, rule_ix, rule, kind, params, spark) -> list[Detector]:
         if kind == "tokenmap":
             flags = dialect.flag_letters(params.get("flags", []))
-            return [compile_pattern(rule_ix, rule, dialect.alternation(found), flags, label=label)
-                    for label, found in params.get("token-map", {}).items()]
+            return compile_tokens(rule_ix, rule, params.get("token-map", {}), flags)
         flags = dialect.flag_letters(params.get("flags", ["IGNORECASE"]))
         if kind == "regex":
             found, group = self.patterns_in(params), params.get("group", 1)
@@ -218,3 +217,32 @@ def compile_pattern(rule_ix, rule, pattern, flags="i", group=1, label=None, need
             raise dialect.PatternError(f"no group named {group}")
         java, number, lead = dialect.capture_lead(java, number)
     return Detector(rule_ix, rule, label or rule, "pattern", prefix + java, number, lead, needs)
+
+
+def compile_tokens(rule_ix, rule, token_map: dict, flags: str) -> list[Detector]:
+    """One step for the whole map where its tokens can't overlap, else a step per label behind one gate."""
+    maps = {label: [found] if isinstance(found, str) else list(found) for label, found in token_map.items()}
+    maps = {label: found for label, found in maps.items() if found}
+    if not maps:
+        return []
+    if apart(maps, "i" in flags):
+        branches = "|".join("(" + "|".join(found) + ")" for found in maps.values())
+        java, _, prefix = dialect.to_java(branches, flags)
+        return [Detector(rule_ix, rule, None, "tokens", prefix + java, params={"labels": list(maps)})]
+    steps = []
+    for label, found in maps.items():
+        try:
+            steps.append(compile_pattern(rule_ix, rule, dialect.alternation(found), flags, label=label))
+        except (dialect.PatternError, re.error) as exc:
+            warnings.warn(f"tokens of {label} in {rule} dropped: {exc}")
+    gate = "|".join(f"(?:{s.pattern})" for s in steps)
+    return [replace(s, params={"gate": gate, "opens": i == 0}) for i, s in enumerate(steps)]
+
+
+def apart(maps: dict[str, list[str]], fold: bool) -> bool:
+    """Whether all tokens are plain text and none can share a character of the text with one of another label."""
+    tokens = [(label, t.lower() if fold else t) for label, found in maps.items() for t in found]
+    if not all(t and re.fullmatch(r"[^\\.^$*+?{}\[\]|()#\s]+", t) for _, t in tokens):
+        return False
+    meet = lambda u, v: u in v or any(u.endswith(v[:k]) for k in range(1, len(v)))
+    return not any(a != b and (meet(u, v) or meet(v, u)) for a, u in tokens for b, v in tokens)
