@@ -31,6 +31,8 @@ from veilwork.llm.components import components
 from veilwork.llm.hashing import mix, shingles, slices, text_buffer, word_hashes
 
 COORDINATES, MATCHES, CHUNK, STRIPE = 32, 12, 256, 8_192
+#: Bytes of text that are hashed at a time; the hashing needs some 40 bytes for each.
+SLICE = 1 << 20
 _rng = np.random.default_rng(6)
 _A = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -38,7 +40,7 @@ _A = _rng.integers(0, 2**63, COORDINATES, dtype=np.uint64) * np.uint64(2) + np.u
 def batch_sets(column: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """(first row, rows, text numbers, shingles), slice by slice."""
     data, offsets = text_buffer(column)
-    for i, j in slices(offsets):
+    for i, j in slices(offsets, SLICE):
         t, h = shingles(*word_hashes(data, offsets[i:j + 1]), j - i)
         yield i, j - i, t, h
 
