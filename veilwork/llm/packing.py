@@ -53,8 +53,8 @@ class Encoder:
 
     A single space before a visible character always starts a new pre-token, so a text falls into words (each with its
     leading space) that are encoded independently and remembered.  Unknown words are merged by tiktoken with the file's
-    own vocabulary, which gives the same ids several times faster; texts with other runs of spaces go to the tokenizers
-    library whole.
+    own vocabulary, which gives the same ids several times faster; texts with other runs of spaces, or with the string of an
+    added token (which stands for its own id), go to the tokenizers library whole.
     """
 
     def __init__(self, path: str):
@@ -63,7 +63,8 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        with open(path, encoding="utf-8") as f:
+            self.added = [t["content"] for t in json.load(f).get("added_tokens", [])]
         self.merge = tiktoken.Encoding("file", pat_str=PRE_TOKENS, mergeable_ranks=byte_ranks(path),
                                        special_tokens={}).encode_ordinary
         self.new: dict[str, bytes] = {}
@@ -101,10 +102,9 @@ class Encoder:
             for x in cut:
                 yield b"".join(self.whole(s) if ws is None else b"".join(map(known, ws)) for s, ws in x)
 
-    @staticmethod
-    def apart(text: str) -> list[str] | None:
-        """The text as words with their leading spaces; None if a space stands beside other white space."""
-        if _beside.search(text):
+    def apart(self, text: str) -> list[str] | None:
+        """The text as words with their leading spaces; None if a space stands beside other white space, or for added tokens."""
+        if _beside.search(text) or any(t in text for t in self.added):
             return None
         out = [" " + w for w in text.split(" ")]
         if text[:1] == " ":
