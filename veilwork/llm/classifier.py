@@ -96,8 +96,10 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
             ends = pa.array(np.arange(0, x.size + 1, N_FEATURES, dtype=np.int32))
             yield pa.RecordBatch.from_arrays([pa.ListArray.from_arrays(ends, pa.array(x.reshape(-1))), batch.column(1)], ["x", "label"])
 
-    # at most max_labels distinct ids are broadcast, and as many vectors come back
-    sample = rows.join(F.broadcast(chosen), "doc_id").select("text", "label").mapInArrow(describe, "x array<double>, label int")
+    # at most max_labels distinct ids are broadcast, and one vector for each comes back: of repeated ids the text of the least hash
+    sample = (rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
+        F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label")).select("text", "label"))
+    sample = sample.mapInArrow(describe, "x array<double>, label int")
     got = sample.toArrow()
     x = np.array(got.column("x").combine_chunks().flatten()).reshape(-1, N_FEATURES)
     good = got.column("label").to_numpy() > 0
@@ -114,8 +116,8 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             s = np.clip((matrix(batch.column(2)) - mean) / scale, -8, 8) @ weights - threshold
-            p = np.where(s >= 0, np.maximum(cut, 1 / (1 + np.exp(-np.clip(s + shift, -700, 700)))),
-                         np.minimum(np.nextafter(cut, 0), 1 / (1 + np.exp(-np.clip(s + shift, -700, 700)))))
+            p = np.where(s == 0, cut, np.where(s > 0, np.maximum(cut, 1 / (1 + np.exp(-np.clip(s + shift, -700, 700)))),
+                         np.minimum(np.nextafter(cut, 0), 1 / (1 + np.exp(-np.clip(s + shift, -700, 700))))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= cut).astype(np.int32))],
                                              ["doc_id", "held_out", "score", "predicted"])
 
