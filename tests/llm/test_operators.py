@@ -19,7 +19,7 @@ from veilwork.llm.mixing import mix, targets
 from veilwork.llm.packing import Encoder, pack, plan
 from veilwork.llm.quality_rules import quality_rules
 from veilwork.llm.topk import top_k
-from veilwork.llm.url_filter import DigestArray, filter_urls
+from veilwork.llm.url_filter import DigestArray, filter_urls, probes_of
 
 SF = "/root/testdata/sf0.001"
 
@@ -37,10 +37,14 @@ def test_query_equals_sql(spark, con, name):
 # ---- packing
 def test_ids_are_the_tokenizers(spark):
     import public_tokenizers
-    encoder, rnd = Encoder(public_tokenizers.path("byte_bpe_50k.json")), random.Random(1)
+    from tokenizers import Tokenizer
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    encoder, untouched, rnd = Encoder(path), Tokenizer.from_file(path), random.Random(1)
     alphabet = ["a", " ", "\n", "'s", "é", "1", "!", "\t", " ", "<|endoftext|>", "B", "\x1c", "word", "　"]
     texts = ["", " ", "a ", "it's  \n x", "é" * 50] + ["".join(rnd.choice(alphabet) for _ in range(40)) for _ in range(500)]
-    want = [e.ids for e in encoder.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts += ["a <|endoftext|> b", "<|endoftext|>", "x <|endoftext|>", "<|endoftext|> y  z", "w " * 600_000 + "<|endoftext|> w " + "w " * 600_000]
+    want = [untouched.encode(t, add_special_tokens=False).ids for t in texts]
+    assert want[-5] == [64, 220, 50256, 275]
     assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(texts)] == want
 
 
@@ -221,7 +225,27 @@ def test_url_edges_and_the_sharded_way(spark):
     assert {r[0]: (r[3], r[4]) for r in ways[2]}[8] == ("example.org/es/", "block") and {r[0]: r[4] for r in ways[2]}[4] == "allow"
 
 
+def test_paths_keep_their_case_and_probes_stay_short(spark):
+    rows = [(1, "http://X.org/Ads/a"), (2, "http://x.org/ads/a"), (3, "http://x.org/" + "/" * 4000), (4, "http://y.x.org/Ads/"), (5, "http://É.org/")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    listed = spark.createDataFrame([("X.Org/Ads/",), ("É.ORG",)], "entry string")
+    for size in (1 << 20, 10):
+        verdict = {r.page_id: r.verdict for r in filter_urls(pages, listed, [], shard_bytes=size).collect()}
+        assert verdict == {1: "block", 2: "allow", 3: "allow", 4: "block", 5: "block"}
+    assert max(map(len, probes_of("a.b.c.d", "/" * 4000, 12))) == 12 and len(probes_of("a.b.c.d", "/" * 4000, 12)) < 40
+    assert set(probes_of("a.b", "/x/y", 99)) == {"a.b", "b", "a.b/", "b/", "a.b/x/", "b/x/", "a.b/x/y", "b/x/y"}
+
+
 # ---- classifier
+def test_repeated_ids_are_learned_from_once(spark):
+    rnd = random.Random(7)
+    text = lambda good: " ".join(rnd.choice(["word", "other", "thing"]) + ("" if good else "$#") for _ in range(60))
+    rows = [(i, text(i % 2)) for i in range(300)] + [(1, "$$$ ### $$$")] * 400
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string").repartition(4), spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, quality int")
+    rows = classify(docs, labels).where("doc_id > 1").collect()
+    assert np.mean([r.predicted == r.doc_id % 2 for r in rows]) > .95
+
+
 def test_held_out_accuracy_and_edges(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
     rows = classify(docs, labels).where("held_out").join(labels, "doc_id").collect()

@@ -143,11 +143,11 @@ tw AS (SELECT rid, i, count(*) OVER (PARTITION BY rid, t) AS c FROM
   (SELECT rid, unnest(tri) AS t, generate_subscripts(tri, 1) AS i FROM b)),
 cov AS (SELECT rid, sum(least(3, coalesce(nx - i, 3))) AS n FROM
   (SELECT rid, i, lead(i) OVER (PARTITION BY rid ORDER BY i) AS nx FROM tw WHERE c > 1) GROUP BY rid),
-ln AS (SELECT rid, source, coalesce(list_max(tri), text) AS fam, unnest(ls) AS l FROM b),
+ln AS (SELECT rid, source, text AS fam, unnest(ls) AS l FROM b),
 nl AS (SELECT rid, source, fam, trim(regexp_replace(lower(l), '[^\p{L}\p{N}]+', ' ', 'g')) AS s,
   len(list_filter(string_split_regex(l, '[\x20\x09-\x0D]+'), lambda x: x <> '')) AS wc FROM ln),
 fr AS (SELECT source, s FROM nl WHERE s <> '' GROUP BY source, s
-  HAVING count(DISTINCT fam) > 20 AND count(DISTINCT fam) >= 0.2 * count(DISTINCT rid)),
+  HAVING count(DISTINCT fam) > 20),
 rm AS (SELECT rid, sum(wc) AS r FROM nl JOIN fr ON nl.source IS NOT DISTINCT FROM fr.source AND nl.s = fr.s GROUP BY rid),
 o AS (SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
   CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,

@@ -3,7 +3,8 @@
 Blocked strings are hosts ("example.org") or hosts with a path prefix ("example.org/es/").  Their 64-bit xxhash keys lie
 sorted in a file with the full strings behind them; a task maps the file into memory, probes all keys of a batch by binary
 search at once, and confirms each hit on the stored string, so a collision of keys can't block anything.  A URL is probed
-under its host and every parent domain, alone and with each prefix of its path that ends in a slash, and the whole path.
+under its host and every parent domain, alone and with each prefix of its path that ends in a slash, and the whole path, as far
+as these are no longer than the longest entry.  Hosts are compared without case, paths with it.
 
 Files of up to SHARD_BYTES strings go to every task as one broadcast; a longer list is dealt out by key into shards, and the
 distinct probes travel to the shard of their key.
@@ -38,15 +39,22 @@ def path_of(url: Column) -> Column:
     return F.regexp_extract(F.coalesce(url, F.lit("")), "(?s)^.*?://[^/?#]*([^?#]*)", 1)
 
 
-def probes_of(host: str, path: str) -> list[str]:
-    """What a URL is looked up under."""
+def probes_of(host: str, path: str, longest: int) -> list[str]:
+    """What a URL is looked up under; nothing longer than the longest entry of the list."""
     if not host:
         return []
-    labels = host.split(".")
-    hosts = [".".join(labels[k:]) for k in range(len(labels))]
-    cuts = [k + 1 for k, c in enumerate(path) if c == "/"]
-    paths = ["", *(path[:k] for k in cuts)] + ([path] if path and not path.endswith("/") else [])
-    return [h + p for h in hosts for p in paths]
+    start = max(0, len(host) - longest)  # shorter ends of the host can be entries
+    hosts = [host[k:] for k in range(start, len(host)) if k == 0 or host[k - 1] == "."]
+    cuts = [k + 1 for k, c in enumerate(path[:longest]) if c == "/"]
+    if path and not path.endswith("/"):
+        cuts.append(len(path))
+    return [p for h in hosts for p in (h, *(h + path[:k] for k in cuts if len(h) + k <= longest)) if len(p) <= longest]
+
+
+def entry_of(entry: Column) -> Column:
+    """An entry of the list as URLs are looked up: the host in lower case, the path as it is."""
+    host = F.regexp_extract(entry, "^[^/]*", 0)
+    return F.concat(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.regexp_extract(entry, "(?s)^[^/]*(.*)$", 1))
 
 
 class DigestArray:
@@ -83,11 +91,13 @@ class DigestArray:
 
 def judge_all(strings: Sequence[bytes]):
     """Batches with host and path last: a column `blocked` is added."""
+    longest = max((len(s.decode()) for s in strings), default=0)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         array = DigestArray(strings)
         for batch in batches:
             pairs = list(zip(batch.column("host").to_pylist(), batch.column("path").to_pylist()))
-            probes = [[p.encode() for p in probes_of(h, t)] for h, t in pairs]
+            probes = [[p.encode() for p in probes_of(h, t, longest)] for h, t in pairs]
             distinct = list({p for ps in probes for p in ps})
             found = {p for p, ok in zip(distinct, array.find(distinct)) if ok}
             yield pa.RecordBatch.from_arrays(
@@ -107,8 +117,8 @@ def blocked_urls(pages: DataFrame, blocklist: DataFrame, shard_bytes: int = SHAR
     """`pages` (any columns, with host and path) with the column `blocked`; `blocklist` has a column `entry`."""
     spark = pages.sparkSession
     store = Store(spark)
-    listed = store.keep(blocklist.select(F.lower("entry").alias("s")).where("s <> ''").distinct(), "list")
-    size = listed.agg(F.coalesce(F.sum(F.octet_length("s") + 24), F.lit(0))).first()[0]
+    listed = store.keep(blocklist.select(entry_of(F.col("entry")).alias("s")).where("s <> ''").distinct(), "list")
+    size, longest = listed.agg(F.coalesce(F.sum(F.octet_length("s") + 24), F.lit(0)), F.coalesce(F.max(F.length("s")), F.lit(0))).first()
     kinds = [f"`{f.name}` {f.dataType.simpleString()}" for f in pages.schema]
     if size <= shard_bytes:
         strings = [r[0].encode() for r in listed.collect()]
@@ -119,7 +129,7 @@ def blocked_urls(pages: DataFrame, blocklist: DataFrame, shard_bytes: int = SHAR
         for batch in batches:
             rows, probes = [], []
             for i, (h, t) in enumerate(zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())):
-                ps = probes_of(h, t)
+                ps = probes_of(h, t, longest)
                 rows += [i] * len(ps)
                 probes += ps
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(rows, pa.int64())), pa.array(probes, pa.string())],
