@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilwork.catalog.base import TRANSCRIPTS, query, shared_folder, table, transcripts
-from veilwork.catalog.numbering import E6
-from veilwork.catalog.rules import only
+from veilwork.catalog.base import INDEX_CTES, TRANSCRIPTS, TURN_SRC, hits_ctes, query, redact_sql, shared_folder, table, transcripts
+from veilwork.catalog.detection import RUN, TOKENS
+from veilwork.catalog.rules import EMAIL_RE, only, whole
+from veilwork.catalog.text import CLEAN
 from veilwork.operators import numbering as N
 from veilwork.operators.detect import detect
 from veilwork.plans.redaction import keep_once
+from veilwork.rules.ruleset import RuleSet
 from veilwork.sources import tables as S
 from veilwork.sources.phrases import read_phrase_csv, read_phrase_document
 
@@ -142,25 +144,44 @@ def l2(spark, sf_dir):
 
 # ---- streams -------------------------------------------------------------------------
 def _stream(spark, sf_dir, files: int = 4):
-    """The transcripts as a stream of files in turn order."""
+    """The transcripts as a stream of files in turn order, written one after the other."""
     root = shared_folder(spark)
     df = transcripts(spark, sf_dir).select("row_id", F.col("conversation_id").cast("string").alias("conversation_id"), "text")
-    df.repartitionByRange(files, "row_id").write.parquet(f"{root}/in")
+    df = keep_once(df)
+    last = df.agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0]
+    for i in range(files):
+        part = F.floor(F.col("row_id") * files / (last + 1)) == i
+        df.where(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
     return root, spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
 
 
-@query("m2_stateless_stream", f"""SELECT turn AS row_id, {__import__('veilwork.catalog.text', fromlist=['CLEAN']).CLEAN.format(t='text')} AS text FROM ({TRANSCRIPTS})""")
+M2_SEED = 7
+_M2_KEY = f"concat_ws('|', '{M2_SEED}', CAST(conv AS VARCHAR), label, CAST(CAST('0x' || substr(md5(value), 1, 8) AS BIGINT) AS VARCHAR))"
+_M2_DRAW = f"CAST(CAST('0x' || substr(md5({_M2_KEY} || '|0'), 1, 8) AS BIGINT) % 1000000 AS VARCHAR)"
+
+
+@query("m2_stateless_stream", f"""WITH {RUN},
+shown AS (SELECT row_id, string_agg(CASE WHEN label = '_IGNORE_' THEN value ELSE label || ' ' || {_M2_DRAW} END || tail, '' ORDER BY i) AS body
+          FROM h GROUP BY row_id)
+SELECT p.row_id, {CLEAN.format(t="(p.p || coalesce(s.body, ''))")} AS text FROM pcs p LEFT JOIN shown s ON s.row_id = p.row_id WHERE p.i = 1""")
 def m2(spark, sf_dir):
-    """The clean chain on a stream gives the rows of the batch."""
-    from veilwork.functions.text import clean_text
+    """Every rule of level 2, labels, restored phrases, surrogates and cleaning in one streaming plan."""
+    from veilwork.operators.registry import register_surrogate
+    from veilwork.streaming.redact import redact_stateless
+    register_surrogate("numbered", lambda draws, params: f"concat('{params['prefix']} ', {draws.between(0, 1_000_000)})")
+    labels = ["ZIP", "PIN", "CCARD", "PHONE", "SSN", "EMAIL"]
+    surrogates = RuleSet({"level": {"own": labels}, "redaction-order": labels, "anon-map": {}, "entities": {
+        e: {"anonymizer": {"model-class": "numbered", "prefix": e}} for e in labels}}, defaults=False)
     root, stream = _stream(spark, sf_dir)
-    out = clean_text(stream, "text").select("row_id", "text")
+    steps = RuleSet({"token-map": TOKENS}).detectors("text", 2)
+    out = redact_stateless(stream, steps, surrogates=surrogates, level="own", seed=M2_SEED).select("row_id", "text")
     (out.writeStream.option("checkpointLocation", f"{root}/cp").option("path", f"{root}/out").format("parquet")
      .trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
-@query("m3_incremental_index")
+@query("m3_incremental_index", f"""SELECT r.row_id, CAST(s.conv AS VARCHAR) AS conversation_id, {CLEAN.format(t='r.text')} AS text
+FROM ({redact_sql(TURN_SRC, whole(EMAIL_RE), 'EMAIL')}) r JOIN ({TURN_SRC}) s ON s.row_id = r.row_id""")
 def m3(spark, sf_dir):
     """Micro-batches of files with the saved dictionary; indexes stay the same over batches."""
     from veilwork.streaming.redact import start_incremental
@@ -169,12 +190,34 @@ def m3(spark, sf_dir):
     return spark.read.parquet(f"{root}/out").select("row_id", "conversation_id", "text")
 
 
-@query("m4_audit_stream", f"""WITH {E6} SELECT CAST(conv AS VARCHAR) AS conversation_id, label, value, count(*) AS n
-FROM ranked WHERE label = 'EMAIL' GROUP BY ALL""")
+MAIL_INDEX = f"{hits_ctes(TURN_SRC, whole(EMAIL_RE), 'EMAIL')},{INDEX_CTES}"
+
+
+@query("m3_stateful_index", f"""WITH {MAIL_INDEX}
+SELECT CAST(h.conv AS VARCHAR) AS conversation_id, h.row_id, h.k, h.value, r.ix FROM hits h JOIN ranked r USING (conv, label, value)""")
+def m3_stateful(spark, sf_dir):
+    """The index of each hit from keyed state, over four micro-batches."""
+    from veilwork.streaming.redact import stateful_index
+    root, stream = _stream(spark, sf_dir)
+    store = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(store)
+    spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        out = stateful_index(N.explode_hits(detect(stream, only("EMAIL"))).drop("rule_ix"))
+        (out.writeStream.option("checkpointLocation", f"{root}/cp").option("path", f"{root}/out").format("parquet")
+         .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+    finally:
+        spark.conf.set(store, before)
+    return spark.read.schema(out.schema).parquet(f"{root}/out").select(
+        "conversation_id", "row_id", F.col("k").cast("bigint").alias("k"), "value", "ix")
+
+
+@query("m4_audit_stream", f"""WITH {MAIL_INDEX} SELECT CAST(conv AS VARCHAR) AS conversation_id, label, value, min(ix) AS ix, count(*) AS n
+FROM ranked GROUP BY ALL""")
 def m4(spark, sf_dir):
-    """The dictionary written batch by batch holds every value exactly once."""
+    """The log written batch by batch holds every value exactly once, with its index."""
     from veilwork.streaming.redact import DICTIONARY, start_incremental
     root, stream = _stream(spark, sf_dir)
     start_incremental(stream, only("EMAIL"), f"{root}/state", f"{root}/out", f"{root}/cp", once=True).awaitTermination()
-    return (spark.read.schema(DICTIONARY).parquet(f"{root}/state/dictionary")
-            .groupBy("conversation_id", "label", "value").agg(F.count("*").alias("n")))
+    return (spark.read.schema(DICTIONARY).parquet(f"{root}/state/log")
+            .groupBy("conversation_id", "label", "value").agg(F.min("ix").alias("ix"), F.count("*").alias("n")))
