@@ -214,3 +214,22 @@ def f13(spark, sf_dir):
            .select(F.col("o_custkey").alias("conversation_id"), F.concat(F.lit("_IGNORE_-"), ix).alias("label"),
                    F.concat(F.lit("word"), F.col("o_custkey").cast("string"), F.lit("/"), ix).alias("value")).distinct())
     return restore(df, log).select("row_id", "text")
+
+
+# ---- long lists ----------------------------------------------------------------------
+_LONG = """SELECT l_orderkey || '-' || l_linenumber || '-' || k AS phrase FROM lineitem, (VALUES (1), (2), (3), (4)) v(k)"""
+_DRAW = "CAST('0x' || substr(md5(concat_ws('|', '7', CAST(o_custkey AS VARCHAR), 'TOWN', CAST(o_orderkey % 5 AS VARCHAR)) || '|0'), 1, 8) AS BIGINT)"
+
+
+@query("f6_long_phrase_list", f"""WITH p AS (SELECT phrase, row_number() OVER (ORDER BY phrase) - 1 AS ix, count(*) OVER () AS n FROM ({_LONG})),
+o AS (SELECT o_orderkey AS row_id, {_DRAW} % (SELECT max(n) FROM p) AS ix FROM orders)
+SELECT row_id, 'x ' || phrase || ' y' AS text FROM o JOIN p USING (ix)""")
+def f6_long(spark, sf_dir):
+    """Surrogates from a file of four lines per line item (240 000 at sf0.01), which stays a table."""
+    from veilwork.catalog.base import shared_folder
+    path = shared_folder(spark) + "/towns"
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.explode(F.array(*map(F.lit, (1, 2, 3, 4)))).alias("k"))
+    lines.select(F.concat_ws("-", "l_orderkey", "l_linenumber", "k").alias("town")).write.csv(path)
+    rules = RuleSet({"level": {"own": ["TOWN"]}, "redaction-order": ["TOWN"], "entities": {"TOWN": {"anonymizer": {
+        "model-class": "phraselist", "text": {"phrase-filename": path, "phrase-header": False}}}}})
+    return anonymize(labelled(spark, sf_dir, "TOWN"), rules, "text", "own", 7).select("row_id", "text")

@@ -11,7 +11,7 @@ import string
 from re import _constants as rc
 from re import _parser as parser
 
-from veilwork.functions.marks import quote
+from veilwork.functions.marks import CLOSE, MID, OPEN, quote
 from veilwork.functions.text import DIGIT_WORDS, TEENS, TENS
 
 
@@ -134,6 +134,19 @@ def _characters(op, arg) -> str:
     return "".join(c for c in string.printable[:95] if c not in chars) if negate else chars
 
 
+class LongList:
+    """A phrase list that stays a table: a draw leaves ``(list, number)`` in marks, filled in by a join (``anonymize``)."""
+
+    def __init__(self, number: int, size: int):
+        self.number, self.size = number, size
+
+
+def _phrase(words, draws: Draws) -> str:
+    if isinstance(words, LongList):
+        return f"concat({quote(OPEN + str(words.number) + MID)}, cast({draws.below(words.size)} AS string), '{CLOSE}')"
+    return draws.pick(words)
+
+
 def surrogate(kind: str, params, modality: str, draws: Draws) -> str:
     """SQL text of the surrogate of one anonymiser block."""
     from veilwork.operators.registry import SURROGATES
@@ -153,13 +166,13 @@ def surrogate(kind: str, params, modality: str, draws: Draws) -> str:
     lists = params[modality]
     lists = [b["phrase-list"] for b in (lists if isinstance(lists, list) else [lists])]
     if kind == "phraselist":
-        return _sequence_texts([draws.pick(words) for words in lists])
+        return _sequence_texts([_phrase(words, draws) for words in lists])
     if kind == "address":
         number = draws.below(400)
         shown = (f"cast(100 + {number} AS string)" if text else
                  f"element_at(array({', '.join(quote(spell(n)) for n in range(100, 500))}), cast(1 + {number} AS int))")
-        return f"concat({shown}, ' ', {draws.pick(lists[0])}, ' ')"
+        return f"concat({shown}, ' ', {_phrase(lists[0], draws)}, ' ')"
     if kind == "zipc":
         words = lists[0] if text else ["".join(" " + DIGIT_WORDS[int(d)] for d in str(z)) for z in lists[0]]
-        return draws.pick(words)
+        return _phrase(words, draws)
     raise ValueError(f"unknown surrogate kind {kind!r}")

@@ -1,7 +1,8 @@
 """Anonymisation: labels become surrogates, ignored phrases come back.
 
 One scan finds every label and raw token of the row; the entity, the key and the surrogate
-are worked out where the label stands.  Nothing is shuffled and no state is kept.
+are worked out where the label stands.  Nothing is shuffled and no state is kept, but for phrase
+files beyond ``INLINE_LIMIT`` lines: there a draw is a number, and numbered phrases join the rows that drew them.
 """
 
 from __future__ import annotations
@@ -13,9 +14,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.functions import marks as M
-from veilwork.functions.draws import Draws, surrogate
+from veilwork.functions.draws import Draws, LongList, surrogate
 from veilwork.functions.text import TAG
-from veilwork.operators.numbering import null_safe_join
+from veilwork.operators.numbering import null_safe_join, running_number
 from veilwork.rules import dialect
 from veilwork.rules.ruleset import RuleSet, kind_of
 
@@ -36,16 +37,18 @@ def anonymize(df: DataFrame, rules: RuleSet, modality: str = "text", level=4, se
               row_id: str = "row_id") -> DataFrame:
     """Replace labels by surrogates.  Without a seed every run draws its own."""
     seed = uuid.uuid4().hex if seed is None else str(seed)
-    blocks = {}
+    blocks, tables = {}, []
     for entity in rules.anonymization_order(level, True):
         block = rules.block(entity, "anonymizer")
         if block and kind_of(block["model-class"]) != RESTORE:
-            blocks[entity] = resolve_lists(block, rules, modality, df.sparkSession)
+            blocks[entity] = resolve_lists(block, rules, modality, df.sparkSession, tables)
     owners = label_owners(rules, list(blocks))
     tokens = {e: t for e, t in rules.tokens().items() if e in blocks}
     if not owners and not tokens:
         return df
 
+    if tables:
+        df = df.withColumn(text, M.guard_input(F.col(text)))
     names = "|".join(re.escape(n) for n in sorted(owners, key=len, reverse=True))
     pattern = rf"\[({names})(?:-\d+)?\]" if names else r"(\b\B)"
     marks = f"{M.OPEN}$0{M.MID}$1"
@@ -75,14 +78,45 @@ def anonymize(df: DataFrame, rules: RuleSet, modality: str = "text", level=4, se
     named = f"transform({hits}, h -> struct(h.f, h.rest, h.i, {entity} AS e))"
     keyed = f"transform({named}, h -> struct(h.rest, h.e, CASE WHEN {keeps} THEN {same} ELSE {fresh} END AS key))"
     filled = f"transform({keyed}, h -> concat(CASE h.e {cases} END, h.rest))"
-    return (df.withColumn("__parts", F.expr(f"CASE WHEN contains(__marked, '{M.OPEN}') THEN split(__marked, '{M.OPEN}') END"))
+    out = (df.withColumn("__parts", F.expr(f"CASE WHEN contains(__marked, '{M.OPEN}') THEN split(__marked, '{M.OPEN}') END"))
               .withColumn(text, F.expr(f"CASE WHEN size(__parts) > 1 THEN concat(__parts[0], "
                                        f"array_join({filled}, '')) ELSE {text} END"))
               .drop("__marked", "__parts"))
+    return fill_phrases(out, tables, text, row_id) if tables else out
 
 
-def resolve_lists(block: dict, rules: RuleSet, modality: str, spark) -> dict:
-    """Pattern ids and phrase files of a generator block as plain lists."""
+def fill_phrases(df: DataFrame, tables: list[DataFrame], text: str, row_id: str) -> DataFrame:
+    """the drawn numbers of long lists as their phrases.  Only rows that drew one are shuffled.
+
+    ``tables`` hold ``(ix, phrase)``.  The distinct draws of a block of rows meet the phrases, so a draw that a busy
+    conversation repeats is no hot key.
+    """
+    from functools import reduce
+    from veilwork.plans.redaction import keep_once
+    df = keep_once(df)
+    listed = reduce(DataFrame.unionByName, [t.select(F.concat(F.lit(f"{i}{M.MID}"), F.col("ix").cast("string")).alias("ref"), "phrase")
+                                            for i, t in enumerate(tables)])
+    has = F.coalesce(F.contains(F.col(text), F.lit(M.OPEN)), F.lit(False))
+    ref = rf"{M.OPEN}(\d+{M.MID}\d+){M.CLOSE}"
+    used = df.where(has).select(row_id, F.floor(F.col(row_id) / 50_000).alias("block"), F.explode(F.array_distinct(
+        F.regexp_extract_all(F.col(text), F.lit(ref), F.lit(1)))).alias("ref"))
+    values = used.select("block", "ref").distinct().join(listed, "ref")
+    per_row = used.join(values, ["block", "ref"]).groupBy(row_id).agg(
+        F.map_from_entries(F.collect_list(F.struct("ref", "phrase"))).alias("__drawn"))
+    filled = M.rejoin(f"split(`{text}`, '{M.OPEN}')", f"p -> concat(__drawn[{M.head('p')}], {M.tail('p')})")
+    out = df.where(has).join(per_row, row_id, "left").withColumn(text, F.expr(filled)).drop("__drawn")
+    return out.select(*df.columns).unionByName(df.where(~has))
+
+
+def numbered_phrases(phrases: DataFrame) -> tuple[DataFrame, int]:
+    """``(ix, phrase)``, numbered from 0 by the text of the phrase, and how many there are; never collected."""
+    from veilwork.plans.redaction import keep_once
+    rows = keep_once(running_number(keep_once(phrases.select("phrase")), ["phrase"], ["phrase"], "ix"))
+    return rows, rows.count()
+
+
+def resolve_lists(block: dict, rules: RuleSet, modality: str, spark, tables: list | None = None) -> dict:
+    """Pattern ids and phrase files of a generator block as plain lists; long files are added to ``tables``."""
     from veilwork.sources.phrases import rule_phrases
     params = block.get(modality)
     if params is None:
@@ -91,7 +125,17 @@ def resolve_lists(block: dict, rules: RuleSet, modality: str, spark) -> dict:
         return {**block, modality: {**params, "regex": rules.patterns_in(params)}}
     many = params if isinstance(params, list) else [params]
     if all("phrase-list" in p or "phrase-filename" in p for p in many):
-        return {**block, modality: [{"phrase-list": rule_phrases(p, spark, whole=True)} for p in many]}
+        lists = []
+        for p in many:
+            phrases = rule_phrases(p, spark, whole=True)
+            if isinstance(phrases, DataFrame) and tables is not None and not (kind_of(block["model-class"]) == "zipc" and modality != "text"):
+                table, size = numbered_phrases(phrases)
+                phrases = LongList(len(tables), size)
+                tables.append(table)
+            elif isinstance(phrases, DataFrame):      # a list that has to be spelled out in words
+                phrases = [r.phrase for r in phrases.collect()]
+            lists.append({"phrase-list": phrases})
+        return {**block, modality: lists}
     return block
 
 

@@ -42,6 +42,7 @@ def read_phrase_document(spark, path: str, phrase_path: str) -> DataFrame:
 def rule_phrases(params: dict, spark=None, whole: bool = False):
     """The phrases of a rule block: a list, or a frame where a join gives the same spans.
 
+    ``whole`` asks for the phrases as they are: a list up to ``INLINE_LIMIT``, else the frame.
     A long list with guards, other flags, or phrases that are patterns stays a list, and so a pattern.
     """
     if params.get("phrase-list") is not None:
@@ -52,11 +53,11 @@ def rule_phrases(params: dict, spark=None, whole: bool = False):
     else:
         df = read_phrase_csv(spark, path, params.get("phrase-field"), params.get("phrase-column", 0),
                              params.get("phrase-header", True) is not False)
-    if whole:
-        return [r.phrase for r in df.collect()]
     few = df.limit(INLINE_LIMIT + 1).collect()
     if len(few) <= INLINE_LIMIT:
         return [r.phrase for r in few]
+    if whole:
+        return df
     if joinable(params) and df.where(~F.rlike("phrase", F.lit(PLAIN))).isEmpty():
         return df.withColumn("phrase_ix", F.monotonically_increasing_id())      # the order of the file
     return [r.phrase for r in df.collect()]
