@@ -103,6 +103,25 @@ def a5(spark, sf_dir):
     return S.read_csv(spark, path, header=True).select("turn", "text")
 
 
+@query("a5_date_range", """SELECT CAST(o_orderkey AS VARCHAR) AS turn, strftime(date_trunc('month', o_orderdate), '%Y-%m-%d') AS dt, ' ' || o_orderpriority AS text
+FROM orders WHERE date_trunc('month', o_orderdate) BETWEEN DATE '1995-02-01' AND DATE '1995-06-01'""")
+def a5_range(spark, sf_dir):
+    """A folder per month, and the folders of five months read."""
+    path = shared_folder(spark) + "/dated"
+    df = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("turn"), F.trunc("o_orderdate", "month").alias("dt"),
+                                               F.concat(F.lit(" "), "o_orderpriority").alias("text"))
+    S.write_dated(df, path, "dt")
+    return S.read_dated(spark, path, "dt", "1995-02-01", "1995-06-01").select("turn", "dt", "text")
+
+
+@query("b1_place_in_order", f"SELECT CAST(turn AS VARCHAR) AS turn, row_number() OVER (ORDER BY turn) - 1 AS place FROM ({TRANSCRIPTS})")
+def b1_place(spark, sf_dir):
+    """The place of each row in the files that were written, counted over the files in the order of their names."""
+    path = shared_folder(spark) + "/out"
+    S.write_table(transcripts(spark, sf_dir).select("row_id", "turn", "text"), path)
+    return S.number_rows(S.read_csv(spark, path, header=True)).select("turn", F.col("row_id").alias("place"))
+
+
 @query("b1_write_in_order", f"SELECT CAST(turn AS VARCHAR) AS turn, text FROM ({TRANSCRIPTS})")
 def b1(spark, sf_dir):
     path = shared_folder(spark) + "/out"

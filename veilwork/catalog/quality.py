@@ -43,6 +43,23 @@ def h4(spark, sf_dir):
     return Q.match_counters(phrases(spark, sf_dir), PATTERNS, ["phrase_ix"]).select("phrase_ix", "exact", "partial")
 
 
+@query("b4_report_file", f"""WITH {MATCHES} SELECT 'own' AS regex_id, 'ONE_OR_MORE_MATCH' AS test_type, CASE WHEN exact + "partial" > 0 THEN 'true' ELSE 'false' END AS pass,
+ '0' AS "group", CAST(ix AS VARCHAR) AS ix, "match", "left", matched_text, "right", text AS test_text, CAST(pattern_ix AS VARCHAR) AS pattern_ix
+FROM report JOIN counts USING (phrase_ix) JOIN ({TRANSCRIPTS}) ON turn = phrase_ix""")
+def b4(spark, sf_dir):
+    """The report as a file, read back as text."""
+    from veilwork.catalog.base import shared_folder
+    from veilwork.sources.tables import read_csv, write_report
+    rows = phrases(spark, sf_dir)
+    found = Q.match_report(rows, PATTERNS).select("phrase_ix", "pattern_ix", "ix", "match", "left", "matched_text", "right")
+    passed = Q.match_counters(rows, PATTERNS, ["phrase_ix"], match_type="ONE_OR_MORE_MATCH").select("phrase_ix", "pass")
+    report = found.join(passed, "phrase_ix").join(rows, "phrase_ix").withColumns(
+        {"regex_id": F.lit("own"), "test_type": F.lit("ONE_OR_MORE_MATCH"), "group": F.lit(0), "pass": F.col("pass").cast("string")})
+    path = shared_folder(spark) + "/report"
+    write_report(report, path)
+    return read_csv(spark, path, header=True).drop("file_ix", "file_path", "block_start", "in_block")
+
+
 _PASS = {k: v.format(n=len(PATTERNS)).replace("partial", '"partial"') for k, v in Q.MATCH_TYPES.items()}
 for _kind, _test in _PASS.items():
     @query(f"h5_pass_{_kind.lower()}", f'WITH {MATCHES} SELECT phrase_ix, {_test} AS pass FROM counts')

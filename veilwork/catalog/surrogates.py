@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilwork.catalog.base import QUERIES, conversations, lit, query, table
+from veilwork.catalog.base import QUERIES, SQL, conversations, lit, query, table
+from veilwork.catalog.text import CLEAN
 from veilwork.functions.draws import spell
 from veilwork.functions.text import DIGIT_WORDS, TEENS, TENS
 from veilwork.operators.anonymize import anonymize, restore
@@ -233,3 +234,20 @@ def f6_long(spark, sf_dir):
     rules = RuleSet({"level": {"own": ["TOWN"]}, "redaction-order": ["TOWN"], "entities": {"TOWN": {"anonymizer": {
         "model-class": "phraselist", "text": {"phrase-filename": path, "phrase-header": False}}}}})
     return anonymize(labelled(spark, sf_dir, "TOWN"), rules, "text", "own", 7).select("row_id", "text")
+
+
+# ---- whole runs without detection, and without a seed --------------------------------
+@query("f15_anonymize_only", f"SELECT row_id, {CLEAN.format(t='text')} AS text FROM ({SQL['n_phone_text']})")
+def f15(spark, sf_dir):
+    """Labelled input, no detection: surrogates and cleaning only."""
+    from veilwork.plans.redaction import RedactionJob
+    job = RedactionJob(RuleSet(), "text", 2, redact=False, anonymize=True, seed=7)
+    return job.run(labelled(spark, sf_dir, "PHONE"))[0].select("row_id", "text")
+
+
+@query("f17_without_seed", "SELECT o_custkey AS conversation_id, o_orderkey % 5 AS ix, CAST(1 AS BIGINT) AS n FROM orders GROUP BY ALL")
+def f17(spark, sf_dir):
+    """Without a seed a run draws its own surrogates, one for each label of a conversation."""
+    from veilwork.plans.redaction import keep_once
+    out = keep_once(anonymize(labelled(spark, sf_dir, "PHONE"), RuleSet(), "text", 2, None))
+    return out.groupBy("conversation_id", (F.col("row_id") % 5).alias("ix")).agg(F.countDistinct("text").alias("n"))

@@ -85,13 +85,36 @@ def gather(df: DataFrame, chunks_per_file: int) -> DataFrame:
     return df.join(labels, "gather_id")
 
 
+#: Texts are written as they are: quotes doubled, blanks at their ends kept.
+AS_IS = {"escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+
+
+def write_dated(df: DataFrame, path: str, date: str, header: bool = True, mode: str = "error", files_per_day: int = 1) -> None:
+    """One folder per day of the date column, so that a range of days is read without the others."""
+    spread = F.pmod(F.xxhash64(*[c for c in df.columns if c != date]), F.lit(files_per_day))
+    df.repartition(date, spread).write.mode(mode).option("header", header).options(**AS_IS).partitionBy(date).csv(path)
+
+
+def read_dated(spark, path: str, date: str, start: str | None = None, end: str | None = None, header: bool = True,
+               multiline: bool = False) -> DataFrame:
+    """A5: text columns of the days from ``start`` to ``end`` (both included, null: open); only their folders are listed."""
+    df = (spark.read.option("header", header).option("escape", '"').option("multiLine", multiline)
+          .option("encoding", "UTF-8").csv(path))
+    day = F.col(date).cast("date")
+    if start is not None:
+        df = df.where(day >= F.lit(start).cast("date"))
+    if end is not None:
+        df = df.where(day <= F.lit(end).cast("date"))
+    return df.select(*[F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("")).alias(c) for c in df.columns])
+
+
 HELPERS = ["row_id", "chunk_id", "file_ix", "gather_id", "file_label"]
 
 
 def write_table(df: DataFrame, path: str, header: bool = True, mode: str = "error") -> None:
     """Rows in input order, as many files as the range sort makes, helper columns left out."""
     ordered = df.orderBy("row_id")
-    ordered.drop(*HELPERS).write.mode(mode).option("header", header).option("escape", '"').csv(path)
+    ordered.drop(*HELPERS).write.mode(mode).option("header", header).options(**AS_IS).csv(path)
 
 
 def write_gathered(df: DataFrame, path: str, chunks_per_file: int, header: bool = False,
@@ -103,7 +126,7 @@ def write_gathered(df: DataFrame, path: str, chunks_per_file: int, header: bool
     out = gather(df, chunks_per_file)
     out = out.repartitionByRange("file_label", "chunk_id").sortWithinPartitions("file_label", "row_id")
     drop = [c for c in HELPERS if c != "file_label"]
-    out.drop(*drop).write.mode(mode).option("header", header).option("escape", '"').partitionBy("file_label").csv(path)
+    out.drop(*drop).write.mode(mode).option("header", header).options(**AS_IS).partitionBy("file_label").csv(path)
 
 
 def write_log(log: DataFrame, path: str, mode: str = "error") -> None:
@@ -111,11 +134,11 @@ def write_log(log: DataFrame, path: str, mode: str = "error") -> None:
     by_conversation = "conversation_id" in log.columns
     keys = ["conversation_id", "seq"] if by_conversation else ["seq"]
     columns = (["conversation_id"] if by_conversation else []) + ["label", "value"]
-    log.orderBy(*keys).select(*columns).write.mode(mode).option("escape", '"').csv(path)
+    log.orderBy(*keys).select(*columns).write.mode(mode).options(**AS_IS).csv(path)
 
 
 def write_report(report: DataFrame, path: str, mode: str = "error") -> None:
     """The rule-test report."""
     columns = ["regex_id", "test_type", "pass", "group", "ix", "match", "left", "matched_text", "right",
                "test_text", "pattern_ix"]
-    report.select(*columns).write.mode(mode).option("header", True).option("escape", '"').csv(path)
+    report.select(*columns).write.mode(mode).option("header", True).options(**AS_IS).csv(path)
