@@ -143,7 +143,8 @@ def first_places(hits: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
 
 def dictionary_of(hits: DataFrame, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """E6 dictionary: ``(KEY, n, ix)``, ix dense by first position inside the conversation."""
-    return running_number(first_places(hits, block_rows), ["first_block"], ["first_place"], "ix",
+    from veilwork.plans.redaction import keep_once
+    return running_number(keep_once(first_places(hits, block_rows)), ["first_block"], ["first_place"], "ix",
                           within=["conversation_id"])
 
 
