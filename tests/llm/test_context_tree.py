@@ -94,3 +94,12 @@ def test_held_out_texts_are_compressed(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     r = context_tree.score(docs).where("held_out AND n_tokens > 50").groupBy().avg("bits_per_byte").first()
     assert r[0] < 2.7
+
+
+def test_packed_numbers_come_back():
+    rng = random.Random(9)
+    for size in (0, 1, 5, 3000):
+        keys = context_tree.np.array(sorted({rng.randrange(-2**63, 2**63) for _ in range(size)}), context_tree.np.int64)
+        assert (context_tree.unpacked_keys(context_tree.packed_keys(keys), size) == keys).all()
+        values = context_tree.np.array([rng.gauss(0, 9) for _ in range(size)], context_tree.np.float32)
+        assert (context_tree.unpacked(context_tree.packed(values), size, context_tree.np.float32) == values).all()

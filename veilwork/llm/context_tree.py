@@ -12,6 +12,9 @@ how well they explained the training texts:
 2. The nodes of depth 0 and 1 (65 280 at most) are weighted on the driver.
 3. The same buckets answer each part's grams with their log-probability; parts meet their answers and sum them by document.
 
+The grams of one part in one bucket travel as one row: sorted, as differences, byte by byte of equal rank, compressed.  A gram
+then takes three to four bytes of disk instead of eleven.
+
 Word counts for the unigram base travel the same way.  Nothing that grows with the corpus is broadcast or collected.
 
 Edge cases: null text is empty (its end mark is still predicted); each row is a document, also with a repeated or null id, and a
@@ -151,6 +154,29 @@ def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return every, np.bincount(place, np.concatenate([p[1] for p in parts]), len(every)).astype(np.int64)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Numbers as bytes of equal rank, one rank after the other, compressed: sorted or small numbers take few bytes."""
+    return pa.compress(np.ascontiguousarray(values.view(np.uint8).reshape(len(values), values.itemsize).T).tobytes(), "zstd", asbytes=True)
+
+
+def unpacked(raw: bytes, size: int, dtype: type) -> np.ndarray:
+    wide = np.dtype(dtype).itemsize
+    planes = np.frombuffer(pa.decompress(raw, size * wide, "zstd", asbytes=True), np.uint8).reshape(wide, size)
+    return np.ascontiguousarray(planes.T).view(dtype).reshape(size)
+
+
+def packed_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys; differences wrap around."""
+    return packed(np.diff(keys.view(np.uint64), prepend=np.uint64(0)))
+
+
+def unpacked_keys(raw: bytes, size: int) -> np.ndarray:
+    return np.cumsum(unpacked(raw, size, np.uint64), dtype=np.uint64).view(np.int64)
+
+
+GRAMS = "kind int, b int, part int, size int, keys binary, counts binary"
+
+
 def gather(depth: int, buckets: int):
     """Distinct grams (kind 0) and words (kind 1) of the parts that a task reads: columns part, train, text."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -169,22 +195,39 @@ def gather(depth: int, buckets: int):
                 for kind in (0, 1):  # keep the lists short
                     if len(found[int(part[a]), kind]) > 12:
                         found[int(part[a]), kind] = [merged(found[int(part[a]), kind])]
-        for (p, kind), lists in found.items():
+        while found:
+            (p, kind), lists = found.popitem()
             if lists:
                 key, n = merged(lists)
                 deal = context(key, 2, depth) if kind == 0 else key
                 b = ((deal.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)) % np.uint64(buckets)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(key), kind, np.int32)), pa.array(b.astype(np.int32)), pa.array(np.full(len(key), p, np.int32)),
-                     pa.array(key), pa.array(n)], ["kind", "b", "part", "key", "n"])
+                order = np.argsort(b, kind="stable")  # keys of a bucket stay sorted
+                key, n, b = key[order], n[order], b[order]
+                first = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+                ends = np.r_[first[1:], len(b)]
+                for low in range(0, len(first), 1_000):
+                    pieces = list(zip(first[low:low + 1_000].tolist(), ends[low:low + 1_000].tolist()))
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array([kind] * len(pieces), pa.int32()), pa.array([int(b[i]) for i, _ in pieces], pa.int32()),
+                         pa.array([p] * len(pieces), pa.int32()), pa.array([j - i for i, j in pieces], pa.int32()),
+                         pa.array([packed_keys(key[i:j]) for i, j in pieces], pa.binary()),
+                         pa.array([packed(n[i:j]) for i, j in pieces], pa.binary())], ["kind", "b", "part", "size", "keys", "counts"])
     return run
 
 
+def opened(table: pa.Table, kind: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """(part, keys, counts) of the rows of a kind."""
+    columns = (table.column(c).to_pylist() for c in ("kind", "part", "size", "keys", "counts"))
+    return [(p, unpacked_keys(k, size), unpacked(n, size, np.int64)) for which, p, size, k, n in zip(*columns) if which == kind]
+
+
 def sums_for_parents(depth: int):
     """Per last context byte and decision: counts, and the sum of log P_node of its children (the nodes of depth 2)."""
     def bucket(table: pa.Table) -> pa.Table:
-        key, n = merged([(table.column("key").to_numpy(), table.column("n").to_numpy())])
-        top = levels(key, n, depth, 2)[2]
+        seen = [(k[n > 0], n[n > 0]) for _, k, n in opened(table, 0)]
+        if not sum(len(k) for k, _ in seen):
+            return pa.table({"node": pa.array([], pa.int64()), **{c: pa.array([], pa.float64()) for c in ("zeros", "ones", "log_p")}})
+        top = levels(*merged(seen), depth, 2)[2]
         parent, place = np.unique((top.node >> 16) * 256 + (top.node & 255), return_inverse=True)
         return pa.table({"node": parent, **{c: np.bincount(place, v, len(parent)) for c, v in (
             ("zeros", top.zeros), ("ones", top.ones), ("log_p", top.log_p))}})
@@ -221,35 +264,44 @@ def log10_p(key: np.ndarray, tree: dict[int, Level], top: Top, depth: int) -> np
     return out
 
 
-ANSWER = "part int, kind int, key long, value float, n long"
+ANSWER = "part int, kind int, size long, keys binary, reply binary"
 
 
 def answers(depth: int, top: Top):
-    """Per part: log10 of a gram's probability (kind 0), a word's training count where other parts have it too (kind 1);
-    per bucket the number of training tokens (kind 2) and of distinct ones (kind 3)."""
+    """Per part: log10 of its grams' probabilities (kind 0), training counts of words that other parts have too (kind 1);
+    per bucket the number of training tokens (kind 2) and of distinct ones (kind 3) as sizes."""
     def bucket(table: pa.Table) -> pa.Table:
-        kind = table.column("kind").to_numpy()
-        part, key, n = (table.column(c).to_numpy() for c in ("part", "key", "n"))
-        out = []
+        out: list[tuple] = []
         for which in (0, 1):
-            p, k, local = (x[kind == which] for x in (part, key, n))
-            if not len(k):
+            rows = opened(table, which)
+            if not rows:
                 continue
-            every, count = merged([(k, local)])
-            at = np.searchsorted(every, k)
+            every, count = merged([(k, n) for _, k, n in rows])
             if which == 0:
                 seen = count > 0
-                value = log10_p(every, levels(every[seen], count[seen], depth, 2), top, depth)[at]
-                out.append((p, np.zeros(len(k)), k, value, np.zeros(len(k))))
+                value = log10_p(every, levels(every[seen], count[seen], depth, 2), top, depth).astype(np.float32)
+                out += [(p, 0, len(k), packed_keys(k), packed(value[np.searchsorted(every, k)])) for p, k, _ in rows]
             else:
-                elsewhere = count[at] != local
-                out.append((p[elsewhere], np.ones(elsewhere.sum()), k[elsewhere], np.zeros(elsewhere.sum()), count[at][elsewhere]))
-                out.append(([-1, -1], [2, 3], [0, 0], [0, 0], [count.sum(), (count > 0).sum()]))
-        return pa.table({c: pa.array(np.concatenate(x).astype(t)) for c, x, t in zip(
-            ("part", "kind", "key", "value", "n"), zip(*out), (np.int32, np.int32, np.int64, np.float32, np.int64))})
+                for p, k, local in rows:
+                    n = count[np.searchsorted(every, k)]
+                    elsewhere = n != local
+                    out.append((p, 1, int(elsewhere.sum()), packed_keys(k[elsewhere]), packed(n[elsewhere])))
+                out += [(-1, 2, int(count.sum()), b"", b""), (-1, 3, int((count > 0).sum()), b"", b"")]
+        return pa.table({c: pa.array([r[j] for r in out], t) for j, (c, t) in enumerate(
+            (("part", pa.int32()), ("kind", pa.int32()), ("size", pa.int64()), ("keys", pa.binary()), ("reply", pa.binary())))})
     return bucket
 
 
+def replies_of(known: pa.Table, kind: int, dtype: type) -> tuple[np.ndarray, np.ndarray]:
+    """Keys, sorted, and what was answered to them."""
+    rows = [r for r in zip(*(known.column(c).to_pylist() for c in ("kind", "size", "keys", "reply"))) if r[0] == kind and r[1]]
+    if not rows:
+        return np.zeros(0, np.int64), np.zeros(0, dtype)
+    key = np.concatenate([unpacked_keys(k, size) for _, size, k, _ in rows])
+    order = np.argsort(key, kind="stable")
+    return key[order], np.concatenate([unpacked(r, size, dtype) for _, size, _, r in rows])[order]
+
+
 def _words(docs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     for batch in docs.to_batches():
         data, offsets = text_buffer(batch.column("text"))
@@ -262,16 +314,14 @@ def _words(docs: pa.Table) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]
 def add_up(depth: int, tokens: float, distinct: float):
     """Sums by document of a part: columns doc_id, held_out, text, and the part's answers."""
     def part(docs: pa.Table, known: pa.Table) -> pa.Table:
-        kind, key, value, n = (known.column(c).to_numpy() for c in ("kind", "key", "value", "n"))
-        grams_of, words_of = kind == 0, kind == 1
-        order = np.argsort(key[grams_of])
-        gram_key, gram_p = key[grams_of][order], value[grams_of][order].astype(float)
+        gram_key, gram_p = replies_of(known, 0, np.float32)
+        other_key, other_n = replies_of(known, 1, np.int64)
         own: list[tuple[np.ndarray, np.ndarray]] = []  # the part's own training counts of words
         for text, word, learn in _words(docs):
             own.append(counted(word, learn[text]))
             own = [merged(own)] if len(own) > 12 else own
         word_key, word_n = merged(own) if own else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-        word_n[np.searchsorted(word_key, key[words_of])] = n[words_of]
+        word_n[np.searchsorted(word_key, other_key)] = other_n
         rows = []
         for batch in docs.to_batches():
             data, offsets = text_buffer(batch.column("text"))
@@ -312,8 +362,8 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     rows = store.keep(rows.withColumn("part", part.cast("int")).sortWithinPartitions("part"), "texts")
     buckets = max(PARTS, -(-size // (BUCKET_ROWS * 12)))
     found = store.keep(rows.select("part", (~F.col("held_out")).alias("train"), "text").mapInArrow(
-        gather(depth, buckets), "kind int, b int, part int, key long, n long"), "grams")
-    top = Top(found.where("kind = 0 AND n > 0").select("b", "key", "n").groupBy("b")
+        gather(depth, buckets), GRAMS), "grams")
+    top = Top(found.where("kind = 0").groupBy("b")
               .applyInArrow(sums_for_parents(depth), "node long, zeros double, ones double, log_p double")
               .groupBy("node").agg(F.sum("zeros").alias("zeros"), F.sum("ones").alias("ones"), F.sum("log_p").alias("log_p"))
               .toArrow())  # 65 280 rows at most
@@ -321,7 +371,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", folds: int =
     replies = store.keep(found.groupBy("b").applyInArrow(answers(depth, top), ANSWER), "answers")
     store.drop(found)
     store.clean()
-    totals = {r[0]: float(r[1]) for r in replies.where("part = -1").groupBy("kind").agg(F.sum("n")).collect()}
+    totals = {r[0]: float(r[1]) for r in replies.where("part = -1").groupBy("kind").agg(F.sum("size")).collect()}
     return rows.groupBy("part").cogroup(replies.where("part >= 0").groupBy("part")).applyInArrow(
         add_up(depth, totals.get(2, 0.0), totals.get(3, 0.0)),
         f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, "
