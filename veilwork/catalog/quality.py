@@ -12,8 +12,10 @@ from veilwork.rules import shipped as S
 PATTERNS = [r"\d{4}", r"[a-z]+@[a-z.]+|yes"]
 
 
-def phrases(spark, sf_dir):
-    return transcripts(spark, sf_dir).select(F.col("turn").alias("phrase_ix"), F.col("text").alias("test_text"))
+def phrases(spark, sf_dir, rule=None):
+    """Phrases, with the column that names their rule."""
+    keys = [F.col(rule).alias("regex_id")] if rule else []
+    return transcripts(spark, sf_dir).select(*keys, F.col("turn").alias("phrase_ix"), F.col("text").alias("test_text"))
 
 
 def _pieces(pattern: str, ix: int) -> str:
@@ -22,7 +24,7 @@ def _pieces(pattern: str, ix: int) -> str:
   regexp_replace(text, {lit('(' + pattern + ')')}, chr(1) || '\\1' || chr(2), 'gi') AS m FROM ({TRANSCRIPTS}))"""
 
 
-MATCHES = f"""pcs AS ({_pieces(PATTERNS[0], 1)} UNION ALL {_pieces(PATTERNS[1], 2)}),
+_MATCHED = """,
 pos AS (SELECT *, split_part(p, chr(2), 1) AS v, sum(CASE WHEN i = 1 THEN length(p) ELSE length(p) - 1 END)
   OVER (PARTITION BY phrase_ix, pattern_ix ORDER BY i) - (length(p) - 1) AS s, max(i) OVER (PARTITION BY phrase_ix, pattern_ix) AS most FROM pcs),
 found AS (SELECT phrase_ix, test_text, pattern_ix, i, v AS matched_text, CAST(substr(test_text, 1, CAST(s AS INT)) AS VARCHAR) AS "left",
@@ -30,6 +32,42 @@ found AS (SELECT phrase_ix, test_text, pattern_ix, i, v AS matched_text, CAST(su
 report AS (SELECT phrase_ix, pattern_ix, CAST(row_number() OVER (PARTITION BY phrase_ix ORDER BY pattern_ix, i) AS INT) AS ix, "match", "left", matched_text, "right" FROM found
   UNION ALL SELECT phrase_ix, pattern_ix, 0, 'none', '', '', '' FROM pos WHERE most = 1),
 counts AS (SELECT phrase_ix, count(*) FILTER ("match" = 'exact') AS exact, count(*) FILTER ("match" = 'partial') AS "partial" FROM report GROUP BY phrase_ix)"""
+MATCHES = f"pcs AS ({_pieces(PATTERNS[0], 1)} UNION ALL {_pieces(PATTERNS[1], 2)})" + _MATCHED
+
+# One rule of two patterns for each customer; the phrases of a customer are tested by that rule.
+RULES = """SELECT c_custkey AS regex_id, concat('user', CAST(c_custkey AS STRING), '@[a-z]+[.]com|yes') AS p1,
+ lpad(CAST(c_custkey % 10000 AS STRING), 4, '0') AS p2 FROM customer"""
+
+
+def _rule_pieces(column: str, ix: int) -> str:
+    return f"""SELECT phrase_ix, test_text, {ix} AS pattern_ix, unnest(string_split(m, chr(1))) AS p,
+  generate_subscripts(string_split(m, chr(1)), 1) AS i FROM (SELECT turn AS phrase_ix, text AS test_text,
+  regexp_replace(text, concat('(', {column}, ')'), chr(1) || '\\1' || chr(2), 'gi') AS m FROM ({TRANSCRIPTS}) JOIN ({RULES}) ON conv_id = regex_id)"""
+
+
+BY_RULE = f"pcs AS ({_rule_pieces('p1', 1)} UNION ALL {_rule_pieces('p2', 2)})" + _MATCHED
+
+
+def rule_table(spark, sf_dir):
+    two = spark.sql(RULES.replace("FROM customer", "FROM {customer}"), customer=table(spark, sf_dir, "customer"))
+    return two.select("regex_id", F.posexplode(F.array("p1", "p2")).alias("at", "pattern")).withColumn("pattern_ix", F.col("at") + 1)
+
+
+@query("h3_rules_from_table", f"""WITH {BY_RULE} SELECT r.phrase_ix, r.pattern_ix, r.ix, r."match", r."left", r.matched_text, r."right",
+ c.exact + c."partial" > 0 AS pass FROM report r JOIN counts c USING (phrase_ix)""")
+def h3_rules_from_table(spark, sf_dir):
+    """Each phrase against its rule, the rules read from a table."""
+    tested = phrases(spark, sf_dir, "conv_id")
+    return Q.match_report_by_rule(tested, rule_table(spark, sf_dir)).select(
+        "phrase_ix", "pattern_ix", "ix", "match", "left", "matched_text", "right", "pass")
+
+
+@query("h6_summary_by_rule", f"""WITH {BY_RULE} SELECT t.conv_id AS regex_id, count(*) AS phrases,
+ CAST(sum(CASE WHEN exact + "partial" > 0 THEN 0 ELSE 1 END) AS BIGINT) AS failed_phrases,
+ max(CASE WHEN exact + "partial" > 0 THEN 0 ELSE 1 END) AS rule_failed FROM counts JOIN ({TRANSCRIPTS}) t ON t.turn = phrase_ix GROUP BY 1""")
+def h6_by_rule(spark, sf_dir):
+    counters = Q.match_counters_by_rule(phrases(spark, sf_dir, "conv_id"), rule_table(spark, sf_dir), ["regex_id"], ["regex_id", "phrase_ix"])
+    return Q.summary(counters, ["regex_id"])
 
 
 @query("h3_match_report", f'WITH {MATCHES} SELECT phrase_ix, pattern_ix, ix, "match", "left", matched_text, "right" FROM report')

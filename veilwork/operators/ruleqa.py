@@ -1,9 +1,15 @@
-"""Rule quality: patterns against a table of labelled phrases (H3..H6)."""
+"""Rule quality: patterns against a table of labelled phrases (H3..H6).
+
+`match_report` takes a few patterns known when the plan is made; `match_report_by_rule` takes rules as a table, so the plan
+stays the same for thousands of them.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import pandas as pd
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructType
 
 from veilwork.functions import marks as M
 from veilwork.rules import dialect
@@ -20,7 +26,21 @@ MATCH_TYPES = {
 }
 
 
-def _matches(text: str, pattern: str, flags: str, group) -> F.Column:
+@F.pandas_udf(StructType().add("java", StringType()).add("marks", StringType()))
+def _compiled(pattern: pd.Series, flags: pd.Series, group: pd.Series) -> pd.DataFrame:
+    """The Java pattern of each rule, and the replacement that marks its matches as `_matches` does."""
+    out = []
+    for p, f, g in zip(pattern, flags, group):
+        java, names, prefix = dialect.to_java(p, f)
+        number, lead = 0, ""
+        if g != "0":
+            java, number, wrapped = dialect.capture_lead(java, int(g) if g.isdigit() else names[g])
+            lead = "".join(f"${{vw{i}}}" for i in range(wrapped))
+        out.append((prefix + java, f"{M.OPEN}$0{M.MID}{lead}{M.MID}${number}{M.CLOSE}"))
+    return pd.DataFrame(out, columns=["java", "marks"])
+
+
+def _matches(text: str, pattern: str, flags: str, group) -> Column:
     """``array<struct<start,end,ok>>`` of all matches; ``ok`` is false where the group took no part."""
     java, names, prefix = dialect.to_java(pattern, flags)
     if group in (0, "0"):
@@ -54,6 +74,11 @@ def _judged(phrases: DataFrame, patterns: list[str], text: str, match_type: str,
         df = df.withColumn(f"__raw{i}", _matches(text, p, flags, group))
     rows = ", ".join(f"struct({i + 1} AS pattern_ix, {_spans(f'__raw{i}')} AS m)" for i in range(len(patterns)))
     df = df.withColumn("__all", F.expr(f"array({rows})")).drop(*[f"__raw{i}" for i in range(len(patterns))])
+    return _verdicts(df, text, MATCH_TYPES[match_type.upper()].format(n=len(patterns)))
+
+
+def _verdicts(df: DataFrame, text: str, passed: str) -> DataFrame:
+    """``__flat, exact, partial, pass`` from ``__all``, the spans of each pattern."""
     none = "named_struct('pattern_ix', x.pattern_ix, 'match', 'none', 'start', 0, 'end', 0)"
     some = (f"named_struct('pattern_ix', x.pattern_ix, 'match', CASE WHEN NOT s.ok THEN 'group-not-matched' "
             f"WHEN s.start = 0 AND s.end = length({text}) THEN 'exact' ELSE 'partial' END, "
@@ -67,7 +92,7 @@ def _judged(phrases: DataFrame, patterns: list[str], text: str, match_type: str,
         "'ix', IF(x.match IN ('exact', 'partial'), n + 1, 0), 'match', x.match, 'start', x.start, 'end', x.end))"))
     return (df.withColumn("exact", F.expr("size(filter(__flat, x -> x.match = 'exact'))"))
               .withColumn("partial", F.expr("size(filter(__flat, x -> x.match = 'partial'))"))
-              .withColumn("pass", F.expr(MATCH_TYPES[match_type.upper()].format(n=len(patterns)))))
+              .withColumn("pass", F.expr(passed)))
 
 
 def match_report(phrases: DataFrame, patterns: list[str], text: str = "test_text",
@@ -76,7 +101,10 @@ def match_report(phrases: DataFrame, patterns: list[str], text: str = "test_text
 
     Adds ``pattern_ix, ix, match, left, matched_text, right, pass``.
     """
-    judged = _judged(phrases, patterns, text, match_type, group, flags)
+    return _listed(_judged(phrases, patterns, text, match_type, group, flags), text)
+
+
+def _listed(judged: DataFrame, text: str) -> DataFrame:
     # The outer form keeps the optimiser from pushing an inferred size filter below the matching.
     out = judged.select("*", F.expr("inline_outer(__flat)")).drop("__flat").where("pattern_ix IS NOT NULL")
     seen = F.col("ix") > 0
@@ -86,6 +114,41 @@ def match_report(phrases: DataFrame, patterns: list[str], text: str = "test_text
                .drop("start", "end"))
 
 
+def _judged_by_rule(phrases: DataFrame, rules: DataFrame, keys: tuple[str, ...], text: str) -> DataFrame:
+    given = lambda c, default: F.coalesce(F.col(c).cast("string"), F.lit(default)) if c in rules.columns else F.lit(default)
+    sets = rules.where("pattern IS NOT NULL").select(
+        *keys, F.col("pattern_ix").cast("int").alias("pattern_ix"), given("group", "0").alias("group"),
+        F.upper(given("match_type", "ONE_OR_MORE_MATCH")).alias("test_type"),
+        _compiled("pattern", given("flags", "i"), given("group", "0")).alias("c"))
+    sets = sets.groupBy(*keys).agg(  # the patterns of one rule are few
+        F.min_by("test_type", "pattern_ix").alias("test_type"), F.min_by("group", "pattern_ix").alias("group"),
+        F.sort_array(F.collect_list(F.struct("pattern_ix", "c.java", "c.marks"))).alias("__set"))
+    df = phrases.join(sets, list(keys))
+    df = df.withColumn("__set", F.transform("__set", lambda s: F.struct(
+        s["pattern_ix"].alias("pattern_ix"), F.regexp_replace(F.col(text), s["java"], s["marks"]).alias("raw"))))
+    df = df.withColumn("__all", F.expr(f"transform(__set, s -> struct(s.pattern_ix AS pattern_ix, {_spans('s.raw')} AS m))"))
+    passed = " ".join(f"WHEN '{k}' THEN {v.format(n='size(__set)')}" for k, v in MATCH_TYPES.items())
+    return _verdicts(df, text, f"CASE test_type {passed} END").drop("__set", "__all")
+
+
+def match_report_by_rule(phrases: DataFrame, rules: DataFrame, keys: tuple[str, ...] = ("regex_id",), text: str = "test_text") -> DataFrame:
+    """H3/L6 with the rules in a table: the columns of `match_report`, each phrase against the patterns of its own rule.
+
+    ``rules`` has ``keys``, ``pattern_ix``, ``pattern`` and, where they differ from the defaults, ``flags`` (letters),
+    ``group`` (number or name) and ``match_type``; group and type of a rule are those of its first pattern.  Rules meet
+    phrases in one equi-join on ``keys``, and a phrase's row meets the patterns of its rule only.  Phrases without a rule, or with
+    a null key, have no rows; null patterns are no rule; a match type that isn't known gives a null ``pass``.
+    """
+    return _listed(_judged_by_rule(phrases, rules, keys, text), text)
+
+
+def match_counters_by_rule(phrases: DataFrame, rules: DataFrame, keys: tuple[str, ...], columns: list[str],
+                           text: str = "test_text") -> DataFrame:
+    """H4/H5 with the rules in a table: ``columns`` and exact, partial, pass, a row for each phrase that has a rule."""
+    return _judged_by_rule(phrases, rules, keys, text).select(
+        *columns, F.col("exact").cast("bigint"), F.col("partial").cast("bigint"), "pass")
+
+
 def match_counters(phrases: DataFrame, patterns: list[str], keys: list[str], text: str = "test_text",
                    match_type: str = "ONE_OR_MORE_MATCH", group=0, flags: str = "i") -> DataFrame:
     """H4/H5: exact and partial counts and the verdict, a row for each phrase; nothing is shuffled."""
@@ -102,15 +165,14 @@ def summary(counters: DataFrame, rule_keys: list[str]) -> DataFrame:
 
 
 def run_rule_tests(spark, rules) -> DataFrame:
-    """Every entry of the rule document's ``regex-test`` section as one report."""
-    out = None
+    """Every entry of the rule document's ``regex-test`` section as one report; the plan is the same for any number."""
+    phrases, sets = [], []
     for regex_id, tests in rules.doc.get("regex-test", {}).items():
         for t, test in enumerate(tests):
-            df = spark.createDataFrame([(regex_id, t, i, p) for i, p in enumerate(test["phrases"])],
-                                       "regex_id string, test_ix int, phrase_ix int, test_text string")
-            part = match_report(df, rules.pattern_set(regex_id),
-                                match_type=test.get("match-type", "ONE_OR_MORE_MATCH").upper(),
-                                group=test.get("group", 0),
-                                flags=dialect.flag_letters(test.get("flags", ["IGNORECASE"])))
-            out = part if out is None else out.unionByName(part)
-    return out
+            phrases += [(regex_id, t, i, p) for i, p in enumerate(test["phrases"])]
+            flags, kind = dialect.flag_letters(test.get("flags", ["IGNORECASE"])), test.get("match-type", "ONE_OR_MORE_MATCH").upper()
+            sets += [(regex_id, t, i + 1, p, flags, str(test.get("group", 0)), kind) for i, p in enumerate(rules.pattern_set(regex_id))]
+    return match_report_by_rule(
+        spark.createDataFrame(phrases, "regex_id string, test_ix int, phrase_ix int, test_text string"),
+        spark.createDataFrame(sets, "regex_id string, test_ix int, pattern_ix int, pattern string, flags string, group string, "
+                                    "match_type string"), ("regex_id", "test_ix"))
