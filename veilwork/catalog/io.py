@@ -39,8 +39,8 @@ def two_files(spark, sf_dir):
     root = shared_folder(spark)
     df = transcripts(spark, sf_dir).select(*COLUMNS)
     for i in (0, 1):
-        # One ordered file each, so that the place in the file is known to the SQL.
-        (df.where(F.col("turn") % 2 == i).coalesce(1).sortWithinPartitions("turn")
+        # Ranges in order, a part file each, so that the place in the whole is known to the SQL.
+        (df.where(F.col("turn") % 2 == i).repartitionByRange("turn").sortWithinPartitions("turn")
          .write.option("header", True).option("escape", '"').csv(f"{root}/file{i}"))
     return S.read_csv(spark, [f"{root}/file0", f"{root}/file1"], header=True)
 
