@@ -25,10 +25,12 @@ SPELLINGS = [("licen[cs]e", "license"), ("licen[cs]ed", "licensed"), ("licen[cs]
              ("organisation", "organization"), ("acknowledgement", "acknowledgment"), ("copyright owner", "copyright holder"),
              ("merchantibility", "merchantability"), ("https", "http")]
 #: Words that follow "copyright" in running licence text, where no name stands.
-RUNNING = (r"(?:notices?|holders?|owners?|ownership|licen[cs]es?|licensors?|laws?|statements?|interests?|rights?|protections?|"
-           r"infringements?|permissions?|disclaimers?|works?|claims?|status|acts?|treat(?:y|ies)|doctrines?|and|or|nor|in|on|of|to|"
-           r"is|are|as|for|under|this|that|which|with|if|where|when|can|may|shall|will|must|has|have|does|"
-           r"the(?![^\n]*\b(?:authors?|contributors?|developers?|regents|project|team)\b))\b")
+RUNNING_WORDS = (
+    r"notices?|holders?|owners?|ownership|licen[cs]es?|licensors?|laws?|statements?|interests?|rights?|protections?|"
+    r"infringements?|permissions?|disclaimers?|works?|claims?|status|acts?|treat(?:y|ies)|doctrines?|and|or|nor|in|on|of|to|"
+    r"is|are|as|for|under|this|that|which|with|if|where|when|can|may|shall|will|must|has|have|does")
+NAMED_BY_ITS_HOLDER = r"\b(?:authors?|contributors?|developers?|regents|project|team)\b"
+RUNNING = r"(?:" + RUNNING_WORDS + r"|the(?![^\n]*" + NAMED_BY_ITS_HOLDER + r"))\b"
 YEAR = r"(?:(?:19|20)\d\d\b|[<\[{(]\s*(?:years?|yyyy)\b)"
 #: A copyright statement: a line that begins with the word or sign and goes on with a sign, a year or a name.
 COPYRIGHT = (r"(?m)^[^a-z0-9\n]*(?:(?:copyright[ \t:,]*(?:\(c\)|©|" + YEAR + r")|copyright[ \t]+(?:by[ \t]+)?(?!" + RUNNING

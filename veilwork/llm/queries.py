@@ -9,7 +9,7 @@ from veilwork.llm.classifier import classify
 from veilwork.llm.common import words
 from veilwork.llm.context_tree import score
 from veilwork.llm.importance import resample
-from veilwork.llm.licenses import KNOWN, known_digests, known_texts, license_scan
+from veilwork.llm.licenses import known_digests, known_texts, license_scan
 from veilwork.llm.minhash import near_duplicates
 from veilwork.llm.mixing import mix
 from veilwork.llm.packing import pack
@@ -181,20 +181,29 @@ SELECT doc_id, source, size, source_size, target, CAST((whole + CASE WHEN x1 OR
 
 
 def _op1_sql() -> str:
-    """The canonical form and the known texts, spelled out."""
-    from veilwork.llm.licenses import SPELLINGS
+    """The canonical form and the known texts, spelled out; copyright statements are judged line by line, as there is no look-ahead."""
+    from veilwork.llm.licenses import NAMED_BY_ITS_HOLDER, RUNNING_WORDS, SPELLINGS, YEAR
 
     quote = lambda t: "'" + t.replace("'", "''") + "'"
+    start = r"^[^a-z0-9\n]*"
+    reserved = quote(start + r"all rights reserved\b")
+    signed = quote(f"{start}(?:copyright[ \\t:,]*(?:\\(c\\)|©|{YEAR})|\\(c\\)[ \\t:,]*(?:copyright\\b|{YEAR})|©)")
+    named = quote(start + r"copyright[ \t]+[<\[{]?\p{L}")
+    running = quote(f"{start}copyright[ \\t]+(?:{RUNNING_WORDS})\\b")
+    the, holder = quote(start + r"copyright[ \t]+the\b"), quote(start + r"copyright[ \t]+the[^\n]*" + NAMED_BY_ITS_HOLDER)
 
     def canonical(c: str) -> str:
-        out = f"regexp_replace(lower({c}), {quote(COPYRIGHT_SQL)}, ' ', 'g')"
+        lines = f"""list_transform(string_split(lower({c}), chr(10)), lambda y: CASE WHEN regexp_matches(y, {reserved}) THEN regexp_replace(y, {reserved}, ' ')
+ WHEN regexp_matches(y, {signed}) OR regexp_matches(y, {named}) AND NOT regexp_matches(y, {running})
+  AND NOT (regexp_matches(y, {the}) AND NOT regexp_matches(y, {holder})) THEN ' ' ELSE y END)"""
+        out = f"replace(regexp_replace(array_to_string({lines}, chr(10)), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g'), '- ', '-')"
         for a, b in SPELLINGS:
             out = f"regexp_replace({out}, {quote(a)}, {quote(b)}, 'g')"
         return f"trim(regexp_replace({out}, '[^\\p{{L}}\\p{{N}}]+', ' ', 'g'))"
 
-    known = " UNION ALL ".join(f"SELECT {quote(a)} AS license, {canonical(quote(t))} AS c" for a, t in KNOWN)
+    known = ", ".join(f"({quote(a)}, {quote(t)})" for a, t in dict.fromkeys(known_texts()))
     return f"""
-WITH k AS (SELECT c, min(license) AS license FROM ({known}) GROUP BY c),
+WITH k AS (SELECT c, min(license) AS license FROM (SELECT license, {canonical('t')} AS c FROM (VALUES {known}) v(license, t)) WHERE c <> '' GROUP BY c),
 d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rid, doc_id, {canonical('text')} AS c FROM d),
 l AS (SELECT rid, {canonical('x')} AS c FROM (SELECT rid, unnest(string_split(text, chr(10))) AS x FROM d)),
@@ -203,8 +212,6 @@ SELECT doc_id, CASE WHEN c <> '' THEN md5(c) END AS digest, license, CAST(coales
 FROM w LEFT JOIN k USING (c) LEFT JOIN n USING (rid)"""
 
 
-COPYRIGHT_SQL = r"(?m)^[^a-z0-9\n]*(copyright|\(c\)|©|all rights reserved)[^\n]*$"
-
 OP5_SQL = """
 WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
