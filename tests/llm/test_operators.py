@@ -19,7 +19,7 @@ from veilwork.llm.mixing import mix, targets
 from veilwork.llm.packing import Encoder, pack, plan
 from veilwork.llm.quality_rules import quality_rules
 from veilwork.llm.topk import top_k
-from veilwork.llm.url_filter import DigestArray, filter_urls, probes_of
+from veilwork.llm.url_filter import DigestArray, filter_urls, known_blocklist, probes_of, read_blocklist
 
 SF = "/root/testdata/sf0.001"
 
@@ -236,6 +236,26 @@ def test_paths_keep_their_case_and_probes_stay_short(spark):
     assert set(probes_of("a.b", "/x/y", 99)) == {"a.b", "b", "a.b/", "b/", "a.b/x/", "b/x/", "a.b/x/y", "b/x/y"}
 
 
+def test_list_files_of_the_usual_formats(spark, tmp_path):
+    lines = ["# hosts", "", "0.0.0.0 A.example.com", "127.0.0.1\tb.example.com # why", "||c.example.com^", "! note", "plain.org", None, "@@||ok.org^",
+             "https://d.example.com:8080/Ads/x?y=1", "*.wild.org", "||e.org^$third-party", "bad.org/a b", "plain.org\r", ":: f.org"]
+    got = sorted(r.entry for r in read_blocklist(spark.createDataFrame([(x,) for x in lines], "value string")).collect())
+    assert got == ["a.example.com", "b.example.com", "c.example.com", "d.example.com/Ads/x", "f.org", "plain.org"]
+    (tmp_path / "more.txt").write_text("0.0.0.0 more.org\n")
+    listed = {r.entry for r in known_blocklist(spark, [str(tmp_path / "more.txt")]).collect()}
+    assert {"more.org", "spam-farm.example.net", "example.com/ads/"} <= listed and len(listed) == 22
+
+
+def test_a_hundred_thousand_entries_on_both_ways(spark):
+    listed = spark.range(100_000).select(F.when(F.col("id") % 3 > 0, F.concat(F.lit("H"), "id", F.lit(".example.org"))).otherwise(
+        F.concat(F.lit("0.0.0.0 p.org/"), "id", F.lit("/"))).alias("value"))
+    pages = spark.range(20_000).select(F.col("id").alias("page_id"), F.when(F.col("id") % 2 == 0, F.concat(
+        F.lit("http://www.h"), F.col("id") * 7, F.lit(".example.org/x"))).otherwise(F.concat(F.lit("http://P.org/"), F.col("id") * 7, F.lit("/y"))).alias("url"))
+    want = {i: "block" if i * 7 < 100_000 and (i * 7 % 3 > 0) == (i % 2 == 0) else "allow" for i in range(20_000)}
+    for size in (1 << 24, 1 << 20):
+        assert {r.page_id: r.verdict for r in filter_urls(pages, read_blocklist(listed), [], shard_bytes=size).collect()} == want
+
+
 # ---- classifier
 def test_repeated_ids_are_learned_from_once(spark):
     rnd = random.Random(7)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pathlib import Path
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ from veilwork.llm.pii import KINDS, personal_data
 from veilwork.llm.quality_rules import quality_rules
 from veilwork.llm.suffix_dedup import remove_repeats
 from veilwork.llm.topk import top_k
-from veilwork.llm.url_filter import filter_urls, host_of
+from veilwork.llm.url_filter import filter_urls, known_blocklist
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -61,17 +63,13 @@ def op6_minhash(spark, sf_dir):
     return near_duplicates(table(spark, sf_dir, "documents")).drop("th")
 
 
-#: URL rules (verdict, host, path) and the host names that the block list is made from.
+#: URL rules (verdict, host, path).
 URL_RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"),
              ("allow", "com", "/fr/"), ("block", "com", "/de/")]
-BAD_NAMES = ["ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm"]
 
 
 def op8_url_filter(spark, sf_dir):
-    pages = table(spark, sf_dir, "pages")
-    hosts = pages.select(host_of(F.col("url")).alias("entry")).distinct()
-    bad = F.arrays_overlap(F.split("entry", r"\."), F.array(*map(F.lit, BAD_NAMES)))
-    return filter_urls(pages, hosts.where(bad), URL_RULES)
+    return filter_urls(table(spark, sf_dir, "pages"), known_blocklist(spark), URL_RULES)
 
 
 def op7_packing(spark, sf_dir):
@@ -220,15 +218,22 @@ s AS (SELECT q.vec_id AS query_id, e.vec_id, CAST(list_dot_product(CAST(q.v AS D
 r AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
 
-OP8_SQL = r"""
+
+def _op8_sql() -> str:
+    """Rules first, then the lines of the shipped list: a host with its subdomains, or a part of a host."""
+    lines = [line.removeprefix("0.0.0.0 ") for file in sorted((Path(__file__).parent / "url_lists").glob("*.txt"))
+             for line in file.read_text().splitlines() if not line.startswith("#")]
+    listed = ", ".join("('{}', '{}{}')".format(host, slash, path) for host, slash, path in (line.partition("/") for line in lines))
+    return rf"""
 WITH p AS (SELECT page_id, regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1) AS h0,
   regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
 h AS (SELECT page_id, path, translate(h0, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM p),
 r(verdict, rh, rp) AS (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')),
+b(bh, bp) AS (VALUES {listed}),
 f AS (SELECT h.*, (SELECT max_by(struct_pack(rule := rh || rp, v := verdict), length(rh || rp)) FROM r
-  WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS fit FROM h)
-SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.v,
-  CASE WHEN list_has_any(string_split(host, '.'), ['ads-track', 'adult-x', 'casino-win', 'cheap-pills', 'free-bets', 'spam-farm'])
-  THEN 'block' ELSE 'allow' END) AS verdict FROM f"""
+  WHERE (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)) AS fit,
+  EXISTS (SELECT 1 FROM b WHERE (host = bh OR ends_with(host, '.' || bh)) AND (bp = '' OR path = bp OR ends_with(bp, '/') AND starts_with(path, bp))) AS listed FROM h)
+SELECT page_id, host, path, fit.rule AS rule, coalesce(fit.v, CASE WHEN listed THEN 'block' ELSE 'allow' END) AS verdict FROM f"""
+
 
-ORACLE = {"op1_licenses": _op1_sql(), "op5_top_k": OP5_SQL, "op8_url_filter": OP8_SQL, "op2_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL}
+ORACLE = {"op1_licenses": _op1_sql(), "op5_top_k": OP5_SQL, "op8_url_filter": _op8_sql(), "op2_mixing": OP2_SQL, "op4_quality_rules": OP4_SQL}

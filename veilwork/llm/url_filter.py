@@ -6,6 +6,9 @@ search at once, and confirms each hit on the stored string, so a collision of ke
 under its host and every parent domain, alone and with each prefix of its path that ends in a slash, and the whole path, as far
 as these are no longer than the longest entry.  Hosts are compared without case, paths with it.
 
+`read_blocklist` reads the usual formats of such lists: plain hosts and URLs, hosts files, and host rules of ad blockers;
+`known_blocklist` is the small list that is shipped, with more files added to it.
+
 Files of up to SHARD_BYTES strings go to every task as one broadcast; a longer list is dealt out by key into shards, and the
 distinct probes travel to the shard of their key.
 
@@ -18,11 +21,12 @@ from __future__ import annotations
 import os
 import tempfile
 from collections.abc import Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilwork.llm.common import Store, small
@@ -57,6 +61,27 @@ def entry_of(entry: Column) -> Column:
     return F.concat(F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.regexp_extract(entry, "(?s)^[^/]*(.*)$", 1))
 
 
+def read_blocklist(lines: DataFrame, column: str = "value") -> DataFrame:
+    """Column `entry` of distinct entries from the lines of list files (as spark.read.text gives them).
+
+    Read are `host`, `host/path`, `scheme://host/path`, `0.0.0.0 host` or `127.0.0.1 host`, and `||host^`.  Comments (# and ! at the
+    start, # after a blank), empty and null lines, ports, queries and rules that aren't of these forms (exceptions, wildcards,
+    options) give nothing or are left off.
+    """
+    line = F.trim(F.regexp_replace(F.col(f"`{column}`"), r"(^|[ \t])[#!].*$|[\r\t]", " "))
+    line = F.regexp_replace(line, r"^(0\.0\.0\.0|127\.0\.0\.1|::1?) +", "")
+    line = F.regexp_replace(F.regexp_replace(line, r"^\|\|(.*)\^$", "$1"), r"^[A-Za-z][A-Za-z0-9+.-]*://", "")
+    line = F.regexp_replace(F.regexp_replace(line, r"[?#].*$", ""), r"^([^/:]*):[0-9]*", "$1")
+    return lines.select(entry_of(line).alias("entry")).where(r"entry rlike '^[^ /*|@^$]+(/[^ *|^$]*)?$'").distinct()
+
+
+def known_blocklist(spark: SparkSession, files: Sequence[str] = (), folder: str | Path = Path(__file__).parent / "url_lists") -> DataFrame:
+    """The shipped list (short, read here) and the lists in `files` (any size and number, read by Spark from shared storage)."""
+    shipped = [(line,) for file in sorted(Path(folder).glob("*.txt")) for line in file.read_text().splitlines()]
+    lines = spark.createDataFrame(shipped, "value string")
+    return read_blocklist(lines.unionByName(spark.read.text(list(files))) if files else lines)
+
+
 class DigestArray:
     """Sorted keys, offsets and strings in one file that is mapped into memory."""
 
