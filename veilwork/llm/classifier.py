@@ -1,15 +1,17 @@
 """Quality classifier by Bradley-Terry ranking.
 
-A text has a vector of numbers that describe its characters, words and lines.  Of a good and a bad document the good one should
-win: weights are learned from such pairs by logistic loss on the difference of their vectors.  A document's strength is the
-product with the weights; the threshold is the quantile of the training strengths that leaves the labelled share of good
-documents above it, and the score is a logistic curve that takes the value `cut` there.
+A text has a vector of numbers: how often each of some hashed words and hashed runs of three bytes occur, and what shape its
+characters, words and lines have.  Of a good and a bad document the good one should win: weights are learned from such pairs by
+logistic loss on the difference of their vectors.  A document's strength is the product with the weights; the threshold is the
+quantile of the training strengths that leaves the labelled share of good documents above it, and the score is a logistic curve
+that takes the value `cut` there.
 
 Only a bounded sample of labelled rows is fitted (`max_labels`, the rows with the least hashes); every document is scored.
 
 Edge cases: null and empty texts get the score of a text without words; null labels are not learned from, of repeated
 labels of a document the greatest counts; a null id is not held out; without labels of both kinds all scores are `cut`;
-an empty table gives an empty result.  Extra columns are not carried.
+an empty table gives an empty result.  Extra columns are not carried.  Texts of any length are read whole, STEP bytes at a time
+(a word longer than that counts as several), so that memory beside the text is a few numbers a word.
 """
 
 from __future__ import annotations
@@ -22,45 +24,104 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilwork.llm.common import Store
-from veilwork.llm.hashing import text_buffer
+from veilwork.llm.hashing import LOWER, mix, text_buffer, word_hashes
 
 _CLASSES = [range(65, 91), range(97, 123), range(48, 58), [10], [32, 9, 11, 12, 13], range(128, 256), [33], [63], [44, 46, 59, 58],
             [35], [42], [36], [37], [38], [124], [60, 62], [34, 39, 40, 41, 91, 93, 123, 125], [61, 95, 64, 47, 92, 43, 45, 126, 94, 96]]
 _GROUPS = np.zeros((256, len(_CLASSES)))
 for _k, _codes in enumerate(_CLASSES):
     _GROUPS[list(_codes), _k] = 1
-N_FEATURES = 2 * len(_CLASSES) + 9
-
-
-def features(raw: bytes) -> np.ndarray:
-    """Shares of character classes (and their roots), and shapes of words and lines."""
-    counts = np.bincount(np.frombuffer(raw, np.uint8), minlength=256) @ _GROUPS if raw else np.zeros(len(_CLASSES))
-    share = counts / max(1, len(raw))
-    words = raw.split()
-    lines = [x for x in raw.split(b"\n") if x.strip()]
-    n, m = max(1, len(words)), max(1, len(lines))
-    windows = len(words) - 2
-    repeat = 1 - len(set(zip(words, words[1:], words[2:]))) / windows if windows > 0 else 0.0
-    marked = sum(w[-1:] in b"#*$%&!|" for w in words) / n
-    lone = sum(len(w) == 1 for w in words) / n
+N_SHAPE = 2 * len(_CLASSES) + 9
+#: Buckets of words and of runs of three bytes (a power of two each).
+BUCKETS = 256
+N_FEATURES = N_SHAPE + 2 * BUCKETS
+#: How much a hashed number counts beside one of shape before anything is learned.
+HASHED = 0.1
+STEP = 1 << 20
+
+_BLANK = np.zeros(256, bool)
+_BLANK[[32, *range(9, 14)]] = True
+_MARK = np.zeros(256, bool)
+_MARK[list(b"#*$%&!|")] = True
+_ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
+
+
+def chunks(data: np.ndarray, step: int) -> Iterator[tuple[int, int]]:
+    """Ranges of at most `step` bytes that end behind a blank where there is one."""
+    low = 0
+    while low < len(data):
+        high = min(low + step, len(data))
+        if high < len(data):
+            gaps = np.flatnonzero(_BLANK[data[low:high]])
+            high = low + int(gaps[-1]) + 1 if len(gaps) else high
+        yield low, high
+        low = high
+
+
+def distinct(hashes: np.ndarray) -> int:
+    ordered = np.sort(hashes)
+    return int(np.count_nonzero(ordered[1:] != ordered[:-1])) + 1 if len(ordered) else 0
+
+
+def features(data: np.ndarray, step: int = STEP) -> np.ndarray:
+    """Shares of character classes (and their roots), shapes of words and lines, roots of the shares of hashed words and runs."""
+    counts, runs = np.zeros(256), np.zeros(BUCKETS)
+    hashes, lines, breaks, marked, lone = [], [], 0, 0, 0
+    for low, high in chunks(data, step):
+        part = data[low:high]
+        counts += np.bincount(part, minlength=256)
+        _, h = word_hashes(part, np.array([0, len(part)]))
+        visible = ~_BLANK[part]
+        first, last = visible.copy(), visible.copy()
+        first[1:] &= ~visible[:-1]
+        last[:-1] &= ~visible[1:]
+        marked += int((last & _MARK[part]).sum())
+        lone += int((first & last).sum())
+        line = np.cumsum(part == 10)
+        hashes.append(h)
+        lines.append(line[first] + breaks)
+        breaks += int(line[-1])
+        code = LOWER[data[max(0, low - 2):high]].astype(np.uint32)  # runs across two parts count in the second
+        code = ((code[:-2] << 16 | code[1:-1] << 8 | code[2:]) * np.uint32(0x9E3779B1)) >> np.uint32(24)
+        runs += np.bincount(code, minlength=BUCKETS)
+    w = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+    line = np.concatenate(lines) if lines else np.zeros(0, np.int64)
+    words, n = len(w), max(1, len(w))
+    begin = np.flatnonzero(np.concatenate(([True], line[1:] != line[:-1]))) if words else np.zeros(0, np.int64)
+    m, repeat, same = max(1, len(begin)), 0.0, 0.0
+    if words:
+        place = np.arange(words) - np.repeat(begin, np.diff(np.append(begin, words)))
+        texts = np.add.reduceat(mix(w + place.astype(np.uint64) * _ODD[0]), begin)
+        same = 1 - distinct(texts) / m
+    if words > 2:
+        triples = mix(w[:-2] * _ODD[0] + w[1:-1] * _ODD[1] + w[2:] * _ODD[2])
+        repeat = 1 - distinct(triples) / (words - 2)
+    share = counts @ _GROUPS / max(1, len(data))
+    hashed = np.bincount((w >> np.uint64(56)).astype(np.int64), minlength=BUCKETS)
     return np.concatenate((share, np.sqrt(share), [
-        np.log1p(len(words)), np.log1p(len(lines)), len(set(words)) / n, 1 - len(set(lines)) / m, repeat, marked, lone,
-        len(raw) / n / 10, float(not words)]))
+        np.log1p(words), np.log1p(len(begin)), distinct(w) / n, same, repeat, marked / n, lone / n,
+        len(data) / n / 10, float(not words)], np.sqrt(hashed / n), np.sqrt(runs / max(1, len(data) - 2))))
 
 
 def matrix(column: pa.Array) -> np.ndarray:
     data, offsets = text_buffer(column)
-    out = np.zeros((len(column), N_FEATURES))
+    out = np.zeros((len(column), N_FEATURES), np.float32)
     for i in range(len(column)):
-        out[i] = features(data[offsets[i]:offsets[i + 1]].tobytes())
+        out[i] = features(data[offsets[i]:offsets[i + 1]])
     return out
 
 
+def centred(x: np.ndarray, mean: np.ndarray, scale: np.ndarray) -> np.ndarray:
+    z = np.clip((x - mean) / scale, -8, 8)
+    z[:, N_SHAPE:] *= HASHED
+    return z
+
+
 def fit(x: np.ndarray, good: np.ndarray, pairs: int = 200_000, rounds: int = 400, penalty: float = 1e-4,
         seed: int = 10) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(mean, scale, weights) of the ranking learned from random pairs of a good and a bad row."""
-    mean, scale = x.mean(0), x.std(0) + 1e-9
-    z = np.clip((x - mean) / scale, -8, 8)
+    mean, scale = x.mean(0, dtype=np.float64), x.std(0, dtype=np.float64) + 1e-9
+    z = centred(x, mean, scale).astype(np.float32)
     rng = np.random.default_rng(seed)
     win = rng.choice(np.flatnonzero(good), pairs)
     lose = rng.choice(np.flatnonzero(~good), pairs)
@@ -99,7 +160,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
     # at most max_labels distinct ids are broadcast, and one vector for each comes back: of repeated ids the text of the least hash
     sample = (rows.join(F.broadcast(chosen), "doc_id").groupBy("doc_id").agg(
         F.min_by("text", F.xxhash64("text")).alias("text"), F.first("label").alias("label")).select("text", "label"))
-    sample = sample.mapInArrow(describe, "x array<double>, label int")
+    sample = sample.mapInArrow(describe, "x array<float>, label int")
     got = sample.toArrow()
     x = np.array(got.column("x").combine_chunks().flatten()).reshape(-1, N_FEATURES)
     good = got.column("label").to_numpy() > 0
@@ -107,7 +168,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
         order = np.lexsort(x.T)  # the same model whatever the order of the tasks
         x, good = x[order], good[order]
         mean, scale, weights = fit(x, good)
-        strength = np.clip((x - mean) / scale, -8, 8) @ weights
+        strength = centred(x, mean, scale) @ weights
         threshold = float(np.quantile(strength, 1 - good.mean()))
     else:
         mean, scale, weights, threshold = np.zeros(N_FEATURES), np.ones(N_FEATURES), np.zeros(N_FEATURES), 0.0
@@ -115,7 +176,7 @@ def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            s = np.clip((matrix(batch.column(2)) - mean) / scale, -8, 8) @ weights - threshold
+            s = centred(matrix(batch.column(2)), mean, scale) @ weights - threshold
             p = np.where(s == 0, cut, np.where(s > 0, np.maximum(cut, 1 / (1 + np.exp(-np.clip(s + shift, -700, 700)))),
                          np.minimum(np.nextafter(cut, 0), 1 / (1 + np.exp(-np.clip(s + shift, -700, 700))))))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(p), pa.array((p >= cut).astype(np.int32))],
