@@ -49,3 +49,16 @@ def test_stateless_chain_labels_equal_values_alike(spark):
     got = {r.row_id: r.text for r in R.redact_stateless(df, only("EMAIL"), surrogates=RuleSet(), seed=3).collect()}
     first = got[1].split()
     assert first[0] == first[1] and got[2].split()[-1] == first[0] and "x.org" not in got[1]
+
+
+def test_slices_of_a_stream_are_spread_over_files(spark, tmp_path):
+    from veilwork.catalog import io
+    (spark.range(4_000).selectExpr("id AS o_orderkey", "id % 7 AS o_custkey").write.parquet(f"{tmp_path}/orders.parquet"))
+    root, streams = io._streams(spark, str(tmp_path))
+    seen, last = set(), -1
+    for stream in streams:
+        files = set(spark.read.parquet(f"{root}/in").inputFiles())
+        rows = spark.read.parquet(*(files - seen)).selectExpr("min(row_id)", "max(row_id)").first()
+        assert stream.isStreaming and len(files - seen) > 1 and rows[0] == last + 1
+        seen, last = files, rows[1]
+    assert last == 3_999 and spark.read.parquet(f"{root}/in").count() == 4_000

@@ -162,16 +162,22 @@ def l2(spark, sf_dir):
 
 
 # ---- streams -------------------------------------------------------------------------
-def _stream(spark, sf_dir, files: int = 4):
-    """The transcripts as a stream of files in turn order, written one after the other."""
+def _streams(spark, sf_dir, slices: int = 4):
+    """A folder and, slice by slice in turn order, the transcripts as a stream whose new files are one micro-batch.
+
+    A slice is written by all tasks, so its batch is spread over as many files.  The caller runs the query to its end for each
+    slice, from the same checkpoint; so files of two slices never meet in a batch.
+    """
     root = shared_folder(spark)
     df = transcripts(spark, sf_dir).select("row_id", F.col("conversation_id").cast("string").alias("conversation_id"), "text")
     df = keep_once(df)
     last = df.agg(F.coalesce(F.max("row_id"), F.lit(0))).first()[0]
-    for i in range(files):
-        part = F.floor(F.col("row_id") * files / (last + 1)) == i
-        df.where(part).coalesce(1).write.mode("append").parquet(f"{root}/in")
-    return root, spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(f"{root}/in")
+
+    def feed():
+        for i in range(slices):
+            df.where(F.floor(F.col("row_id") * slices / (last + 1)) == i).write.mode("append").parquet(f"{root}/in")
+            yield spark.readStream.schema(df.schema).parquet(f"{root}/in")
+    return root, feed()
 
 
 M2_SEED = 7
@@ -191,11 +197,12 @@ def m2(spark, sf_dir):
     labels = ["ZIP", "PIN", "CCARD", "PHONE", "SSN", "EMAIL"]
     surrogates = RuleSet({"level": {"own": labels}, "redaction-order": labels, "anon-map": {}, "entities": {
         e: {"anonymizer": {"model-class": "numbered", "prefix": e}} for e in labels}}, defaults=False)
-    root, stream = _stream(spark, sf_dir)
+    root, streams = _streams(spark, sf_dir)
     steps = RuleSet({"token-map": TOKENS}).detectors("text", 2)
-    out = redact_stateless(stream, steps, surrogates=surrogates, level="own", seed=M2_SEED).select("row_id", "text")
-    (out.writeStream.option("checkpointLocation", f"{root}/cp").option("path", f"{root}/out").format("parquet")
-     .trigger(availableNow=True).start().awaitTermination())
+    for stream in streams:
+        out = redact_stateless(stream, steps, surrogates=surrogates, level="own", seed=M2_SEED).select("row_id", "text")
+        (out.writeStream.option("checkpointLocation", f"{root}/cp").option("path", f"{root}/out").format("parquet")
+         .trigger(availableNow=True).start().awaitTermination())
     return spark.read.schema(out.schema).parquet(f"{root}/out")
 
 
@@ -204,8 +211,9 @@ FROM ({redact_sql(TURN_SRC, whole(EMAIL_RE), 'EMAIL')}) r JOIN ({TURN_SRC}) s ON
 def m3(spark, sf_dir):
     """Micro-batches of files with the saved dictionary; indexes stay the same over batches."""
     from veilwork.streaming.redact import start_incremental
-    root, stream = _stream(spark, sf_dir)
-    start_incremental(stream, only("EMAIL"), f"{root}/state", f"{root}/out", f"{root}/cp", once=True).awaitTermination()
+    root, streams = _streams(spark, sf_dir)
+    for stream in streams:
+        start_incremental(stream, only("EMAIL"), f"{root}/state", f"{root}/out", f"{root}/cp", once=True).awaitTermination()
     return spark.read.parquet(f"{root}/out").select("row_id", "conversation_id", "text")
 
 
@@ -217,14 +225,15 @@ SELECT CAST(h.conv AS VARCHAR) AS conversation_id, h.row_id, h.k, h.value, r.ix
 def m3_stateful(spark, sf_dir):
     """The index of each hit from keyed state, over four micro-batches."""
     from veilwork.streaming.redact import stateful_index
-    root, stream = _stream(spark, sf_dir)
+    root, streams = _streams(spark, sf_dir)
     store = "spark.sql.streaming.stateStore.providerClass"
     before = spark.conf.get(store)
     spark.conf.set(store, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        out = stateful_index(N.explode_hits(detect(stream, only("EMAIL"))).drop("rule_ix"))
-        (out.writeStream.option("checkpointLocation", f"{root}/cp").option("path", f"{root}/out").format("parquet")
-         .outputMode("append").trigger(availableNow=True).start().awaitTermination())
+        for stream in streams:
+            out = stateful_index(N.explode_hits(detect(stream, only("EMAIL"))).drop("rule_ix"))
+            (out.writeStream.option("checkpointLocation", f"{root}/cp").option("path", f"{root}/out").format("parquet")
+             .outputMode("append").trigger(availableNow=True).start().awaitTermination())
     finally:
         spark.conf.set(store, before)
     return spark.read.schema(out.schema).parquet(f"{root}/out").select(
@@ -236,7 +245,8 @@ FROM ranked GROUP BY ALL""")
 def m4(spark, sf_dir):
     """The log written batch by batch holds every value exactly once, with its index."""
     from veilwork.streaming.redact import DICTIONARY, start_incremental
-    root, stream = _stream(spark, sf_dir)
-    start_incremental(stream, only("EMAIL"), f"{root}/state", f"{root}/out", f"{root}/cp", once=True).awaitTermination()
+    root, streams = _streams(spark, sf_dir)
+    for stream in streams:
+        start_incremental(stream, only("EMAIL"), f"{root}/state", f"{root}/out", f"{root}/cp", once=True).awaitTermination()
     return (spark.read.schema(DICTIONARY).parquet(f"{root}/state/log")
             .groupBy("conversation_id", "label", "value").agg(F.min("ix").alias("ix"), F.count("*").alias("n")))
