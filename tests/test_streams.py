@@ -62,3 +62,47 @@ def test_slices_of_a_stream_are_spread_over_files(spark, tmp_path):
         assert stream.isStreaming and len(files - seen) > 1 and rows[0] == last + 1
         seen, last = files, rows[1]
     assert last == 3_999 and spark.read.parquet(f"{root}/in").count() == 4_000
+
+
+def test_keyed_state_is_asked_once_a_value():
+    from pyspark.sql import Row
+    made, calls, store = [], [], {}
+
+    class Hits:
+        def select(self, *_):
+            return self
+        groupBy = select
+
+        def transformWithState(self, processor, *_):
+            made.append(processor)
+
+    class Values:
+        def getValue(self, k):
+            calls.append("look")
+            return store.get(k)
+
+        def updateValue(self, k, v):
+            calls.append("put")
+            store[k] = v
+
+    class Next:
+        value = None
+
+        def get(self):
+            calls.append("next")
+            return self.value
+
+        def update(self, v):
+            calls.append("set")
+            self.value = v
+    R.stateful_index(Hits())
+    index = made[0]
+    index.known, index.next = Values(), Next()
+
+    def run(*values):
+        calls.clear()
+        rows = [Row(conversation_id=None, row_id=i, k=0, label="L", value=v) for i, v in enumerate(values)]
+        return [r.ix for r in index.handleInputRows((None,), iter(reversed(rows)), None)]
+    assert run("a", None, "a") == [0, 1, 0] and calls == ["next", "put", "put", "set"]
+    assert run("a", "a", None) == [0, 0, 1] and calls == ["next", "look", "look"]
+    assert run("c", "a") == [2, 0] and calls == ["next", "look", "put", "look", "set"]

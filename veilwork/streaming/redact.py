@@ -8,7 +8,7 @@ Dense indexes need what earlier batches have seen; two forms are given:
 
 * ``start_incremental``: micro-batches meet a saved dictionary table.  The work of a batch is
   joins and aggregates, so one huge conversation is spread like in a batch run.
-* ``stateful_index``: the dictionary as keyed state (``transformWithStateInPandas``), for
+* ``stateful_index``: the dictionary as keyed state (``transformWithState``), for
   streams of many moderate conversations and low latency.
 """
 
@@ -16,8 +16,7 @@ from __future__ import annotations
 
 import json
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from veilwork.functions import marks as M
@@ -145,9 +144,8 @@ def start_incremental(stream: DataFrame, detectors, state_path: str, out_path: s
 def stateful_index(hits: DataFrame, ttl_ms: int | None = None) -> DataFrame:
     """M3: index of each hit from keyed state; input ``(conversation_id, row_id, k, label, value)``.
 
-    A conversation's hits of one micro-batch are put in order over all arrow batches before they are numbered, and only
-    new values touch the state; they are held together for that, so streams with huge conversations use
-    ``start_incremental``.  Needs the RocksDB state store.  ``ttl_ms`` forgets values not seen for that long.
+    A conversation's hits of one micro-batch are put in order before they are numbered, and each distinct value touches the
+    state once; they are held together for that, so streams with huge conversations use ``start_incremental``.  Needs the RocksDB state store.  ``ttl_ms`` forgets values not seen for that long.
     """
     from pyspark.sql.streaming import StatefulProcessor
 
@@ -157,25 +155,27 @@ def stateful_index(hits: DataFrame, ttl_ms: int | None = None) -> DataFrame:
             self.next = handle.getValueState("next", "ix bigint", ttl_ms)
 
         def handleInputRows(self, key, rows, timers):
-            pdf = pd.concat(list(rows), ignore_index=True).sort_values(["row_id", "k"], kind="stable")
-            number = self.next.get()[0] if self.next.exists() else 0
-            index = {}
-            for pair in zip(pdf["label"], pdf["value"]):
-                if pair in index:
-                    continue
-                if not self.known.containsKey(pair):
-                    self.known.updateValue(pair, (number,))
-                    number += 1
-                elif ttl_ms is not None:      # seen again: its time starts anew
-                    self.known.updateValue(pair, self.known.getValue(pair))
-                index[pair] = self.known.getValue(pair)[0]
-            self.next.update((number,))
-            yield pdf.assign(ix=[index[p] for p in zip(pdf["label"], pdf["value"])])[
-                ["conversation_id", "row_id", "k", "label", "value", "ix"]]
+            rows = sorted(rows, key=lambda r: (r.row_id is None, r.row_id, r.k))
+            seen = self.next.get()                # None: a new conversation, no value needs a look-up
+            number, index = seen[0] if seen else 0, {}
+            for r in rows:
+                pair = (r.label, r.value)
+                if pair not in index:
+                    known = self.known.getValue(pair) if seen else None
+                    if known is None:
+                        known, number = (number,), number + 1
+                        self.known.updateValue(pair, known)
+                    elif ttl_ms is not None:      # seen again: its time starts anew
+                        self.known.updateValue(pair, known)
+                    index[pair] = known[0]
+            if ttl_ms is not None or not seen or number != seen[0]:
+                self.next.update((number,))
+            for r in rows:
+                yield Row(**r.asDict(), ix=index[r.label, r.value])
 
         def close(self):
             pass
 
-    return hits.groupBy("conversation_id").transformWithStateInPandas(
+    return hits.select("conversation_id", "row_id", "k", "label", "value").groupBy("conversation_id").transformWithState(
         Index(), "conversation_id string, row_id bigint, k int, label string, value string, ix bigint",
         "append", "none" if ttl_ms is None else "processingTime")
