@@ -80,3 +80,21 @@ def test_repeated_rows_are_one_document_and_null_ids_come_last(spark):
     got = sorted((str(r.carried.doc_id), r.n_removed) for r in suffix_dedup.remove_repeats(df, width=50).collect())
     assert got == [("2", 0), ("7", got[1][1]), ("7", got[1][1]), ("None", 130)] and got[1][1] < 130
     assert suffix_dedup.remove_repeats(df.limit(0)).count() == 0
+
+
+def test_scan_for_runs_takes_little_memory():
+    import tracemalloc
+    import numpy as np
+    import pyarrow as pa
+    from veilwork.llm import suffix_dedup as S
+    rnd = np.random.default_rng(5)
+    texts = [rnd.integers(97, 123, 4_000, np.uint8).tobytes().decode() for _ in range(2_000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(2_000)), pa.array(range(2_000)), pa.array(texts)], ["doc", "th", "text"])
+    S._powers.clear()
+    tracemalloc.start()
+    try:
+        S.batch_runs(batch, 100)
+        assert tracemalloc.get_traced_memory()[1] < 160 << 20
+    finally:
+        tracemalloc.stop()
+        S._powers.clear()

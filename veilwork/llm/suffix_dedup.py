@@ -34,7 +34,8 @@ from veilwork.llm.bwt import merged_intervals
 from veilwork.llm.common import Store
 
 GRAM = 32
-SLICE = 1 << 22
+#: Text bytes that are scanned at once; the scan takes about 100 bytes of memory for each.
+SLICE = 1 << 20
 #: A minimizer is a hot one when a task's batch has so many different runs of it.
 HOT_RUNS = 32
 #: Hot minimizers that tasks are told of at most (8 bytes each), the most frequent ones; others stay in their buckets.
