@@ -103,3 +103,16 @@ def test_packed_numbers_come_back():
         assert (context_tree.unpacked_keys(context_tree.packed_keys(keys), size) == keys).all()
         values = context_tree.np.array([rng.gauss(0, 9) for _ in range(size)], context_tree.np.float32)
         assert (context_tree.unpacked(context_tree.packed(values), size, context_tree.np.float32) == values).all()
+
+
+def test_grams_are_counted_by_one_sort():
+    import numpy as np
+    from veilwork.llm import context_tree as C
+    rnd = np.random.default_rng(3)
+    key, train = rnd.integers(0, 1 << 56, 500)[rnd.integers(0, 500, 4_000)], rnd.random(4_000) < 0.8
+    want = C.counted(key, train)
+    halves = [C.counted_grams(key[:1_500], train[:1_500]), C.counted_grams(key[1_500:], train[1_500:])]
+    for got in (C.counted_grams(key, train), C.merged(halves)):
+        assert all(np.array_equal(a, b) and a.dtype == b.dtype for a, b in zip(got, want))
+    assert np.array_equal(C.places(want[0], key), np.searchsorted(want[0], key))
+    assert all(len(x) == 0 for x in C.counted_grams(key[:0], train[:0]) + C.merged([(key[:0], key[:0])]))

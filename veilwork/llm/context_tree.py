@@ -149,9 +149,31 @@ def counted(keys: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return every, count
 
 
+def counted_grams(gram: np.ndarray, train: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The same of grams, which leave a bit for `train`, by one sort of numbers."""
+    both = np.sort((gram << 1) | train)
+    first = starts(both >> 1)
+    return both[first] >> 1, np.add.reduceat(both & 1, first) if len(first) else both
+
+
 def merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    every, place = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return every, np.bincount(place, np.concatenate([p[1] for p in parts]), len(every)).astype(np.int64)
+    """Sums by key; the lists are sorted, so the stable sort only merges them."""
+    key, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(key, kind="stable")
+    first = starts(key[order])
+    return key[order[first]], np.add.reduceat(n[order], first) if len(first) else n
+
+
+def starts(key: np.ndarray) -> np.ndarray:
+    """Where the groups of equal keys begin."""
+    return np.flatnonzero(np.r_[True, key[1:] != key[:-1]][:len(key)])
+
+
+def places(keys: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """`np.searchsorted` of many keys in any order; in sorted order a search stays near the one before."""
+    order, out = np.argsort(wanted), np.empty(len(wanted), np.int64)
+    out[order] = np.searchsorted(keys, wanted[order])
+    return out
 
 
 def packed(values: np.ndarray) -> bytes:
@@ -189,7 +211,7 @@ def gather(depth: int, buckets: int):
                 for i, j in slices(offsets[a:b + 1], STEP) if b > a else []:
                     here, learn = offsets[a + i:a + j + 1], train[a + i:a + j]
                     for text, key in grams(data, here, depth):
-                        found[int(part[a]), 0].append(counted(key, learn[text]))
+                        found[int(part[a]), 0].append(counted_grams(key, learn[text]))
                     text, word = tokens_of(data, here)
                     found[int(part[a]), 1].append(counted(word, learn[text]))
                 for kind in (0, 1):  # keep the lists short
@@ -329,9 +351,9 @@ def add_up(depth: int, tokens: float, distinct: float):
                 here, m = offsets[i:j + 1], j - i
                 score = np.zeros(m)
                 for text, gram in grams(data, here, depth):
-                    score += np.bincount(text, gram_p[np.searchsorted(gram_key, gram)], m)
+                    score += np.bincount(text, gram_p[places(gram_key, gram)], m)
                 text, word = tokens_of(data, here)
-                c = word_n[np.searchsorted(word_key, word)]
+                c = word_n[places(word_key, word)]
                 rows.append((np.bincount(text, minlength=m), np.bincount(text, c > 0, m).astype(np.int64), np.full(m, int(tokens)),
                              np.bincount(text, np.log10((c + 1) / (tokens + distinct + 1)), m), score,
                              -score * np.log2(10) / np.maximum(1, np.diff(here))))
