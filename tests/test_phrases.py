@@ -47,6 +47,27 @@ def test_order_of_the_list_and_empty_lists(spark):
     assert P.phrase_spans(rows, listed.limit(0)).count() == 0 and P.phrase_spans(rows.limit(0), listed).count() == 0
 
 
+@pytest.mark.parametrize("limits", [{}, {"BROADCAST_ROWS": 0}])
+def test_hits_stream_in_batches_and_keys_alone_are_joined(spark, monkeypatch, limits):
+    for k, v in limits.items():
+        monkeypatch.setattr(P, k, v)
+    rnd = random.Random(9)
+    texts = [" ".join(rnd.choice("abcd") for _ in range(rnd.randrange(1, 40))) for _ in range(30)]
+    phrases = ["a", "a b", "b c d", "c", "d a"]
+    rows = spark.createDataFrame([*enumerate(texts), (None, "b a b, c")], "row_id long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        spans = P.phrase_spans(rows, spark.createDataFrame([(p,) for p in phrases], "phrase string"))
+        got = sorted(tuple(r) for r in spans.where("row_id IS NOT NULL").collect())
+        none = sorted(tuple(r)[1:] for r in spans.where("row_id IS NULL").collect())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert got == [(i, *span) for i, t in enumerate(texts) for span in plain(t, phrases)]
+    assert none == plain("b a b, c", phrases)
+    plan = spans._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "gram" in plan and not re.search(r"gram#\d+ = phrase#|phrase#\d+ = gram#", plan)
+
+
 def test_a_row_of_many_words(spark):
     n = 100_000
     rows = spark.createDataFrame([(1, "ab cd " * (n // 2))], "row_id long, text string")

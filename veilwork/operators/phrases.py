@@ -10,6 +10,9 @@ with the phrase, so equal keys of different texts do no harm.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,7 +22,6 @@ from veilwork.functions import marks as M
 BROADCAST_ROWS, BROADCAST_CHARS = 200_000, 20_000_000
 #: Candidates of one key that go to one task of that shuffle; more are dealt over copies of the phrase.
 HOT_KEY = 200_000
-FOLD = 300
 
 
 def _words(text: str) -> str:
@@ -41,30 +43,47 @@ def phrase_keys(phrases: DataFrame) -> DataFrame:
     return df.select("phrase", "phrase_ix", F.size("__w").alias("words"), F.expr("__h[0]").alias("first"), F.expr(rolled).alias("key"))
 
 
+def places(lengths: pa.Array) -> pa.Array:
+    """For the lengths of each row's pieces the place of each piece: the sum of those before it."""
+    sizes = np.asarray(lengths.flatten(), dtype=np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes)])
+    counts = np.asarray(pc.fill_null(pc.list_value_length(lengths), 0), dtype=np.int64)
+    bounds = np.concatenate([[0], np.cumsum(counts)])
+    at = ends[:-1] - np.repeat(ends[bounds[:-1]], counts)
+    mask = pa.array(np.asarray(lengths.is_null())) if lengths.null_count else None
+    return pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(at, pa.int32()), mask=mask)
+
+
 def word_rows(rows: DataFrame, longest: int, row_id: str, text: str) -> DataFrame:
     """``(row_id, start, first, p0, p1, ...)``: one row per word, with its piece and those behind it (null at the end)."""
     df = rows.select(row_id, F.expr(_words(f"`{text}`")).alias("__p"))
-    df = df.select(row_id, F.expr("length(__p[0])").alias("__z"), F.expr(M.pieces("__p")).alias("__w"))
-    shifted = ", ".join(f"slice(__w, {j + 1}, greatest(size(__w) - {j}, 0))" for j in range(longest))
-    places = M.running("transform(__w, p -> length(p) - 1)")
+    # the first piece stands before all words and has no mark
+    df = df.withColumn("__at", F.arrow_udf(places, "array<int>")(F.expr("transform(__p, p -> length(p) - 1)")))
+    shifted = ", ".join(f"slice(__p, {j + 2}, greatest(size(__p) - {j + 1}, 0))" for j in range(longest))
     names = ", ".join(f"p{j}" for j in range(longest))
-    df = df.selectExpr(row_id, "__z", f"inline(arrays_zip({places}, {shifted})) AS (at, {names})")
-    return df.selectExpr(row_id, "__z + at AS start", f"xxhash64(lower({M.head('p0')})) AS first", *names.split(", "))
+    df = df.selectExpr(row_id, f"inline(arrays_zip(slice(__at, 2, size(__at) - 1), {shifted})) AS (at, {names})")
+    return df.selectExpr(row_id, "at + 1 AS start", f"xxhash64(lower({M.head('p0')})) AS first", *names.split(", "))
 
 
 def word_grams(words: DataFrame, lengths: list[int], row_id: str) -> DataFrame:
-    """``(row_id, start, end, key, gram)``: the n-grams that begin at each word."""
-    made, key, gram, end = [], "first", f"lower({M.head('p0')})", "start"
-    for n in range(1, lengths[-1] + 1):
-        last = f"p{n - 1}"
-        if n > 1:
-            word = f"lower({M.head(last)})"
-            key = f"xxhash64({key}, {M.tail(f'p{n - 2}')}, xxhash64({word}))"
-            gram += f", {M.tail(f'p{n - 2}')}, {word}"
-            end += f" + length(p{n - 2}) - 1"
-        if n in lengths:
-            made.append(f"CASE WHEN {last} IS NOT NULL THEN named_struct('end', {end} + length({M.head(last)}), 'key', {key}, 'gram', concat({gram})) END")
-    return words.selectExpr(row_id, "start", f"inline(array({', '.join(made)}))").where("key IS NOT NULL")
+    """``(row_id, start, end, key, gram)``: the n-grams that begin at each word.
+
+    A row carries keys only; the text and the end of a gram are worked out from its pieces where they are used.
+    """
+    keys, pieces = {1: "first"}, [f"p{j}" for j in range(lengths[-1])]
+    df = words
+    for n in range(2, lengths[-1] + 1):
+        keys[n] = f"__k{n}"
+        df = df.withColumn(keys[n], F.expr(f"CASE WHEN p{n - 1} IS NOT NULL THEN xxhash64({keys[n - 1]}, {M.tail(f'p{n - 2}')}, "
+                                           f"xxhash64(lower({M.head(f'p{n - 1}')}))) END"))
+    made = ", ".join(f"named_struct('n', {n}, 'key', {keys[n]})" for n in lengths)
+    df = df.selectExpr(row_id, "start", *pieces, f"inline(array({made}))").where("key IS NOT NULL")
+    grams, ends = [], []
+    for n in lengths:
+        before = "".join(f"lower({M.head(p)}), {M.tail(p)}, " for p in pieces[:n - 1])
+        grams.append(f"WHEN {n} THEN concat({before}lower({M.head(pieces[n - 1])}))")
+        ends.append(f"WHEN {n} THEN start + {''.join(f'length({p}) - 1 + ' for p in pieces[:n - 1])}length({M.head(pieces[n - 1])})")
+    return df.selectExpr(row_id, "start", f"CASE n {' '.join(ends)} END AS end", "key", f"CASE n {' '.join(grams)} END AS gram")
 
 
 def phrase_spans(rows: DataFrame, phrases: DataFrame, row_id: str = "row_id",
@@ -85,10 +104,11 @@ def phrase_spans(rows: DataFrame, phrases: DataFrame, row_id: str = "row_id",
     found = word_rows(rows, lengths[-1], row_id, text)
     found = word_grams(found.join(hint(phrases.select("first").distinct()), "first", "left_semi"), lengths, row_id)
     hits = _spread_join(found, phrases, row_id) if not few else found.join(F.broadcast(phrases.select("key", "phrase", "phrase_ix")), "key")
-    hits = hits.where("gram = phrase").select(row_id, "start", "phrase_ix", "end")
-    ordered = hits.groupBy(row_id).agg(
-        F.array_sort(F.collect_list(F.struct("start", "phrase_ix", "end"))).alias("c"))
-    return ordered.select(row_id, F.inline(F.expr(leftmost("c"))))
+    # an equality would become a key of the join, worked out for every gram; this looks only at those whose keys met
+    hits = hits.where("startswith(gram, phrase) AND startswith(phrase, gram)").select(row_id, "start", "phrase_ix", "end")
+    # sorted rows stream through the choice, so a row may have any number of hits
+    ordered = hits.repartition(row_id).sortWithinPartitions(row_id, "start", "phrase_ix").select(row_id, "start", "end")
+    return ordered.mapInArrow(leftmost, ordered.schema)
 
 
 def _spread_join(found: DataFrame, phrases: DataFrame, row_id: str) -> DataFrame:
@@ -107,14 +127,25 @@ def _spread_join(found: DataFrame, phrases: DataFrame, row_id: str) -> DataFrame
     return found.join(copies, ["key", "__salt"])
 
 
-def leftmost(spans: str) -> str:
-    """SQL: from spans in order, each that begins at or after the end of the last one taken.
-
-    The fold collects in blocks, so no array grows span by span over a long row.
-    """
-    kind = "array<struct<start:int,end:int>>"
-    step = ("(x, y) -> CASE WHEN y.start >= x.pos THEN struct(y.end AS pos, array_append(x.out, named_struct('start', y.start, 'end', y.end)) AS out) ELSE x END")
-    block = f"aggregate(b, struct(a.pos AS pos, CAST(array() AS {kind}) AS out), {step})"
-    blocks = f"transform(sequence(0, (size({spans}) - 1) div {FOLD}), i -> slice({spans}, i * {FOLD} + 1, {FOLD}))"
-    return (f"aggregate({blocks}, struct(0 AS pos, CAST(array() AS array<{kind}>) AS out), (a, b) -> "
-            f"transform(array({block}), r -> struct(r.pos AS pos, array_append(a.out, r.out) AS out))[0], a -> flatten(a.out))")
+def leftmost(batches):
+    """Of spans in order, each that begins in a new row or at or after the end of the last one taken."""
+    row, pos = None, 0
+    for batch in batches:
+        n = len(batch)
+        if not n:
+            continue
+        rows, starts, ends = batch.columns
+        none = np.asarray(rows.is_null())
+        same = np.asarray(pc.fill_null(pc.equal(rows[1:], rows[:-1]), False)) | (none[1:] & none[:-1])
+        line = np.concatenate([[0], np.cumsum(~same)]) << 32
+        starts, ends = line + np.asarray(starts), line + np.asarray(ends)
+        behind = np.searchsorted(starts, ends).tolist()          # the next span that may be taken
+        i = int(np.searchsorted(starts, pos)) if rows[0].as_py() == row else 0
+        taken = []
+        while i < n:
+            taken.append(i)
+            i = behind[i]
+        if taken and line[taken[-1]] == line[-1]:
+            pos = int(ends[taken[-1]] - line[-1])
+        row = rows[n - 1].as_py()
+        yield batch.take(pa.array(taken, pa.int64()))
