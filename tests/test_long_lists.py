@@ -29,3 +29,24 @@ def test_long_files_are_joined(spark, tmp_path, monkeypatch):
     assert len(set(seen.values())) > 10
     again = {r.row_id: r.text for r in anonymize(df.repartition(1), rules, "text", "own", 5).collect()}
     assert again == got
+
+
+def test_phrases_are_numbered_by_one_sort_that_spreads_equal_ones(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from veilwork.operators.anonymize import numbered_phrases
+    from veilwork.plans import redaction
+    written = []
+    monkeypatch.setattr(redaction, "keep_once", lambda df, f=redaction.keep_once: written.append(f(df)) or written[-1])
+    listed = ["same"] * 9_000 + [f"p{i * 7919 % 1_000}" for i in range(1_000)] + ["z", "", "é"]
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        rows, n = numbered_phrases(spark.createDataFrame([(p,) for p in listed], "phrase string").repartition(5))
+        got = sorted(map(tuple, rows.select("ix", "phrase").collect()))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert n == len(listed) and got == list(enumerate(sorted(listed, key=str.encode)))
+    assert len(written) == 1
+    parts = [r["count"] for r in written[0].groupBy(F.shiftright("__at", 33)).count().collect()]
+    assert len(parts) > 4 and max(parts) < len(listed) / 3
+    assert numbered_phrases(spark.createDataFrame([], "phrase string"))[1] == 0

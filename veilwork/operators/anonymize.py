@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from veilwork.functions import marks as M
 from veilwork.functions.draws import Draws, LongList, surrogate
 from veilwork.functions.text import TAG
-from veilwork.operators.numbering import null_safe_join, running_number
+from veilwork.operators.numbering import null_safe_join
 from veilwork.rules import dialect
 from veilwork.rules.ruleset import RuleSet, kind_of
 
@@ -94,13 +94,15 @@ def fill_phrases(df: DataFrame, tables: list[DataFrame], text: str, row_id: str)
     from functools import reduce
     from veilwork.plans.redaction import keep_once
     df = keep_once(df)
-    listed = reduce(DataFrame.unionByName, [t.select(F.concat(F.lit(f"{i}{M.MID}"), F.col("ix").cast("string")).alias("ref"), "phrase")
-                                            for i, t in enumerate(tables)])
+    listed = reduce(DataFrame.unionByName, [t.select(F.lit(i).alias("list"), "ix", "phrase") for i, t in enumerate(tables)])
     has = F.coalesce(F.contains(F.col(text), F.lit(M.OPEN)), F.lit(False))
     ref = rf"{M.OPEN}(\d+{M.MID}\d+){M.CLOSE}"
     used = df.where(has).select(row_id, F.floor(F.col(row_id) / 50_000).alias("block"), F.explode(F.array_distinct(
         F.regexp_extract_all(F.col(text), F.lit(ref), F.lit(1)))).alias("ref"))
-    values = used.select("block", "ref").distinct().join(listed, "ref")
+    # numbers meet, not texts: the longer side is the list
+    values = used.select("block", "ref").distinct().withColumns({
+        "list": F.substring_index("ref", M.MID, 1).cast("int"), "ix": F.substring_index("ref", M.MID, -1).cast("bigint")})
+    values = values.join(listed, ["list", "ix"]).select("block", "ref", "phrase")
     per_row = used.join(values, ["block", "ref"]).groupBy(row_id).agg(
         F.map_from_entries(F.collect_list(F.struct("ref", "phrase"))).alias("__drawn"))
     filled = M.rejoin(f"split(`{text}`, '{M.OPEN}')", f"p -> concat(__drawn[{M.head('p')}], {M.tail('p')})")
@@ -109,10 +111,26 @@ def fill_phrases(df: DataFrame, tables: list[DataFrame], text: str, row_id: str)
 
 
 def numbered_phrases(phrases: DataFrame) -> tuple[DataFrame, int]:
-    """``(ix, phrase)``, numbered from 0 by the text of the phrase, and how many there are; never collected."""
+    """``(ix, phrase)``, numbered from 0 by the text of the phrase, and how many there are; never collected.
+
+    One sort by range, written once: a row's number is its place in its part and the rows of the parts before, of which the
+    driver gets one count a part.  A phrase that comes often is spread over parts, as equal phrases may stand in any order.
+    """
     from veilwork.plans.redaction import keep_once
-    rows = keep_once(running_number(keep_once(phrases.select("phrase")), ["phrase"], ["phrase"], "ix"))
-    return rows, rows.count()
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(1024)).cast("smallint")
+    rows = phrases.select("phrase", spread.alias("__s")).repartitionByRange("phrase", "__s").sortWithinPartitions("phrase")
+    rows = keep_once(rows.select(F.monotonically_increasing_id().alias("__at"), "phrase"))
+    part = F.shiftright("__at", 33)
+    counts = sorted(map(tuple, rows.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()))
+    starts, size = [], 0
+    for number, n in counts:                                 # a row per part
+        starts.append((number, size))
+        size += n
+    if not starts:
+        return rows.select(F.col("__at").alias("ix"), "phrase"), 0
+    starts = F.broadcast(phrases.sparkSession.createDataFrame(starts, "part bigint, __start bigint"))
+    place = F.col("__at").bitwiseAND((1 << 33) - 1)
+    return rows.withColumn("part", part).join(starts, "part").select((F.col("__start") + place).alias("ix"), "phrase"), size
 
 
 def resolve_lists(block: dict, rules: RuleSet, modality: str, spark, tables: list | None = None) -> dict:
