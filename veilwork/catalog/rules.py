@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from veilwork.catalog.base import (C, DOC_SRC, INDEX_CTES, M, O, SPOKEN, SPOKEN_SRC, TURN_SRC, documents, hits_ctes,
+from veilwork.catalog.base import (C, DOC_SRC, INDEX_CTES, M, O, SPOKEN_ON_SPARK, SPOKEN_SRC, TURN_SRC, documents, hits_ctes,
                                    lit, mark, query, redact, redact_sql, transcripts)
 from veilwork.operators import numbering as N
 from veilwork.operators.detect import detect
@@ -69,7 +69,7 @@ def _rule_query(name, rule, modality, src, marked, frame):
 
 
 def spoken(spark, sf_dir):
-    return transcripts(spark, sf_dir, SPOKEN)
+    return transcripts(spark, sf_dir, SPOKEN_ON_SPARK)
 
 
 def whole(pattern):
