@@ -90,8 +90,8 @@ def starts_with(words, also: str = "") -> str:
     for w in words:
         by_letter.setdefault(w[0].lower(), set()).add("".join(f"[{_any_case(c)}]" for c in w[1:3]))
     tree = "|".join(f"[{_any_case(c)}](?:{'|'.join(sorted(rest))})" for c, rest in sorted(by_letter.items()))
-    first = "".join(map(_any_case, sorted(by_letter)))
-    return f"(?-i:(?=[{first}0-9])(?={tree}{'|' + also if also else ''}))"
+    first, second = ("".join(map(_any_case, sorted({w[i].lower() for w in words}))) for i in (0, 1))
+    return f"(?-i:(?=[{first}][{second}]|[0-9])(?={tree}{'|' + also if also else ''}))"
 
 
 IGNORE_STARTS = ("first today yesterday cv pin tomorrow this that another some last next previous new "
