@@ -5,7 +5,7 @@ import random
 import pytest
 
 from tests.llm import plain
-from veilwork.llm import minhash, suffix_dedup
+from veilwork.llm import common, minhash, suffix_dedup
 
 WORDS = [f"w{i}" for i in range(3000)]
 
@@ -50,6 +50,24 @@ def test_null_ids_repeated_rows_and_empty_tables(spark):
     assert minhash.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_near_duplicates_broadcast_counted_tables_only(spark, monkeypatch):
+    plans, keep = [], common.Store.keep
+
+    def watched(store, df, name="t"):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(store, df, name)
+
+    monkeypatch.setattr(common.Store, "keep", watched)
+    monkeypatch.setattr(common, "BROADCAST_ROWS", -1)  # no table counts as small, though all files are
+    monkeypatch.setattr(minhash, "CHUNK", 16)
+    docs = near_copies(7)
+    found = minhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(3))
+    got = {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in found.collect()}
+    assert got == {d: (n, c, d == c) for d, (n, c) in plain.near_groups(docs).items()}
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert sum("SortMergeJoin" in p for p in plans) > 10 and not [p for p in plans if "Broadcast" in p]
+
+
 def passages(seed, n=90):
     rnd, docs = random.Random(seed), []
     letter = lambda k: "".join(rnd.choice("abcdé ") for _ in range(k))

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from veilwork.llm.common import Store, small
+from veilwork.llm.common import Store, shuffled, small
 from veilwork.llm.components import components
 from veilwork.llm.hashing import mix, shingles, slices, text_buffer, word_hashes
 
@@ -186,17 +186,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
         "cls", "c", "v", "n", F.row_number().over(mine.orderBy("n", "c")).alias("rank"),
         F.count(F.lit(1)).over(mine).alias("m")).where(F.col("rank") <= F.col("m") - MATCHES + 1)
     # long lists are cut into chunks, and all pairs of chunks are compared
-    listed = chunk_pairs(posted.join(classes.select("cls", "sig"), "cls"), F.col("n"), F.xxhash64("cls"))
+    listed = chunk_pairs(posted.join(shuffled(classes.select("cls", "sig")), "cls"), F.col("n"), F.xxhash64("cls"))
     listed = store.keep(listed.select("c", "v", "part", "other", "cls", "sig"), "postings")
     bucket = F.pmod(F.xxhash64("c", "v", "part", "other"), F.lit(max(1, listed.count() // 40_000))).alias("k")
     near = store.keep(listed.select(bucket, "*").groupBy("k").applyInArrow(collisions, "a long, b long"), "candidates")
     clusters = components(near, store)
     store.drop(listed, near)
     # the sets of the classes that have a candidate
-    members = store.keep(clusters.join(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")), "root")
-                         .join(classes.select(F.col("cls").alias("id"), "rep"), "id")
+    many = clusters.count()
+    sized = clusters.join(small(clusters.groupBy("root").agg(F.count(F.lit(1)).alias("n")), many), "root")
+    members = store.keep(small(sized, many).join(classes.select(F.col("cls").alias("id"), "rep"), "id")
                          .select("root", F.col("id").alias("cls"), "n", "rep.doc_id", "rep.th"), "members")
-    texts = rows.alias("r").join(small(members).alias("e"), F.col("r.th").eqNullSafe(F.col("e.th"))
+    texts = rows.alias("r").join(small(members, many).alias("e"), F.col("r.th").eqNullSafe(F.col("e.th"))
                                  & F.col("r.doc_id").eqNullSafe(F.col("e.doc_id")))
     sets = store.keep(texts.select("e.cls", "r.text").mapInArrow(full_sets, "cls long, set binary"), "sets")
     sets_by_class = sets.groupBy("cls").agg(F.first("set").alias("set"))  # repeated rows give a set twice
@@ -204,24 +205,24 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", pe
     def links(blocks: DataFrame, with_components: bool) -> DataFrame:
         blocks = store.keep(blocks, "blocks")
         k = F.pmod(F.xxhash64("root", "part", "other"), F.lit(max(1, blocks.count() // 4_000))).alias("k")
-        full = blocks.join(sets_by_class, "cls").select(k, *blocks.columns, "set")
+        full = shuffled(blocks).join(sets_by_class, "cls").select(k, *blocks.columns, "set")
         return store.keep(full.groupBy("k").applyInArrow(confirm(percent, with_components), "a long, b long"), "links")
 
     chunk = lambda salt: F.pmod(F.xxhash64("cls", F.lit(salt)), F.ceil(F.col("n") / CHUNK)).cast("int")
     once = members.select("root", chunk(0).alias("part"), F.lit(0).alias("other"), "cls")
     again = members.where(F.col("n") > CHUNK).select("root", chunk(1).alias("part"), F.lit(-1).alias("other"), "cls")
     first = links(once.unionByName(again), False)
-    placed = members.where(F.col("n") > CHUNK).join(components(first, store).toDF("cls", "c"), "cls", "left").select(
+    placed = members.where(F.col("n") > CHUNK).join(small(components(first, store).toDF("cls", "c"), many), "cls", "left").select(
         "root", "cls", "n", F.coalesce("c", "cls").alias("comp"))
     mixed = placed.groupBy("root").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).where("x <> y").select("root")
-    rest = chunk_pairs(placed.join(mixed, "root"), F.col("n"), F.xxhash64("cls", F.lit(0))).where("part < other")
+    rest = chunk_pairs(placed.join(small(mixed, many // CHUNK), "root"), F.col("n"), F.xxhash64("cls", F.lit(0))).where("part < other")
     more = links(rest.select("root", "part", "other", "cls", "comp"), True)
     final = components(first.unionByName(more), store)
-    named = classes.select("cls", "rep").join(final.withColumnRenamed("id", "cls"), "cls", "left").select(
+    named = classes.select("cls", "rep").join(small(final.withColumnRenamed("id", "cls"), many), "cls", "left").select(
         "cls", "rep", F.coalesce("root", "cls").alias("comp"))
     heads = named.groupBy("comp").agg(F.min("rep").alias("head"))
     groups = store.keep(named.join(heads, "comp").select("cls", "head"), "groups")
-    some = signed.where("n > 0").join(groups, "cls").select(
+    some = signed.where("n > 0").join(shuffled(groups), "cls").select(
         "doc_id", "th", F.col("n").alias("n_shingles"), F.col("head.doc_id").alias("component_id"),
         (F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("th") == F.col("head.th"))).alias("kept"))
     none = signed.where("n = 0").select("doc_id", "th", F.col("n").alias("n_shingles"),
